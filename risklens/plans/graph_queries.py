@@ -1 +1,388 @@
-"""Entity-graph queries (filled in below)."""
+"""Entity-graph queries.
+
+Fixture mapping: records = ``customer`` keyed by ``c_custkey`` with two
+similarity attributes ``a1 = floor(c_acctbal / 10)`` and
+``a2 = nation|segment|floor(c_acctbal / 1000)``; customer-merchant links =
+``orders`` x ``lineitem`` (``o_custkey``, ``l_suppkey``, suppliers shifted by
+10^12 so the kinds stay apart); blacklist = orders of status ``P`` above
+480,000, joined back to ``orders`` on the order key.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from risklens.operators.graph import build as B
+from risklens.operators.graph import components as C
+from risklens.operators.graph import community as L
+from risklens.operators.graph import lpa as P
+from risklens.operators.graph import report as R
+from risklens.plans.registry import register, rnd, table
+
+SUPPLIER_OFFSET = 10 ** 12
+LPA_STEPS = 5
+BM_STEPS = 3
+
+
+def customers(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    return c.select(
+        "c_custkey",
+        F.floor(F.col("c_acctbal") / 10).cast("string").alias("a1"),
+        F.concat_ws("|", F.col("c_nationkey").cast("string"), F.col("c_mktsegment"),
+                    F.floor(F.col("c_acctbal") / 1000).cast("string")).alias("a2"))
+
+
+def sim_edges(spark, sf_dir):
+    return B.similarity_edges(customers(spark, sf_dir), "c_custkey", ["a1", "a2"])
+
+
+def co_edges(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    links = o.join(li, o.o_orderkey == li.l_orderkey)
+    return B.cooccurrence_edges(links, "o_custkey", "l_suppkey", right_offset=SUPPLIER_OFFSET)
+
+
+def seeds(spark, sf_dir, edges):
+    o = table(spark, sf_dir, "orders")
+    black = o.where((F.col("o_orderstatus") == "P") & (F.col("o_totalprice") > 480000)) \
+        .select("o_orderkey")
+    return B.seed_labels(B.graph_vertices(edges), o, black, key="o_custkey",
+                         black_key="o_orderkey")
+
+
+# ------------------------------------------------------------------ SQL parts
+CUST_SQL = """cust AS (
+  SELECT c_custkey, CAST(CAST(floor(c_acctbal / 10) AS BIGINT) AS VARCHAR) AS a1,
+         concat_ws('|', c_nationkey, c_mktsegment, CAST(floor(c_acctbal / 1000) AS BIGINT)) AS a2
+  FROM customer)"""
+
+_SCORE = ("((coalesce(a.a1, '') = coalesce(b.a1, '') AND coalesce(b.a1, '') <> '')::INT"
+          " + (coalesce(a.a2, '') = coalesce(b.a2, '') AND coalesce(b.a2, '') <> '')::INT) / 2.0")
+
+# the literal all-pairs theta join of the job
+SIM_SQL = f"""{CUST_SQL},
+sim AS (
+  SELECT a.c_custkey AS src, b.c_custkey AS dst, max({_SCORE}) AS weight
+  FROM cust a JOIN cust b ON a.c_custkey <> b.c_custkey
+  GROUP BY 1, 2 HAVING max({_SCORE}) > 0)"""
+
+CO_SQL = f"""co AS (
+  SELECT o.o_custkey AS src, l.l_suppkey + {SUPPLIER_OFFSET} AS dst, count(*)::DOUBLE AS weight
+  FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey
+  WHERE o.o_custkey IS NOT NULL AND l.l_suppkey IS NOT NULL
+  GROUP BY 1, 2)"""
+
+SEED_SQL = """verts AS (SELECT src AS id FROM sim UNION SELECT dst FROM sim),
+black AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 480000),
+hits AS (SELECT p.o_custkey AS id FROM black b JOIN orders p ON b.o_orderkey = p.o_orderkey),
+lab AS (SELECT v.id, CASE WHEN h.id IS NOT NULL THEN -1 ELSE v.id END AS label,
+               h.id IS NOT NULL AS is_seed
+        FROM verts v LEFT JOIN (SELECT DISTINCT id FROM hits WHERE id IS NOT NULL) h USING (id))"""
+
+
+def _components_sql(edge_rel: str, vert_rel: str, name: str) -> str:
+    """Recursive reachability; component = smallest reachable id."""
+    return f"""{name}_und AS (SELECT src, dst FROM {edge_rel} WHERE src <> dst
+                  UNION SELECT dst, src FROM {edge_rel} WHERE src <> dst),
+{name}_reach(id, r) AS (SELECT id, id FROM {vert_rel}
+                  UNION SELECT x.id, u.dst FROM {name}_reach x JOIN {name}_und u ON x.r = u.src),
+{name} AS (SELECT id, min(r) AS component FROM {name}_reach GROUP BY id)"""
+
+
+def _lpa_sql(steps: int) -> str:
+    parts = ["e2 AS (SELECT src AS target, dst AS source, weight FROM sim "
+             "UNION ALL SELECT dst, src, weight FROM sim)",
+             "l0 AS (SELECT id, id AS label FROM verts)"]
+    for k in range(1, steps + 1):
+        parts.append(f"""l{k} AS (
+  SELECT v.id, coalesce(b.label, v.label) AS label FROM l{k-1} v LEFT JOIN (
+    SELECT id, label FROM (
+      SELECT e2.target AS id, l.label, row_number() OVER (
+               PARTITION BY e2.target ORDER BY sum(e2.weight) DESC, l.label) AS rn
+      FROM e2 JOIN l{k-1} l ON e2.source = l.id GROUP BY e2.target, l.label) WHERE rn = 1
+  ) b USING (id))""")
+    return ",\n".join(parts)
+
+
+def _bm_sql(steps: int) -> str:
+    parts = ["e2 AS (SELECT src AS target, dst AS source, weight FROM sim "
+             "UNION ALL SELECT dst, src, weight FROM sim)",
+             "d0 AS (SELECT id, label, 1.0::DOUBLE AS prob FROM lab)"]
+    for k in range(1, steps + 1):
+        p = f"d{k-1}"
+        parts.append(f"""c{k} AS (SELECT e2.target AS id, d.label, sum(e2.weight * d.prob) AS s
+        FROM e2 JOIN {p} d ON e2.source = d.id GROUP BY 1, 2),
+n{k} AS (SELECT c.id, c.label, c.s / z.z AS prob
+        FROM c{k} c JOIN (SELECT id, sum(s) AS z FROM c{k} GROUP BY id) z USING (id)),
+k{k} AS (SELECT DISTINCT id FROM {p}
+        WHERE id NOT IN (SELECT id FROM n{k})
+           OR id IN (SELECT id FROM {p} WHERE label = -1 AND prob = 1.0)),
+d{k} AS (SELECT * FROM {p} WHERE id IN (SELECT id FROM k{k})
+        UNION ALL SELECT * FROM n{k} WHERE id NOT IN (SELECT id FROM k{k}))""")
+    return ",\n".join(parts)
+
+
+# ------------------------------------------------------------------ GR1-GR4
+@register("distinct_focus", f"""WITH {CUST_SQL}
+SELECT DISTINCT c_custkey, a1, a2 FROM cust
+WHERE c_custkey IS NOT NULL AND CAST(c_custkey AS VARCHAR) <> ''""")
+def q_distinct_focus(spark, sf_dir):
+    return B.distinct_focus(customers(spark, sf_dir), "c_custkey", ["c_custkey", "a1", "a2"])
+
+
+@register("similarity_edges", f"WITH {SIM_SQL} SELECT src, dst, weight FROM sim")
+def q_similarity_edges(spark, sf_dir):
+    return sim_edges(spark, sf_dir)
+
+
+# Compat scoring on attributes with NULLs (negative balances) and empties
+# (household segment) plus a third attribute: the comma-joined strings are
+# split, trailing empties dropped, and lengths must agree.
+_COMPAT_CUST = """cc AS (
+  SELECT c_custkey,
+         CASE WHEN c_acctbal >= 0 THEN CAST(CAST(floor(c_acctbal / 10) AS BIGINT) AS VARCHAR) END AS a1,
+         CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN '' ELSE CAST(c_nationkey AS VARCHAR) END AS a2,
+         c_mktsegment AS a3
+  FROM customer),
+cs AS (SELECT c_custkey AS k, concat_ws(',', a1, a2, a3) AS j FROM cc),
+parts AS (SELECT DISTINCT k, CASE WHEN j <> '' AND rtrim(j, ',') = '' THEN []::VARCHAR[]
+                                  ELSE string_split(rtrim(j, ','), ',') END AS p FROM cs)"""
+
+
+@register("similarity_edges_compat", f"""WITH {_COMPAT_CUST},
+scored AS (
+  SELECT a.k AS src, b.k AS dst,
+         list_sum(list_transform(range(1, len(a.p) + 1),
+                  lambda i: CASE WHEN a.p[i] = b.p[i] AND b.p[i] <> '' THEN 1 ELSE 0 END))
+           / len(a.p) AS weight
+  FROM parts a JOIN parts b ON a.k <> b.k AND len(a.p) = len(b.p) AND len(a.p) > 0)
+SELECT src, dst, max(weight) AS weight FROM scored GROUP BY 1, 2 HAVING max(weight) > 0""")
+def q_similarity_edges_compat(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    cc = c.select(
+        "c_custkey",
+        F.when(F.col("c_acctbal") >= 0,
+               F.floor(F.col("c_acctbal") / 10).cast("string")).alias("a1"),
+        F.when(F.col("c_mktsegment") == "HOUSEHOLD", F.lit(""))
+        .otherwise(F.col("c_nationkey").cast("string")).alias("a2"),
+        F.col("c_mktsegment").alias("a3"))
+    return B.similarity_edges(cc, "c_custkey", ["a1", "a2", "a3"], compat=True)
+
+
+@register("cooccurrence_edges", f"WITH {CO_SQL} SELECT src, dst, weight FROM co")
+def q_cooccurrence_edges(spark, sf_dir):
+    return co_edges(spark, sf_dir)
+
+
+@register("graph_union", f"""WITH {SIM_SQL}, {CO_SQL}
+SELECT src, dst, weight FROM sim UNION ALL SELECT src, dst, weight FROM co""")
+def q_graph_union(spark, sf_dir):
+    return B.union_edges(sim_edges(spark, sf_dir), co_edges(spark, sf_dir))
+
+
+@register("graph_vertices", f"""WITH {SIM_SQL}, {CO_SQL},
+u AS (SELECT src, dst FROM sim UNION ALL SELECT src, dst FROM co)
+SELECT src AS id FROM u UNION SELECT dst FROM u""")
+def q_graph_vertices(spark, sf_dir):
+    return B.graph_vertices(B.union_edges(sim_edges(spark, sf_dir), co_edges(spark, sf_dir)))
+
+
+@register("vertex_strength", f"""WITH {SIM_SQL}, {CO_SQL},
+u AS (SELECT src, dst, weight FROM sim UNION ALL SELECT src, dst, weight FROM co)
+SELECT id, sum(weight) AS degree
+FROM (SELECT src AS id, weight FROM u UNION ALL SELECT dst, weight FROM u) GROUP BY id""")
+def q_vertex_strength(spark, sf_dir):
+    return B.vertex_strength(B.union_edges(sim_edges(spark, sf_dir), co_edges(spark, sf_dir)))
+
+
+@register("total_weight", f"""WITH {SIM_SQL}, {CO_SQL}
+SELECT sum(weight) AS total_weight
+FROM (SELECT weight FROM sim UNION ALL SELECT weight FROM co)""")
+def q_total_weight(spark, sf_dir):
+    return B.total_weight(B.union_edges(sim_edges(spark, sf_dir), co_edges(spark, sf_dir)))
+
+
+@register("black_seeds", f"""WITH {SIM_SQL}, {SEED_SQL}
+SELECT id, label, is_seed FROM lab""")
+def q_black_seeds(spark, sf_dir):
+    labels, _ = seeds(spark, sf_dir, sim_edges(spark, sf_dir))
+    return labels
+
+
+@register("black_counts", f"""WITH {SIM_SQL}, {SEED_SQL}
+SELECT (SELECT count(*) FROM hits) AS black_num,
+       (SELECT count(*) FROM lab WHERE is_seed) AS seeded""")
+def q_black_counts(spark, sf_dir):
+    _, counts = seeds(spark, sf_dir, sim_edges(spark, sf_dir))
+    return counts
+
+
+# ------------------------------------------------------------------ GR12
+@register("connected_components", f"""WITH RECURSIVE {SIM_SQL}, {SEED_SQL},
+{_components_sql('sim', 'verts', 'comp')}
+SELECT id, component FROM comp""")
+def q_connected_components(spark, sf_dir):
+    return C.connected_components(sim_edges(spark, sf_dir))
+
+
+@register("community_density", f"""WITH RECURSIVE {SIM_SQL}, {SEED_SQL},
+{_components_sql('sim', 'verts', 'comp')}
+SELECT c.component, c.n_vertices, coalesce(e.n_edges, 0) AS n_edges,
+       round(coalesce(e.n_edges, 0) / c.n_vertices, 9) AS density
+FROM (SELECT component, count(*) AS n_vertices FROM comp GROUP BY 1) c
+LEFT JOIN (SELECT component, count(*) AS n_edges FROM sim JOIN comp ON sim.src = comp.id
+           GROUP BY 1) e USING (component)""")
+def q_community_density(spark, sf_dir):
+    e = sim_edges(spark, sf_dir)
+    d = R.community_density(e, C.connected_components(e))
+    return d.select("component", "n_vertices", "n_edges", rnd("density", 9).alias("density"))
+
+
+# ------------------------------------------------------------------ GR5, GR6
+@register("label_propagation", f"""WITH {SIM_SQL}, {SEED_SQL},
+{_lpa_sql(LPA_STEPS)}
+SELECT id, label FROM l{LPA_STEPS}""")
+def q_label_propagation(spark, sf_dir):
+    return P.label_propagation(sim_edges(spark, sf_dir), max_steps=LPA_STEPS)
+
+
+@register("bm_label_propagation", f"""WITH {SIM_SQL}, {SEED_SQL},
+{_bm_sql(BM_STEPS)}
+SELECT id, label, round(prob, 9) AS prob FROM d{BM_STEPS}""")
+def q_bm_label_propagation(spark, sf_dir):
+    e = sim_edges(spark, sf_dir)
+    labels, _ = seeds(spark, sf_dir, e)
+    d = P.bm_label_propagation(e, labels, max_steps=BM_STEPS)
+    return d.select("id", "label", rnd("prob", 9).alias("prob"))
+
+
+# ------------------------------------------------------------------ GR14
+_GREY_SQL = f"""{SIM_SQL}, {SEED_SQL},
+{_bm_sql(BM_STEPS)},
+grey AS (SELECT id, prob FROM d{BM_STEPS} WHERE label = -1 AND prob > 0),
+gsub AS (SELECT s.* FROM sim s WHERE s.src IN (SELECT id FROM grey) AND s.dst IN (SELECT id FROM grey)),
+{_components_sql('gsub', 'grey', 'gcomp')}"""
+
+
+def _grey(spark, sf_dir):
+    e = sim_edges(spark, sf_dir)
+    labels, counts = seeds(spark, sf_dir, e)
+    dist = P.bm_label_propagation(e, labels, max_steps=BM_STEPS)
+    return e, R.grey_list(dist), counts
+
+
+@register("grey_list", f"""WITH RECURSIVE {_GREY_SQL}
+SELECT id, round(prob, 9) AS prob FROM grey""")
+def q_grey_list(spark, sf_dir):
+    _, grey, _ = _grey(spark, sf_dir)
+    return grey.select("id", rnd("prob", 9).alias("prob"))
+
+
+@register("fraud_groups", f"""WITH RECURSIVE {_GREY_SQL}
+SELECT c.component, c.n_vertices, coalesce(e.n_edges, 0) AS n_edges,
+       round(coalesce(e.n_edges, 0) / c.n_vertices, 9) AS density
+FROM (SELECT component, count(*) AS n_vertices FROM gcomp GROUP BY 1) c
+LEFT JOIN (SELECT component, count(*) AS n_edges FROM gsub JOIN gcomp ON gsub.src = gcomp.id
+           GROUP BY 1) e USING (component)""")
+def q_fraud_groups(spark, sf_dir):
+    e, grey, _ = _grey(spark, sf_dir)
+    _, groups = R.fraud_groups(grey, e)
+    return groups.select("component", "n_vertices", "n_edges", rnd("density", 9).alias("density"))
+
+
+@register("fraud_summary", f"""WITH RECURSIVE {_GREY_SQL}
+SELECT (SELECT count(DISTINCT component) FROM gcomp) AS n_groups,
+       (SELECT count(*) FROM hits) AS black_num,
+       (SELECT count(*) FROM lab WHERE is_seed) AS seeded,
+       (SELECT count(*) FROM gcomp) AS grey_num,
+       (SELECT count(*) FROM lab WHERE is_seed) / nullif((SELECT count(*) FROM gcomp), 0)
+         AS seed_share""")
+def q_fraud_summary(spark, sf_dir):
+    e, grey, counts = _grey(spark, sf_dir)
+    cc, _ = R.fraud_groups(grey, e)
+    return R.fraud_summary(cc, None, counts)
+
+
+@register("fraud_members", f"""WITH RECURSIVE {_GREY_SQL}
+SELECT DISTINCT c.c_custkey, c.a1, c.a2, g.component
+FROM cust c JOIN gcomp g ON c.c_custkey = g.id""")
+def q_fraud_members(spark, sf_dir):
+    e, grey, _ = _grey(spark, sf_dir)
+    cc, _ = R.fraud_groups(grey, e)
+    return R.fraud_members(customers(spark, sf_dir), "c_custkey", ["a1", "a2"], cc)
+
+
+# ------------------------------------------------------------------ Louvain
+_LOUVAIN_ROUND_SQL = f"""{SIM_SQL},
+nodes AS (SELECT id, sum(weight) AS degree
+          FROM (SELECT src AS id, weight FROM sim UNION ALL SELECT dst, weight FROM sim)
+          GROUP BY id),
+m AS (SELECT sum(weight) AS m FROM sim),
+kin AS (SELECT id, c, sum(weight) AS k_in
+        FROM (SELECT src AS id, dst AS c, weight FROM sim UNION ALL SELECT dst, src, weight FROM sim)
+        GROUP BY 1, 2),
+q AS (SELECT k.id, k.c,
+             k.k_in - 1.0 * (t.degree - CASE WHEN k.c = k.id THEN n.degree ELSE 0 END)
+                    * n.degree / m.m AS q
+      FROM kin k JOIN nodes t ON t.id = k.c JOIN nodes n ON n.id = k.id, m),
+best AS (SELECT id, c, q, row_number() OVER (PARTITION BY id ORDER BY q DESC, c) AS rn FROM q),
+mv AS (SELECT id, id AS comm, CASE WHEN q > 0 THEN c ELSE id END AS target,
+              CASE WHEN q > 0 THEN q ELSE 0.0 END AS gain FROM best WHERE rn = 1),
+mv_edges AS (SELECT id AS src, target AS dst FROM mv),
+{_components_sql('mv_edges', 'mv', 'mcomp')},
+nodes1 AS (SELECT n.id, coalesce(c.component, n.id) AS comm, n.degree, 0.0 AS inner_degree
+           FROM nodes n LEFT JOIN mcomp c USING (id)),
+t AS (SELECT s.weight, a.comm AS cs, b.comm AS cd
+      FROM sim s JOIN nodes1 a ON s.src = a.id JOIN nodes1 b ON s.dst = b.id),
+xe AS (SELECT least(cs, cd) AS src, greatest(cs, cd) AS dst, sum(weight) AS weight
+       FROM t WHERE cs <> cd GROUP BY 1, 2)"""
+
+
+def _one_round(spark, sf_dir):
+    e = sim_edges(spark, sf_dir)
+    m = e.agg(F.sum("weight")).first()[0]
+    nodes = L.louvain_init(e)
+    return e, m, nodes
+
+
+@register("louvain_best_move", f"""WITH RECURSIVE {_LOUVAIN_ROUND_SQL}
+SELECT id, comm, target, round(gain, 9) AS gain FROM mv""")
+def q_louvain_best_move(spark, sf_dir):
+    e, m, nodes = _one_round(spark, sf_dir)
+    mv = L.best_moves(nodes, e, m)
+    return mv.select("id", "comm", "target", rnd("gain", 9).alias("gain"))
+
+
+@register("louvain_coarsen_edges", f"""WITH RECURSIVE {_LOUVAIN_ROUND_SQL}
+SELECT src, dst, weight FROM xe""")
+def q_louvain_coarsen_edges(spark, sf_dir):
+    e, m, nodes = _one_round(spark, sf_dir)
+    nodes1, _ = L.louvain_local(nodes, e, m, max_iter=1)
+    _, cross, _ = L.louvain_coarsen(nodes1, e)
+    return cross
+
+
+@register("louvain_coarsen_nodes", f"""WITH RECURSIVE {_LOUVAIN_ROUND_SQL},
+intra AS (SELECT cs AS id, sum(weight * 2) AS intra FROM t WHERE cs = cd GROUP BY 1),
+deg AS (SELECT id, sum(weight) AS degree
+        FROM (SELECT src AS id, weight FROM xe UNION ALL SELECT dst, weight FROM xe) GROUP BY 1)
+SELECT c.id, coalesce(d.degree, 0.0) AS degree, c.inner0 + coalesce(i.intra, 0.0) AS inner_degree
+FROM (SELECT comm AS id, sum(inner_degree) AS inner0 FROM nodes1 GROUP BY 1) c
+LEFT JOIN intra i USING (id) LEFT JOIN deg d USING (id)""")
+def q_louvain_coarsen_nodes(spark, sf_dir):
+    e, m, nodes = _one_round(spark, sf_dir)
+    nodes1, _ = L.louvain_local(nodes, e, m, max_iter=1)
+    new_nodes, _, _ = L.louvain_coarsen(nodes1, e)
+    return new_nodes.select("id", "degree", "inner_degree")
+
+
+@register("louvain", None)
+def q_louvain(spark, sf_dir):
+    return L.louvain(sim_edges(spark, sf_dir), max_iter=5, layers=2)
+
+
+@register("louvain_communities", None)
+def q_louvain_communities(spark, sf_dir):
+    return L.communities(L.louvain(sim_edges(spark, sf_dir), max_iter=5, layers=2))
