@@ -1 +1,146 @@
-"""Association-rule and classifier queries (filled in below)."""
+"""Association-rule and classifier queries.
+
+Fixture mapping: transactions = distinct part brands of each order
+(``lineitem`` x ``part``); baskets from columns = one part row
+(brand, type, container-like size); labelled points = ``embeddings``
+(features = the 64 floats, label = ``label < 5``, test set = ``vec_id % 5 = 0``,
+the rest trains, the union fits the indexers); precision/recall of the
+``labels`` table scores ``toxic`` as a prediction of ``quality``.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
+
+from risklens.operators import classify as M
+from risklens.operators import rules as RU
+from risklens.plans.registry import register, rnd, table
+
+MIN_SUPPORT = 0.005
+MIN_CONFIDENCE = 0.15
+
+
+def order_baskets(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    pa = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    return RU.grouped_baskets(li.join(pa, li.l_partkey == pa.p_partkey), "l_orderkey", "p_brand")
+
+
+_BASKET_SQL = """b AS (SELECT DISTINCT l.l_orderkey AS t, p.p_brand AS item
+      FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
+      WHERE l.l_orderkey IS NOT NULL AND p.p_brand IS NOT NULL)"""
+
+# Brute force over all subsets of every basket (baskets hold at most seven
+# brands), so the oracle is exact for itemsets of any size.
+_ITEMSET_SQL = f"""{_BASKET_SQL},
+sub(t, items, last) AS (
+  SELECT t, [item], item FROM b
+  UNION ALL
+  SELECT s.t, list_append(s.items, b.item), b.item FROM sub s JOIN b ON b.t = s.t AND b.item > s.last),
+n AS (SELECT count(DISTINCT t) AS n FROM b),
+fi AS (SELECT items, count(*) AS freq FROM sub GROUP BY items
+       HAVING count(*) >= (SELECT ceil({MIN_SUPPORT} * n) FROM n))"""
+
+_RULE_SQL = f"""{_ITEMSET_SQL},
+cand AS (SELECT fi.items, fi.freq, c.item AS consequent,
+                list_filter(fi.items, lambda x: x <> c.item) AS antecedent
+         FROM fi, unnest(fi.items) AS c(item) WHERE len(fi.items) > 1),
+rules AS (
+  SELECT array_to_string(cand.antecedent, ',') AS antecedent, cand.consequent,
+         cand.freq / a.freq AS confidence,
+         (cand.freq / a.freq) / (w.freq / (SELECT n FROM n)) AS lift,
+         cand.freq / (SELECT n FROM n) AS support
+  FROM cand JOIN fi a ON a.items = cand.antecedent
+            JOIN fi w ON w.items = [cand.consequent])"""
+
+
+@register("baskets", f"""WITH {_BASKET_SQL}
+SELECT t AS l_orderkey, string_agg(item, ',' ORDER BY item) AS items FROM b GROUP BY t""")
+def q_baskets(spark, sf_dir):
+    return order_baskets(spark, sf_dir).select("l_orderkey", RU.items_text("items").alias("items"))
+
+
+@register("baskets_columns", """
+SELECT array_to_string(list_distinct_ordered, ',') AS items FROM (
+  SELECT list_sort(list_distinct(list_filter([p_brand, p_type, CAST(p_size AS VARCHAR)],
+                                             lambda x: x <> ''))) AS list_distinct_ordered
+  FROM part WHERE p_brand IS NOT NULL AND p_type IS NOT NULL AND p_size IS NOT NULL)""")
+def q_baskets_columns(spark, sf_dir):
+    tx = RU.baskets(table(spark, sf_dir, "part"), ["p_brand", "p_type", "p_size"])
+    return tx.select(RU.items_text("items").alias("items"))
+
+
+@register("frequent_itemsets", f"""WITH RECURSIVE {_ITEMSET_SQL}
+SELECT array_to_string(items, ',') AS items, len(items) AS size, freq FROM fi""")
+def q_frequent_itemsets(spark, sf_dir):
+    fi = RU.frequent_itemsets(order_baskets(spark, sf_dir), MIN_SUPPORT)
+    return fi.select(RU.items_text("items").alias("items"), F.col("size").cast("bigint"), "freq")
+
+
+def _rules_spark(spark, sf_dir, min_conf):
+    r = RU.association_rules(order_baskets(spark, sf_dir), MIN_SUPPORT, min_conf)
+    return r.select(RU.items_text("antecedent").alias("antecedent"),
+                    F.col("consequent")[0].alias("consequent"),
+                    rnd("confidence", 9).alias("confidence"), rnd("lift", 9).alias("lift"),
+                    rnd("support", 9).alias("support"))
+
+
+@register("association_rules", f"""WITH RECURSIVE {_RULE_SQL}
+SELECT antecedent, consequent, round(confidence, 9) AS confidence, round(lift, 9) AS lift,
+       round(support, 9) AS support FROM rules""")
+def q_association_rules(spark, sf_dir):
+    return _rules_spark(spark, sf_dir, 0.0)
+
+
+@register("rules_min_confidence", f"""WITH RECURSIVE {_RULE_SQL}
+SELECT antecedent, consequent, round(confidence, 9) AS confidence, round(lift, 9) AS lift,
+       round(support, 9) AS support FROM rules WHERE confidence >= {MIN_CONFIDENCE}""")
+def q_rules_min_confidence(spark, sf_dir):
+    return _rules_spark(spark, sf_dir, MIN_CONFIDENCE)
+
+
+# ------------------------------------------------------------------ ML
+@register("precision_recall", """
+SELECT count(*) AS n, count(*) FILTER (WHERE quality = 1) AS n_true,
+       count(*) FILTER (WHERE toxic = 1) AS n_pred,
+       count(*) FILTER (WHERE toxic = quality AND quality = 1) AS n_right,
+       (count(*) FILTER (WHERE toxic = quality AND quality = 1))
+         / nullif(count(*) FILTER (WHERE toxic = 1), 0) AS precision,
+       (count(*) FILTER (WHERE toxic = quality AND quality = 1))
+         / nullif(count(*) FILTER (WHERE quality = 1), 0) AS recall,
+       (count(*) FILTER (WHERE toxic = quality)) / nullif(count(*), 0) AS accuracy
+FROM labels""")
+def q_precision_recall(spark, sf_dir):
+    return M.precision_recall(table(spark, sf_dir, "labels"), label="quality", prediction="toxic")
+
+
+def labelled_points(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    pts = e.select("vec_id", (F.col("label") < 5).cast("double").alias("label"),
+                   array_to_vector("embedding").alias("features"))
+    test = pts.where(F.col("vec_id") % 5 == 0)
+    train_df = pts.where(F.col("vec_id") % 5 != 0)
+    return train_df, test, pts
+
+
+def _clf(kind):
+    def run(spark, sf_dir):
+        train_df, test, all_data = labelled_points(spark, sf_dir)
+        return M.train_and_score(train_df, test, all_data, kind)
+    run.__name__ = f"q_clf_{kind}"
+    return run
+
+
+for _name, _kind in (("clf_decision_tree", "decision_tree"), ("clf_random_forest", "random_forest"),
+                     ("clf_gbt", "gbt"), ("clf_lr", "logistic"), ("clf_lasso", "lasso"),
+                     ("clf_ridge", "ridge")):
+    register(_name, None)(_clf(_kind))
+
+
+@register("probability_threshold", None)
+def q_probability_threshold(spark, sf_dir):
+    train_df, test, all_data = labelled_points(spark, sf_dir)
+    model = M.train(train_df, all_data, "random_forest")
+    scored = M.threshold(model.transform(test), 0.5)
+    return scored.select("vec_id", "label", "predictedLabel", "thresholdLabel")
