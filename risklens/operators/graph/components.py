@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from risklens.session import cut_lineage
+from risklens.session import cut_lineage, release
 
 
 def undirected_pairs(edges: DataFrame) -> DataFrame:
@@ -31,6 +31,7 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None,
     if vertices is not None:
         ids = ids.unionByName(vertices.select("id")).distinct()
     labels = cut_lineage(ids.select("id", F.col("id").alias("label")))
+    prev = labels
     for _ in range(max_rounds):
         nbr_min = (pairs.join(labels.withColumnRenamed("id", "src"), on="src")
                    .groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("m")))
@@ -42,6 +43,8 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None,
                .select("id", "old", F.least("label", F.coalesce("plabel", "label")).alias("label")))
         nxt = cut_lineage(nxt)
         changed = nxt.where(F.col("label") != F.col("old")).count()
+        release(prev)
+        prev = nxt
         labels = nxt.select("id", "label")
         if changed == 0:
             break

@@ -11,15 +11,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from risklens.operators.graph.build import SEED_LABEL, graph_vertices
-from risklens.session import cut_lineage
+from risklens.session import cut_lineage, release
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
-    """(target, source, weight) for both endpoints of every directed edge."""
+    """(target, source, weight): both endpoints of every directed edge, with
+    parallel edges (including the two stored directions of one pair) summed
+    once here, since every message is linear in the edge weight."""
     e = edges.select("src", "dst", "weight")
     return (e.select(F.col("src").alias("target"), F.col("dst").alias("source"), "weight")
             .unionByName(e.select(F.col("dst").alias("target"), F.col("src").alias("source"),
-                                  "weight")))
+                                  "weight"))
+            .groupBy("target", "source").agg(F.sum("weight").alias("weight")))
 
 
 def label_propagation(edges: DataFrame, vertices: DataFrame | None = None,
@@ -39,14 +42,19 @@ def label_propagation(edges: DataFrame, vertices: DataFrame | None = None,
     else:
         labels = vertices.select("id", "label")
     labels = cut_lineage(labels)
-    for _ in range(max_steps):
+    for step in range(max_steps):
         votes = (msgs_edges.join(labels.withColumnRenamed("id", "source"), on="source")
                  .groupBy("target", "label").agg(F.sum("weight").alias("w")))
         best = (votes.groupBy(F.col("target").alias("id"))
                 .agg(F.max(F.struct(F.col("w"), (-F.col("label")).alias("neg"))).alias("b"))
                 .select("id", (-F.col("b.neg")).alias("new_label")))
-        labels = cut_lineage(labels.join(best, on="id", how="left")
-                             .select("id", F.coalesce("new_label", "label").alias("label")))
+        nxt = (labels.join(best, on="id", how="left")
+               .select("id", F.coalesce("new_label", "label").alias("label")))
+        if step == max_steps - 1:
+            return nxt  # the caller's single use needs no table
+        nxt = cut_lineage(nxt)
+        release(labels)
+        labels = nxt
     return labels
 
 
@@ -64,11 +72,19 @@ def bm_label_propagation(edges: DataFrame, vertices: DataFrame, max_steps: int =
     if max_steps <= 0:
         raise ValueError("max_steps must be > 0")
     msgs_edges = cut_lineage(_both_ways(edges))
-    dist = cut_lineage(vertices.select("id", "label", F.lit(1.0).alias("prob")))
-    for _ in range(max_steps):
+    start = vertices.select("id", "label", F.lit(1.0).alias("prob"))
+    # Vertices without edges never receive a message: they keep their
+    # start row and need not travel through the rounds.
+    ends = msgs_edges.select(F.col("target").alias("id")).distinct()
+    isolated = start.join(ends, on="id", how="left_anti")
+    dist = cut_lineage(start.join(ends, on="id", how="left_semi"))
+    for step in range(max_steps):
         clamped = (dist.where((F.col("label") == seed_label) & (F.col("prob") == 1.0))
-                   .select("id").withColumn("clamped", F.lit(True)))
-        contrib = (msgs_edges.join(dist.withColumnRenamed("id", "source"), on="source")
+                   .select("id").distinct())
+        # messages to clamped vertices would be discarded: drop them first
+        live = msgs_edges.join(clamped.withColumnRenamed("id", "target"), on="target",
+                               how="left_anti")
+        contrib = (live.join(dist.withColumnRenamed("id", "source"), on="source")
                    .groupBy(F.col("target").alias("id"), "label")
                    .agg(F.sum(F.col("weight") * F.col("prob")).alias("s")))
         total = contrib.groupBy("id").agg(F.sum("s").alias("z"))
@@ -79,14 +95,11 @@ def bm_label_propagation(edges: DataFrame, vertices: DataFrame, max_steps: int =
             z2 = new.groupBy("id").agg(F.sum("prob").alias("z2"))
             new = new.join(z2, on="id").select("id", "label",
                                                (F.col("prob") / F.col("z2")).alias("prob"))
-        # vertices that keep their state: clamped seeds, or no messages
-        receivers = new.select("id").distinct()
-        keep_ids = (dist.select("id").distinct()
-                    .join(receivers.withColumn("got", F.lit(True)), on="id", how="left")
-                    .join(clamped, on="id", how="left")
-                    .where(F.col("got").isNull() | F.col("clamped").isNotNull())
-                    .select("id"))
-        kept = dist.join(keep_ids, on="id", how="left_semi")
-        updated = new.join(keep_ids, on="id", how="left_anti")
-        dist = cut_lineage(kept.unionByName(updated))
-    return dist
+        kept = dist.join(clamped, on="id", how="left_semi")
+        nxt = kept.unionByName(new)
+        if step == max_steps - 1:
+            return nxt.unionByName(isolated)
+        nxt = cut_lineage(nxt)
+        release(dist)
+        dist = nxt
+    return dist.unionByName(isolated)
