@@ -11,21 +11,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _epoch_ntz() -> Column:
-    return F.lit("1970-01-01 00:00:00").cast(T.TimestampNTZType())
-
 
 def epoch_micros(df: DataFrame, col: str) -> Column:
     """Microseconds since 1970-01-01 for a timestamp or timestamp_ntz column.
 
-    ``timestamp_ntz`` values are wall-clock times and are read as UTC, so the
-    result does not depend on the session time zone.
+    ``timestamp_ntz`` values are wall-clock times: they are converted field by
+    field (days, hours, minutes, exact seconds), which never consults the
+    session time zone, so a gap across a daylight-saving switch stays exact.
     """
     dtype = df.schema[col].dataType
+    t = F.col(col)
     if isinstance(dtype, T.TimestampNTZType):
-        return F.timestamp_diff("MICROSECOND", _epoch_ntz(), F.col(col))
+        days = F.datediff(F.to_date(t), F.lit("1970-01-01").cast("date")).cast("long")
+        hm = (F.hour(t) * 3600 + F.minute(t) * 60).cast("long")
+        sec_us = (F.extract(F.lit("SECOND"), t) * 1_000_000).cast("long")
+        return days * 86_400_000_000 + hm * 1_000_000 + sec_us
     if isinstance(dtype, T.TimestampType):
-        return F.unix_micros(F.col(col))
+        return F.unix_micros(t)
     raise TypeError(f"{col} is {dtype.simpleString()}, expected a timestamp")
 
 

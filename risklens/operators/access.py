@@ -42,7 +42,7 @@ def access_frequency(df: DataFrame, keys: list[str], ts: str, interval_s: int,
     dropped (PF4).
     """
     group = list(keys) + ([value_col] if value_col else [])
-    d = df.dropna(subset=group + [ts])
+    d = _not_null(df, group + [ts])
     if values is not None:
         if value_col is None:
             raise ValueError("values needs value_col")
@@ -72,24 +72,42 @@ def uri_dense_rank(df: DataFrame, device: str, uri: str, ts: str, interval_s: in
     return freq.withColumn("uri_rank", F.dense_rank().over(w))
 
 
-def _gap_rows(df: DataFrame, group: list[str], ts: str, chunk_s: int):
-    """Positive gaps (microseconds) between consecutive distinct timestamps
-    of each group, plus per-group row counts."""
+def _not_null(df: DataFrame, cols: list[str]) -> DataFrame:
+    """IS NOT NULL conjunction (PF4), written so it reaches the parquet scan."""
+    cond = F.lit(True)
+    for c in cols:
+        cond = cond & F.col(c).isNotNull()
+    return df.where(cond)
+
+
+def _gap_table(df: DataFrame, group: list[str], ts: str, chunk_s: int) -> DataFrame:
+    """Per group: ``frequency`` (all rows) and ``n_gaps``, mean and
+    population stddev of the positive gaps (microseconds) between
+    consecutive distinct timestamps.
+
+    Three shuffles: the chunked window, the tiny window over chunk borders,
+    and one final aggregate over the union of gap rows and per-chunk row
+    counts (``avg``/``stddev_pop`` skip the NULL gaps of count rows), so no
+    join is needed and every aggregate combines map-side.
+    """
     t = df.select(*group, epoch_micros(df, ts).alias("t_us"))
     chunk_us = int(chunk_s) * 1_000_000
     t = t.withColumn("chunk", F.floor(F.col("t_us") / F.lit(chunk_us)))
     w_in = Window.partitionBy(*group, "chunk").orderBy("t_us")
     t = t.withColumn("gap", F.col("t_us") - F.lag("t_us").over(w_in))
-    inner = t.where(F.col("gap") > 0).select(*group, "gap")
+    inner = t.where(F.col("gap") > 0).select(*group, "gap", F.lit(0).cast("long").alias("n"))
     per_chunk = (t.groupBy(*group, "chunk")
                  .agg(F.count("*").alias("n"), F.min("t_us").alias("t_min"),
                       F.max("t_us").alias("t_max")))
     w_chunk = Window.partitionBy(*group).orderBy("chunk")
-    border = (per_chunk
-              .select(*group, (F.col("t_min") - F.lag("t_max").over(w_chunk)).alias("gap"))
-              .where(F.col("gap").isNotNull()))
-    counts = per_chunk.groupBy(*group).agg(F.sum("n").alias("frequency"))
-    return inner.unionByName(border), counts
+    border = per_chunk.select(
+        *group, (F.col("t_min") - F.lag("t_max").over(w_chunk)).alias("gap"), "n")
+    return (inner.unionByName(border)
+            .groupBy(*group)
+            .agg(F.sum("n").alias("frequency"),
+                 F.count("gap").alias("n_gaps"),
+                 (F.avg("gap") / _US_PER_MS).alias("mean_gap_ms"),
+                 (F.stddev_pop("gap") / _US_PER_MS).alias("stdev_gap_ms")))
 
 
 def gap_stats(df: DataFrame, keys: list[str], ts: str, interval_s: int,
@@ -110,19 +128,14 @@ def gap_stats(df: DataFrame, keys: list[str], ts: str, interval_s: int,
     """
     if interval_s % chunk_s:
         raise ValueError("chunk_s must divide interval_s")
-    d = df.dropna(subset=list(keys) + [ts])
+    d = _not_null(df, list(keys) + [ts])
     start, _ = bucket_columns(d, ts, interval_s, unit)
     d = d.withColumn("bucket_start", start)
     group = list(keys) + ["bucket_start"]
-    gaps, counts = _gap_rows(d, group, ts, chunk_s)
-    stats = (gaps.groupBy(*group)
-             .agg(F.count("*").alias("n_gaps"),
-                  (F.avg("gap") / _US_PER_MS).alias("mean_gap_ms"),
-                  (F.stddev_pop("gap") / _US_PER_MS).alias("stdev_gap_ms")))
-    cut = quantile_value(counts, "frequency", q, relative_error)
-    out = (counts.where(F.col("frequency") <= cut)
-           .join(stats, on=group, how="inner")
-           .where(F.col("mean_gap_ms") > 0))
+    table = _gap_table(d, group, ts, chunk_s)
+    cut = quantile_value(table, "frequency", q, relative_error)
+    out = table.where((F.col("frequency") <= cut) & (F.col("n_gaps") > 0)
+                      & (F.col("mean_gap_ms") > 0))
     if min_stdev is not None:
         out = out.where(F.col("stdev_gap_ms") > min_stdev)
     return out.withColumn("bucket_label", bucket_label(F.col("bucket_start"), unit))
@@ -152,7 +165,7 @@ def windowed_gap_spread(df: DataFrame, keys: list[str], ts: str, start_s: int,
     n_windows = -(-(end_s - start_s) // interval_s)
     step = interval_s * 1_000_000
     lo_us = start_s * 1_000_000
-    d = df.dropna(subset=list(keys) + [ts])
+    d = _not_null(df, list(keys) + [ts])
     t = d.select(*keys, epoch_micros(d, ts).alias("t_us"))
     rel = F.col("t_us") - F.lit(lo_us)
     idx = F.floor(rel / F.lit(step))

@@ -25,12 +25,18 @@ def quantile_value(df: DataFrame, col: str, q: float,
         raise ValueError("q must be in [0, 1]")
     if relative_error <= 0:
         raise ValueError("relative_error must be positive")
-    accuracy = max(1, int(round(1.0 / relative_error)))
+    accuracy = _accuracy(relative_error)
     valid = F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double"))
     return df.where(valid).select(
         F.percentile_approx(col, q, accuracy).alias("q")).scalar()
 
 
+def _accuracy(relative_error: float) -> int:
+    if relative_error <= 0:
+        raise ValueError("relative_error must be positive")
+    return max(1, int(round(1.0 / relative_error)))
+
+
 def filter_by_quantile(df: DataFrame, col: str, q: float = 0.8,
                        relative_error: float = 0.001,
                        strict: bool = False) -> DataFrame:
@@ -77,10 +83,12 @@ def histogram(df: DataFrame, col: str, n: int = 100, by: list[str] | None = None
     if anchor == "quantile":
         if by:
             raise ValueError("quantile anchor is global only")
-        p = quantile_value(vals, "x", q, relative_error)
-        lo = vals.select(F.min("x")).scalar()
-        data = vals.where(F.col("x") < p).select(
-            "x", lo.alias("lo"), p.alias("hi"))
+        b = vals.select(F.struct(
+            F.min("x").alias("lo"),
+            F.percentile_approx("x", q, _accuracy(relative_error)).cast("double").alias("hi")
+        ).alias("b")).scalar()
+        data = vals.select("x", b["lo"].alias("lo"), b["hi"].alias("hi")) \
+            .where(F.col("x") < F.col("hi"))
         origin = F.col("hi")
     elif anchor == "min":
         if by:
@@ -88,9 +96,10 @@ def histogram(df: DataFrame, col: str, n: int = 100, by: list[str] | None = None
                                           F.max("x").alias("hi"))
             data = vals.join(bounds, on=by, how="inner")
         else:
-            lo = vals.select(F.min("x")).scalar()
-            hi = vals.select(F.max("x")).scalar()
-            data = vals.select("x", lo.alias("lo"), hi.alias("hi"))
+            # one scalar subquery, one pass, for both bounds
+            b = vals.select(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"))
+                            .alias("b")).scalar()
+            data = vals.select("x", b["lo"].alias("lo"), b["hi"].alias("hi"))
         origin = F.col("lo")
     else:
         raise ValueError("anchor must be 'min' or 'quantile'")

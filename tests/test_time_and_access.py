@@ -40,6 +40,20 @@ def test_epoch_micros_ntz_and_ltz(spark):
     assert ltz.select(epoch_micros(ltz, "ts").alias("u")).first().u == 1_000_005
 
 
+def test_epoch_micros_ignores_session_zone(spark):
+    df = spark.createDataFrame([(dt.datetime(2024, 3, 10, 1, 30),), (dt.datetime(2024, 3, 10, 3, 30),),
+                                (dt.datetime(1969, 12, 31, 23, 59, 59, 500000),)],
+                               "ts timestamp_ntz")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = [r.u for r in df.select(epoch_micros(df, "ts").alias("u")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got[1] - got[0] == 2 * 3600 * 1_000_000
+    assert got[2] == -500_000
+
+
 def test_gap_stats_basic(spark):
     df = events(spark, [(1, 0), (1, 1), (1, 3)])
     r = A.gap_stats(df, ["k"], "ts", 86400, q=1.0).collect()
