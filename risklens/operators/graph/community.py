@@ -20,14 +20,12 @@ move at once; chains and swaps are resolved by connected components over
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from risklens.operators.graph.build import vertex_strength
 from risklens.operators.graph.components import connected_components
-from risklens.session import cut_lineage
+from risklens.session import append_table, cut_lineage, new_table_path, read_table, release
 
 
 def louvain_init(edges: DataFrame) -> DataFrame:
@@ -79,9 +77,10 @@ def relabel(nodes: DataFrame, moves: DataFrame) -> DataFrame:
     takes its component's smallest id, the others keep their community."""
     cc = connected_components(
         moves.select(F.col("id").alias("src"), F.col("target").alias("dst")),
-        vertices=moves.select("id"))
-    return (nodes.join(cc, on="id", how="left")
-            .select("id", F.coalesce("component", "comm").alias("comm"), "degree", "inner_degree"))
+        vertices=moves.select("id"), materialize_input=False)
+    out = (nodes.join(cc, on="id", how="left")
+           .select("id", F.coalesce("component", "comm").alias("comm"), "degree", "inner_degree"))
+    return out, cc
 
 
 def louvain_local(nodes: DataFrame, edges: DataFrame, m: float, max_iter: int = 5,
@@ -90,10 +89,16 @@ def louvain_local(nodes: DataFrame, edges: DataFrame, m: float, max_iter: int =
     round without changes. Returns the nodes and the number of rounds that
     changed something."""
     rounds = 0
+    own = None  # node tables written here are released once superseded
     while rounds < max_iter:
         moves = cut_lineage(best_moves(nodes, edges, m, resolution))
         changed = moves.where(F.col("target") != F.col("comm")).count()
-        nodes = cut_lineage(relabel(nodes, moves))
+        relabelled, cc = relabel(nodes, moves)
+        nodes = cut_lineage(relabelled)
+        release(cc)
+        release(moves)
+        release(own)
+        own = nodes
         if changed == 0:
             break
         rounds += 1
@@ -138,30 +143,45 @@ def louvain(edges: DataFrame, max_iter: int = 5, layers: int = 2,
     Returns ``(vertex, level, community)``: the community of every original
     vertex after each local phase (level 0 = first phase).
     """
+    spark = edges.sparkSession
     edges = cut_lineage(edges.select("src", "dst", "weight"))
     m = edges.agg(F.sum("weight")).first()[0]
+    schema = "vertex long, level int, community long"
     if not m:
-        return edges.sparkSession.createDataFrame(
-            [], "vertex long, level int, community long")
+        release(edges)
+        return spark.createDataFrame([], schema)
     nodes = cut_lineage(louvain_init(edges))
     membership = nodes.select(F.col("id").alias("vertex"), F.col("id").alias("node"))
+    result_path = new_table_path(spark)
 
     def snapshot(level, nodes, membership):
-        return cut_lineage(
+        append_table(
             membership.join(nodes.select(F.col("id").alias("node"), "comm"), on="node")
-            .select("vertex", F.lit(level).alias("level"), F.col("comm").alias("community")))
+            .select("vertex", F.lit(level).alias("level"), F.col("comm").alias("community")),
+            result_path)
 
+    start_nodes = nodes
     nodes, rounds = louvain_local(nodes, edges, m, max_iter, resolution)
-    levels = [snapshot(0, nodes, membership)]
+    snapshot(0, nodes, membership)
     layer = 0
     while rounds != 0 and layer <= layers:
-        nodes, edges, membership = louvain_coarsen(nodes, edges, membership)
-        edges = cut_lineage(edges)
-        membership = cut_lineage(membership)
-        nodes, rounds = louvain_local(cut_lineage(nodes), edges, m, max_iter, resolution)
+        new_nodes, new_edges, new_membership = louvain_coarsen(nodes, edges, membership)
+        new_edges = cut_lineage(new_edges)
+        new_membership = cut_lineage(new_membership)
+        new_nodes = cut_lineage(new_nodes)
+        # level-0 membership reads the initial node table
+        for old in (nodes, edges, membership if layer > 0 else start_nodes):
+            release(old)
+        edges, membership = new_edges, new_membership
+        nodes, rounds = louvain_local(new_nodes, edges, m, max_iter, resolution)
+        if nodes is not new_nodes:
+            release(new_nodes)
         layer += 1
-        levels.append(snapshot(layer, nodes, membership))
-    return reduce(lambda a, b: a.unionByName(b), levels)
+        snapshot(layer, nodes, membership)
+    for old in (nodes, edges, membership if layer > 0 else start_nodes):
+        release(old)
+    from pyspark.sql import types as T  # noqa: PLC0415
+    return read_table(spark, result_path, T._parse_datatype_string(schema))
 
 
 def communities(membership: DataFrame) -> DataFrame:

@@ -23,15 +23,21 @@ def undirected_pairs(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, vertices: DataFrame | None = None,
-                         max_rounds: int = 1000) -> DataFrame:
+                         max_rounds: int = 1000, materialize_input: bool = True) -> DataFrame:
     """``(id, component)`` for every endpoint of ``edges`` (and every row of
-    ``vertices``, isolated ones forming their own component)."""
-    pairs = cut_lineage(undirected_pairs(edges))
+    ``vertices``, isolated ones forming their own component).
+
+    ``materialize_input=False`` skips writing the undirected pair table when
+    ``edges`` is already a cheap scan of a written table.
+    """
+    pairs = undirected_pairs(edges)
+    if materialize_input:
+        pairs = cut_lineage(pairs)
     ids = pairs.select(F.col("src").alias("id")).distinct()
     if vertices is not None:
         ids = ids.unionByName(vertices.select("id")).distinct()
-    labels = cut_lineage(ids.select("id", F.col("id").alias("label")))
-    prev = labels
+    labels = ids.select("id", F.col("id").alias("label"))
+    prev = None
     for _ in range(max_rounds):
         nbr_min = (pairs.join(labels.withColumnRenamed("id", "src"), on="src")
                    .groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("m")))
@@ -50,4 +56,6 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None,
             break
     else:
         raise RuntimeError("connected components did not converge")
+    if materialize_input:
+        release(pairs)
     return labels.select("id", F.col("label").alias("component"))

@@ -79,26 +79,63 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     checkpoint, and it gives the planner real size statistics.
     """
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/risklens-{uuid.uuid4().hex}"
+    path = new_table_path(spark)
     df.write.mode("errorifexists").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _TABLES[id(out)] = path
     return out
 
 
+def new_table_path(spark: SparkSession) -> str:
+    """A fresh folder name under the checkpoint directory."""
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/risklens-{uuid.uuid4().hex}"
+
+
+def append_table(df: DataFrame, path: str) -> None:
+    """Append ``df`` to the parquet table at ``path`` (one folder collects
+    the per-level results of a loop instead of a growing union plan)."""
+    df.write.mode("append").parquet(path)
+
+
+def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
+    out = spark.read.schema(schema).parquet(path)
+    _TABLES[id(out)] = path
+    return out
+
+
 def release(df: DataFrame | None) -> None:
-    """Delete the table behind a frame returned by ``cut_lineage`` once a
-    loop has superseded it (no-op for other frames)."""
+    """Delete the tables written by ``cut_lineage`` that ``df`` reads, once
+    a loop has superseded them. Frames not backed by such tables are left
+    alone; deletion is best effort."""
     if df is None:
         return
-    path = _TABLES.pop(id(df), None)
-    if path is None:
+    paths = set()
+    own = _TABLES.pop(id(df), None)
+    if own:
+        paths.add(own)
+    else:
+        try:
+            files = df.inputFiles()
+        except Exception:  # noqa: BLE001
+            files = []
+        known = set(_TABLES.values())
+        for f in files:
+            for p in known:
+                if f.startswith(p.rstrip("/") + "/") or f.startswith(_strip_scheme(p) + "/"):
+                    paths.add(p)
+    if not paths:
         return
     spark = df.sparkSession
-    try:
-        jvm = spark._jvm
-        hpath = jvm.org.apache.hadoop.fs.Path(path)
-        hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
-    except Exception:  # noqa: BLE001 - cleanup is best effort (e.g. Spark Connect)
-        pass
+    for path in paths:
+        for k in [k for k, v in _TABLES.items() if v == path]:
+            del _TABLES[k]
+        try:
+            hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+            hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
+        except Exception:  # noqa: BLE001 - e.g. Spark Connect: leave the folder
+            pass
+
+
+def _strip_scheme(p: str) -> str:
+    return p.split(":", 1)[1] if p.startswith("file:") else p
