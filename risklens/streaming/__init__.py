@@ -1,0 +1 @@
+from risklens.streaming.frequency import stream_access_frequency  # noqa: F401
