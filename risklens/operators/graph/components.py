@@ -1,8 +1,11 @@
 """GR12: connected components, labelled by the smallest vertex id.
 
-Min-label propagation with pointer jumping: each round a vertex takes the
-smallest label among itself and its neighbours, then jumps to the label of
-that label (labels are vertex ids of the same component). One count of
+Min-label propagation with hooking and pointer jumping: each round a vertex
+takes the smallest label among itself and its neighbours, offers it to the
+vertex its old label names (its root), takes the best offer made to that
+root, and finally jumps to the label of its label. Labels are always vertex
+ids of the same component and never increase, so a round without change
+means every component carries its smallest id. One count of
 changed labels per round is the only action; the label table is
 checkpointed every round.
 """
@@ -41,11 +44,18 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None,
     for _ in range(max_rounds):
         nbr_min = (pairs.join(labels.withColumnRenamed("id", "src"), on="src")
                    .groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("m")))
+        # m(v): smallest label in v's closed neighbourhood
         hop = (labels.join(nbr_min, on="id", how="left")
                .select("id", F.col("label").alias("old"),
-                       F.least("label", F.coalesce("m", "label")).alias("label")))
-        parent = labels.select(F.col("id").alias("label"), F.col("label").alias("plabel"))
-        nxt = (hop.join(parent, on="label", how="left")
+                       F.least("label", F.coalesce("m", "label")).alias("m")))
+        # hooking: each vertex offers m(v) to its current root L(v); the root
+        # (and every vertex pointing at it) takes the best offer
+        offer = hop.groupBy(F.col("old").alias("root")).agg(F.min("m").alias("best"))
+        hooked = (hop.join(offer, hop.old == offer.root, "left")
+                  .select("id", "old", F.least("m", F.coalesce("best", "m")).alias("label")))
+        # pointer jumping: follow the new label one step
+        parent = hooked.select(F.col("id").alias("label"), F.col("label").alias("plabel"))
+        nxt = (hooked.join(parent, on="label", how="left")
                .select("id", "old", F.least("label", F.coalesce("plabel", "label")).alias("label")))
         nxt = cut_lineage(nxt)
         changed = nxt.where(F.col("label") != F.col("old")).count()
