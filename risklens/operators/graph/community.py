@@ -72,15 +72,33 @@ def best_moves(nodes: DataFrame, edges: DataFrame, m: float,
         F.when(move, F.col("b.q")).otherwise(F.lit(0.0)).alias("gain"))
 
 
-def relabel(nodes: DataFrame, moves: DataFrame) -> DataFrame:
-    """GR10 step: components over (node, target); each node with a move row
-    takes its component's smallest id, the others keep their community."""
-    cc = connected_components(
-        moves.select(F.col("id").alias("src"), F.col("target").alias("dst")),
-        vertices=moves.select("id"), materialize_input=False)
+def relabel(nodes: DataFrame, moves: DataFrame):
+    """GR10 step: every node with a move row takes the smallest id of its
+    connected component in the graph of (node, target) pairs; the others
+    keep their community. Returns ``(nodes, component_table)``.
+
+    Targets are always community representatives (a representative's
+    community id is its own id), so a node that is not a representative is a
+    leaf hanging off exactly one representative: its target, or its own
+    community when it stays. Components are therefore computed over the
+    representatives that move -- a graph that shrinks as communities form --
+    and the smallest id per component is one aggregate over all nodes.
+    """
+    reps = nodes.where(F.col("id") == F.col("comm")).select("id")
+    rep_moves = (moves.join(reps, on="id", how="left_semi")
+                 .where(F.col("target") != F.col("id"))
+                 .select(F.col("id").alias("src"), F.col("target").alias("dst")))
+    rc = connected_components(rep_moves, materialize_input=False)
+    anchor = (moves.join(reps.withColumn("is_rep", F.lit(True)), on="id", how="left")
+              .select("id", F.when(F.col("is_rep"), F.col("id"))
+                      .otherwise(F.col("target")).alias("anchor")))
+    placed = (anchor.join(rc.withColumnRenamed("id", "anchor"), on="anchor", how="left")
+              .select("id", F.coalesce("component", "anchor").alias("k")))
+    smallest = placed.groupBy("k").agg(F.min("id").alias("label"))
+    cc = placed.join(smallest, on="k").select("id", F.col("label").alias("component"))
     out = (nodes.join(cc, on="id", how="left")
            .select("id", F.coalesce("component", "comm").alias("comm"), "degree", "inner_degree"))
-    return out, cc
+    return out, rc
 
 
 def louvain_local(nodes: DataFrame, edges: DataFrame, m: float, max_iter: int = 5,
