@@ -88,7 +88,10 @@ def relabel(nodes: DataFrame, moves: DataFrame):
     rep_moves = (moves.join(reps, on="id", how="left_semi")
                  .where(F.col("target") != F.col("id"))
                  .select(F.col("id").alias("src"), F.col("target").alias("dst")))
-    rc = connected_components(rep_moves, materialize_input=False)
+    if rep_moves.isEmpty():  # one small job; spares the component rounds
+        rc = moves.sparkSession.createDataFrame([], "id long, component long")
+    else:
+        rc = connected_components(rep_moves, materialize_input=False)
     anchor = (moves.join(reps.withColumn("is_rep", F.lit(True)), on="id", how="left")
               .select("id", F.when(F.col("is_rep"), F.col("id"))
                       .otherwise(F.col("target")).alias("anchor")))

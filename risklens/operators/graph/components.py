@@ -42,12 +42,13 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None,
     labels = ids.select("id", F.col("id").alias("label"))
     prev = None
     for _ in range(max_rounds):
-        nbr_min = (pairs.join(labels.withColumnRenamed("id", "src"), on="src")
-                   .groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("m")))
-        # m(v): smallest label in v's closed neighbourhood
-        hop = (labels.join(nbr_min, on="id", how="left")
-               .select("id", F.col("label").alias("old"),
-                       F.least("label", F.coalesce("m", "label")).alias("m")))
+        # m(v): smallest label in v's closed neighbourhood, with v's own label
+        # carried through the same aggregate (no extra join)
+        own = labels.select("id", "label", F.col("label").alias("own"))
+        nbr = (pairs.join(labels.withColumnRenamed("id", "src"), on="src")
+               .select(F.col("dst").alias("id"), "label", F.lit(None).cast("long").alias("own")))
+        hop = (own.unionByName(nbr).groupBy("id")
+               .agg(F.min("label").alias("m"), F.max("own").alias("old")))
         # hooking: each vertex offers m(v) to its current root L(v); the root
         # (and every vertex pointing at it) takes the best offer
         offer = hop.groupBy(F.col("old").alias("root")).agg(F.min("m").alias("best"))
