@@ -65,11 +65,13 @@ def frequency_cv(freq: DataFrame, keys: list[str]) -> DataFrame:
 def uri_dense_rank(df: DataFrame, device: str, uri: str, ts: str, interval_s: int,
                    unit: str = "hour") -> DataFrame:
     """WN1: frequency per (device, uri, bucket) with the uri's dense rank
-    inside its device as a compact id. The window runs after the aggregate,
-    so a device holds at most (#uris x #buckets) rows."""
+    inside its device as a compact id. The rank window sorts only the
+    distinct (device, uri) pairs, not every bucket row of a busy device."""
     freq = access_frequency(df, [device], ts, interval_s, value_col=uri, unit=unit)
-    w = Window.partitionBy(device).orderBy(uri)
-    return freq.withColumn("uri_rank", F.dense_rank().over(w))
+    pairs = freq.select(device, uri).distinct()
+    ranked = pairs.withColumn(
+        "uri_rank", F.dense_rank().over(Window.partitionBy(device).orderBy(uri)))
+    return freq.join(ranked, on=[device, uri])
 
 
 def _not_null(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ aggregations; each round cuts its lineage with a reliable checkpoint.
 """
 
 from risklens.operators.graph.build import (  # noqa: F401
-    cooccurrence_edges, distinct_focus, graph_vertices, seed_labels,
+    cooccurrence_edges, distinct_focus, entity_graph, graph_vertices, seed_labels,
     similarity_edges, total_weight, union_edges, vertex_strength,
 )
 from risklens.operators.graph.components import connected_components  # noqa: F401

@@ -138,3 +138,27 @@ def seed_labels(vertices: DataFrame, records: DataFrame, blacklist: DataFrame,
     seeded = labels.agg(F.count_if(F.col("is_seed"))).scalar()
     counts = hits.agg(F.count("*").alias("black_num")).select("black_num", seeded.alias("seeded"))
     return labels.select("id", "label", "is_seed"), counts
+
+
+def entity_graph(records: DataFrame, key: str, focus: list[str], sim: list[str],
+                 cust: str | None = None, compat: bool = False,
+                 cust_offset: int = 0) -> DataFrame:
+    """CJ7: the weighted entity graph of the fraud job.
+
+    Similarity edges between records with different ``key`` (left side: all
+    records with a non-empty key; right side: distinct ``focus`` rows), plus,
+    when ``cust`` is given, co-occurrence edges ``cust -> key`` weighted by
+    the number of records. ``focus`` must name more than one column and
+    include ``key`` and the ``sim`` attributes.
+    """
+    if len(focus) <= 1:
+        raise ValueError("focus needs more than one column")
+    missing = [c for c in [key, *sim] if c not in focus]
+    if missing:
+        raise ValueError(f"focus must include the key and similarity columns: {missing}")
+    # Both sides reduce to distinct (key, sim attributes) of records with a
+    # non-empty key, which is what similarity_edges scores.
+    edges = similarity_edges(distinct_focus(records, key, focus), key, sim, compat=compat)
+    if cust:
+        edges = union_edges(edges, cooccurrence_edges(records, cust, key, left_offset=cust_offset))
+    return edges

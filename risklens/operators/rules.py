@@ -68,3 +68,19 @@ def association_rules(tx: DataFrame, min_support: float = 0.01, min_confidence:
 def items_text(c) -> F.Column:
     """Sorted, comma-joined rendering of an item array."""
     return F.array_join(F.array_sort(c), ",")
+
+
+def rules_from_table(df: DataFrame, fields: list[str], min_support: float = 0.01,
+                     min_confidence: float = 0.0,
+                     num_partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """CJ8: baskets from table columns, then itemsets and rules.
+
+    Returns ``(frequent_itemsets, association_rules)`` from one fitted model.
+    """
+    model = fit_fpgrowth(baskets(df, fields), min_support, min_confidence, num_partitions)
+    itemsets = model.freqItemsets.select(F.array_sort("items").alias("items"),
+                                         F.size("items").alias("size"), "freq")
+    rules = model.associationRules.select(
+        F.array_sort("antecedent").alias("antecedent"), "consequent",
+        "confidence", "lift", "support")
+    return itemsets, rules

@@ -300,3 +300,13 @@ def test_modularity_not_decreasing_on_fixture(spark):
     assert all(b >= a - 1e-12 for a, b in zip(qs, qs[1:]))
     sizes = rows(L.communities(m).groupBy("level").count())
     assert [c for _, c in sizes] == [355, 167, 137, 137]
+
+
+def test_entity_graph_with_customer_links(spark):
+    df = spark.createDataFrame(
+        [("1", "x", "y", "900"), ("2", "x", "z", "900"), ("2", "x", "z", "900"), ("", "x", "y", "7")],
+        "k string, a0 string, a1 string, cust string")
+    e = B.entity_graph(df, "k", ["k", "a0", "a1"], ["a0", "a1"], cust="cust", cust_offset=1000)
+    assert rows(e) == [(1, 2, 0.5), (2, 1, 0.5), (1900, 1, 1.0), (1900, 2, 2.0)]
+    with pytest.raises(ValueError):
+        B.entity_graph(df, "k", ["k"], ["a0"])

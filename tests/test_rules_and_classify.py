@@ -88,3 +88,11 @@ def test_threshold(spark):
 def test_unknown_classifier(spark):
     with pytest.raises(ValueError):
         M.build_pipeline(points(spark), "svm")
+
+
+def test_rules_from_table(spark):
+    df = spark.createDataFrame([("a", "b"), ("a", "b"), ("a", "c"), ("d", "")], "f1 string, f2 string")
+    fi, ru = RU.rules_from_table(df, ["f1", "f2"], min_support=0.5)
+    assert rows(fi.select(RU.items_text("items").alias("s"), "freq")) == [("a", 3), ("a,b", 2), ("b", 2)]
+    r = {(tuple(x.antecedent), x.consequent[0]): x for x in ru.collect()}
+    assert r[(("b",), "a")].confidence == 1.0

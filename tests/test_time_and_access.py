@@ -170,3 +170,26 @@ def test_uri_dense_rank(spark):
     r = A.uri_dense_rank(df, "k", "uri", "ts", 86400)
     assert rows(r, "k", "uri", "uri_rank", "frequency") == [(1, "a", 1, 1), (1, "b", 2, 2),
                                                            (2, "z", 1, 1)]
+
+
+def test_read_access_log_and_slice_label(spark, tmp_path):
+    from risklens.functions.time import epoch_seconds_bucket_label
+    from risklens.sources.readers import read_access_log
+    p = tmp_path / "log.json"
+    p.write_text('{"ip":"1.2.3.4","uri":"/a","dfp":"d","timestamp":"2017-02-27 06:00:05.123"}\n'
+                 '{"ip":"5.6.7.8","uri":"/b","timestamp":"2017-02-27 07:10:00"}\n')
+    df = read_access_log(spark, str(p))
+    r = df.orderBy("ip").collect()
+    assert r[0].ts == dt.datetime(2017, 2, 27, 6, 0, 5, 123000)
+    assert r[1].dfp is None and r[1].ts == dt.datetime(2017, 2, 27, 7, 10)
+    lab = spark.range(1).select(epoch_seconds_bucket_label(1488175200).alias("l")).first().l
+    assert lab == "27:6"
+
+
+def test_write_result_partitioned(spark, tmp_path):
+    from risklens.sources.readers import write_result
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "x long, bucket string")
+    out = str(tmp_path / "out")
+    write_result(df, out, partition_by=["bucket"])
+    back = spark.read.parquet(out)
+    assert sorted((r.x, r.bucket) for r in back.collect()) == [(1, "a"), (2, "b")]
