@@ -7,19 +7,20 @@ from pyspark.sql import functions as F
 
 from risklens.operators.graph.build import SEED_LABEL
 from risklens.operators.graph.components import connected_components
+from risklens.session import cut_lineage
 
 
 def vertex_verdict(dist: DataFrame, seed_label: int = SEED_LABEL) -> DataFrame:
     """Per vertex: the seed label with its probability when that is
-    positive, else the most probable label (smallest label on ties)."""
-    seed_p = dist.where(F.col("label") == seed_label).select("id", F.col("prob").alias("sp"))
-    best = dist.groupBy("id").agg(
-        F.max(F.struct("prob", (-F.col("label")).alias("neg"))).alias("b"))
+    positive, else the most probable label (smallest label on ties).
+    One aggregate, combined map-side."""
+    v = dist.groupBy("id").agg(
+        F.max(F.struct("prob", (-F.col("label")).alias("neg"))).alias("b"),
+        F.max(F.when(F.col("label") == seed_label, F.col("prob"))).alias("sp"))
     is_seed = F.coalesce(F.col("sp"), F.lit(0.0)) > 0
-    return (best.join(seed_p, on="id", how="left")
-            .select("id",
+    return v.select("id",
                     F.when(is_seed, F.lit(seed_label)).otherwise(-F.col("b.neg")).alias("label"),
-                    F.when(is_seed, F.col("sp")).otherwise(F.col("b.prob")).alias("prob")))
+                    F.when(is_seed, F.col("sp")).otherwise(F.col("b.prob")).alias("prob"))
 
 
 def grey_list(dist: DataFrame, seed_label: int = SEED_LABEL) -> DataFrame:
@@ -50,8 +51,9 @@ def community_density(edges: DataFrame, components: DataFrame) -> DataFrame:
 def fraud_groups(grey: DataFrame, edges: DataFrame) -> DataFrame:
     """GR14: connected groups of the grey subgraph with size and density;
     returns ``(id, component)`` membership and the per-group table."""
-    sub = grey_subgraph(grey, edges)
-    cc = connected_components(sub, vertices=grey.select("id"))
+    grey = cut_lineage(grey.select("id"))  # used by both semi joins and as vertices
+    sub = cut_lineage(grey_subgraph(grey, edges))
+    cc = connected_components(sub, vertices=grey, materialize_input=False)
     return cc, community_density(sub, cc)
 
 
