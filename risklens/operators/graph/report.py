@@ -57,7 +57,7 @@ def fraud_groups(grey: DataFrame, edges: DataFrame) -> DataFrame:
     return cc, community_density(sub, cc)
 
 
-def fraud_summary(cc: DataFrame, labels: DataFrame, counts: DataFrame) -> DataFrame:
+def fraud_summary(cc: DataFrame, counts: DataFrame) -> DataFrame:
     """AG22 / GR14 totals: groups, blacklist rows, seeded vertices, grey
     vertices and the seeded share of the grey list (one row)."""
     grey_n = cc.agg(F.count("*")).scalar()

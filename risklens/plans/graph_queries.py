@@ -302,7 +302,7 @@ SELECT (SELECT count(DISTINCT component) FROM gcomp) AS n_groups,
 def q_fraud_summary(spark, sf_dir):
     e, grey, counts = _grey(spark, sf_dir)
     cc, _ = R.fraud_groups(grey, e)
-    return R.fraud_summary(cc, None, counts)
+    return R.fraud_summary(cc, counts)
 
 
 @register("fraud_members", f"""WITH RECURSIVE {_GREY_SQL}

@@ -229,7 +229,7 @@ def test_grey_list_and_report(spark):
     assert rows(cc) == [(1, 1), (2, 1), (4, 4)]
     assert rows(groups) == [(1, 2, 2, 1.0), (4, 1, 0, 0.0)]
     counts = spark.createDataFrame([(5, 2)], "black_num long, seeded long")
-    s = R.fraud_summary(cc, None, counts).first()
+    s = R.fraud_summary(cc, counts).first()
     assert (s.n_groups, s.black_num, s.seeded, s.grey_num) == (2, 5, 2, 3)
     assert s.seed_share == pytest.approx(2 / 3)
 
