@@ -41,7 +41,8 @@ def _attr_array(attrs: list[str], compat: bool) -> Column:
 
 
 def similarity_edges(df: DataFrame, key: str, attrs: list[str],
-                     compat: bool = False) -> DataFrame:
+                     compat: bool = False, hot_threshold: int | None = 100_000,
+                     salts: int = 16) -> DataFrame:
     """GR1: weighted edges between records with different keys.
 
     weight(a, b) = (number of positions where both records hold the same
@@ -54,10 +55,14 @@ def similarity_edges(df: DataFrame, key: str, attrs: list[str],
     so the all-pairs comparison becomes an equi join on (length, position,
     value) of exploded attributes: the work is proportional to the matching
     pairs, not to n^2. A value shared by many records still yields all their
-    pairs -- that is the output -- and AQE's skew join splits such a hot join
-    key across tasks. Records are reduced to distinct (key, attributes) first
-    (the maximum is unaffected), and a record's identity in the pair count is
-    its content, so there is no id to collide or to change on recompute.
+    pairs -- that is the output. Such a hot join key is split across tasks by
+    AQE's skew join at run time; with ``hot_threshold`` it is also salted
+    explicitly: keys holding more than ``hot_threshold`` cells spread their
+    left rows over ``salts`` buckets and replicate their right rows to every
+    bucket, which leaves the result unchanged. Records are reduced to
+    distinct (key, attributes) first (the maximum is unaffected), and a
+    record's identity in the pair count is its content, so there is no id to
+    collide or to change on recompute.
     """
     if not attrs:
         raise ValueError("need at least one attribute")
@@ -68,9 +73,24 @@ def similarity_edges(df: DataFrame, key: str, attrs: list[str],
     rec = rec.withColumn("len", F.size("rec")).where(F.col("len") > 0)
     cells = (rec.select("k", "rec", "len", F.posexplode("rec").alias("pos", "value"))
              .where(F.col("value") != ""))
-    a = cells.select(F.col("k").alias("src"), F.col("rec").alias("a_rec"), "len", "pos", "value")
-    b = cells.select(F.col("k").alias("dst"), F.col("rec").alias("b_rec"), "len", "pos", "value")
-    pairs = (a.join(b, on=["len", "pos", "value"], how="inner")
+    on = ["len", "pos", "value"]
+    a = cells.select(F.col("k").alias("src"), F.col("rec").alias("a_rec"), *on)
+    b = cells.select(F.col("k").alias("dst"), F.col("rec").alias("b_rec"), *on)
+    if hot_threshold is not None:
+        if salts < 2:
+            raise ValueError("salts must be >= 2")
+        hot = (cells.groupBy(*on).count().where(F.col("count") > hot_threshold)
+               .select(*on, F.lit(True).alias("hot")))
+        a = (a.join(hot, on=on, how="left")
+             .withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("src", "a_rec"), F.lit(salts)))
+                         .otherwise(F.lit(0)).cast("int"))
+             .drop("hot"))
+        every = F.array(*[F.lit(i) for i in range(salts)])
+        b = (b.join(hot, on=on, how="left")
+             .withColumn("salt", F.explode(F.when(F.col("hot"), every).otherwise(F.array(F.lit(0)))))
+             .drop("hot"))
+        on = on + ["salt"]
+    pairs = (a.join(b, on=on, how="inner")
              .where(F.col("src") != F.col("dst")))
     per_record = (pairs.groupBy("src", "a_rec", "dst", "b_rec", "len")
                   .agg(F.count("*").alias("hits")))

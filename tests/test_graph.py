@@ -310,3 +310,15 @@ def test_entity_graph_with_customer_links(spark):
     assert rows(e) == [(1, 2, 0.5), (2, 1, 0.5), (1900, 1, 1.0), (1900, 2, 2.0)]
     with pytest.raises(ValueError):
         B.entity_graph(df, "k", ["k"], ["a0"])
+
+
+def test_similarity_hot_value_salting_is_exact(spark):
+    rnd = random.Random(12)
+    # one value in position 0 shared by most records: a hot join key
+    data = [(str(rnd.randrange(1, 60)), "hot" if rnd.random() < 0.7 else rnd.choice("abc"),
+             rnd.choice(["x", "y", "", None])) for _ in range(150)]
+    df = recs(spark, data, 2)
+    plain = rows(B.similarity_edges(df, "k", ["a0", "a1"]))
+    salted = rows(B.similarity_edges(df, "k", ["a0", "a1"], hot_threshold=10, salts=4))
+    assert salted == plain
+    assert plain == brute_sim(data, False)

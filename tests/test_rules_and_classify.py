@@ -96,3 +96,15 @@ def test_rules_from_table(spark):
     assert rows(fi.select(RU.items_text("items").alias("s"), "freq")) == [("a", 3), ("a,b", 2), ("b", 2)]
     r = {(tuple(x.antecedent), x.consequent[0]): x for x in ru.collect()}
     assert r[(("b",), "a")].confidence == 1.0
+
+
+def test_rule_identities_on_fixture(spark):
+    from risklens.plans.learn_queries import MIN_SUPPORT, order_baskets
+    tx = order_baskets(spark, "/root/testdata/sf0.01")
+    n = tx.count()
+    fi = {tuple(r.items): r.freq for r in RU.frequent_itemsets(tx, MIN_SUPPORT).collect()}
+    for r in RU.association_rules(tx, MIN_SUPPORT).collect():
+        union = tuple(sorted(list(r.antecedent) + list(r.consequent)))
+        assert r.support * n == pytest.approx(fi[union])
+        assert r.confidence == pytest.approx(fi[union] / fi[tuple(r.antecedent)])
+        assert r.lift == pytest.approx(r.confidence / (fi[tuple(r.consequent)] / n))
