@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -119,10 +120,11 @@ def release(df: DataFrame | None) -> None:
             files = df.inputFiles()
         except Exception:  # noqa: BLE001
             files = []
-        known = set(_TABLES.values())
+        known = {_norm(p): p for p in _TABLES.values()}
         for f in files:
-            for p in known:
-                if f.startswith(p.rstrip("/") + "/") or f.startswith(_strip_scheme(p) + "/"):
+            nf = _norm(f)
+            for np_, p in known.items():
+                if nf.startswith(np_ + "/"):
                     paths.add(p)
     if not paths:
         return
@@ -137,5 +139,7 @@ def release(df: DataFrame | None) -> None:
             pass
 
 
-def _strip_scheme(p: str) -> str:
-    return p.split(":", 1)[1] if p.startswith("file:") else p
+def _norm(p: str) -> str:
+    """Scheme-free path, so ``file:/a`` and ``file:///a`` compare equal."""
+    u = urlparse(p)
+    return (u.netloc + u.path).rstrip("/") if u.scheme not in ("", "file") else u.path.rstrip("/")
