@@ -17,7 +17,7 @@ from risklens.operators.graph import components as C
 from risklens.operators.graph import community as L
 from risklens.operators.graph import lpa as P
 from risklens.operators.graph import report as R
-from risklens.plans.registry import register, rnd, table
+from risklens.plans.registry import REGISTRY, register, rnd, table
 
 SUPPLIER_OFFSET = 10 ** 12
 LPA_STEPS = 5
@@ -389,3 +389,73 @@ def q_louvain(spark, sf_dir):
 @register("louvain_communities", None)
 def q_louvain_communities(spark, sf_dir):
     return L.communities(L.louvain(sim_edges(spark, sf_dir), max_iter=5, layers=2))
+
+
+# ------------------------------------------------------------------ full Louvain oracle
+def _louvain_sql(max_iter: int = 5, layers: int = 2) -> str:
+    """Unrolled SQL of the full Louvain run.
+
+    A round without changes leaves the state as it is, so every level runs
+    exactly ``max_iter`` rounds; a level is reported only when every earlier
+    level changed something in its first round (the driver's stop rule).
+    """
+    parts = [SIM_SQL,
+             "m AS (SELECT sum(weight) AS m FROM sim)",
+             "E0 AS (SELECT src, dst, weight FROM sim)",
+             """N0_0 AS (SELECT id, id AS comm, sum(weight) AS degree, 0.0::DOUBLE AS inner_degree
+         FROM (SELECT src AS id, weight FROM sim UNION ALL SELECT dst, weight FROM sim) GROUP BY id)""",
+             "M0 AS (SELECT id AS vertex, id AS node FROM N0_0)",
+             "X0 AS (SELECT true AS ok)"]
+    snaps = []
+    for lv in range(layers + 2):
+        if lv > 0:
+            p, e = f"N{lv-1}_{max_iter}", f"E{lv-1}"
+            parts.append(f"""CT{lv} AS (SELECT x.weight, a.comm AS cs, b.comm AS cd
+        FROM {e} x JOIN {p} a ON x.src = a.id JOIN {p} b ON x.dst = b.id)""")
+            parts.append(f"""E{lv} AS (SELECT least(cs, cd) AS src, greatest(cs, cd) AS dst, sum(weight) AS weight
+        FROM CT{lv} WHERE cs <> cd GROUP BY 1, 2)""")
+            parts.append(f"""N{lv}_0 AS (
+  SELECT o.id, o.id AS comm, coalesce(d.degree, 0.0) AS degree,
+         o.inner0 + coalesce(i.intra, 0.0) AS inner_degree
+  FROM (SELECT comm AS id, sum(inner_degree) AS inner0 FROM {p} GROUP BY 1) o
+  LEFT JOIN (SELECT cs AS id, sum(weight * 2) AS intra FROM CT{lv} WHERE cs = cd GROUP BY 1) i USING (id)
+  LEFT JOIN (SELECT id, sum(weight) AS degree
+             FROM (SELECT src AS id, weight FROM E{lv} UNION ALL SELECT dst, weight FROM E{lv})
+             GROUP BY 1) d USING (id))""")
+            parts.append(f"""M{lv} AS (SELECT mm.vertex, n.comm AS node
+        FROM M{lv-1} mm JOIN {p} n ON mm.node = n.id)""")
+            parts.append(f"""X{lv} AS (SELECT x.ok AND (SELECT count(*) FROM MV{lv-1}_1 WHERE target <> comm) > 0 AS ok
+        FROM X{lv-1} x)""")
+        for it in range(1, max_iter + 1):
+            p, t = f"N{lv}_{it-1}", f"{lv}_{it}"
+            parts.append(f"""T{t} AS (SELECT x.src, x.dst, x.weight, a.comm AS cs, b.comm AS cd
+        FROM E{lv} x JOIN {p} a ON x.src = a.id JOIN {p} b ON x.dst = b.id)""")
+            parts.append(f"""K{t} AS (SELECT id, c, sum(weight) AS k_in
+        FROM (SELECT src AS id, cd AS c, weight FROM T{t} UNION ALL SELECT dst, cs, weight FROM T{t})
+        GROUP BY 1, 2)""")
+            parts.append(f"""Q{t} AS (
+  SELECT k.id, k.c, n.comm AS own,
+         k.k_in - 1.0::DOUBLE * (tt.tot - CASE WHEN k.c = n.comm THEN n.degree + n.inner_degree ELSE 0.0 END)
+                * (n.degree + n.inner_degree) / m.m AS q
+  FROM K{t} k
+  JOIN (SELECT comm AS c, sum(degree + inner_degree) AS tot FROM {p} GROUP BY 1) tt ON tt.c = k.c
+  JOIN {p} n ON n.id = k.id, m)""")
+            parts.append(f"""MV{t} AS (SELECT id, own AS comm, CASE WHEN q > 0 THEN c ELSE own END AS target
+        FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY q DESC, c) AS rn FROM Q{t})
+        WHERE rn = 1)""")
+            parts.append(f"""U{t} AS (SELECT id AS src, target AS dst FROM MV{t} WHERE id <> target
+        UNION SELECT target, id FROM MV{t} WHERE id <> target)""")
+            parts.append(f"""R{t}(id, r) AS (SELECT id, id FROM MV{t}
+        UNION SELECT x.id, u.dst FROM R{t} x JOIN U{t} u ON x.r = u.src)""")
+            parts.append(f"""N{t} AS (SELECT n.id, coalesce(c.component, n.comm) AS comm, n.degree, n.inner_degree
+        FROM {p} n LEFT JOIN (SELECT id, min(r) AS component FROM R{t} GROUP BY id) c USING (id))""")
+        snaps.append(f"""SELECT mm.vertex, {lv} AS level, n.comm AS community
+FROM M{lv} mm JOIN N{lv}_{max_iter} n ON mm.node = n.id, X{lv} WHERE X{lv}.ok""")
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + "\nUNION ALL\n".join(snaps)
+
+
+_LOUVAIN_FULL_SQL = _louvain_sql()
+REGISTRY["louvain"] = (q_louvain, _LOUVAIN_FULL_SQL)
+REGISTRY["louvain_communities"] = (
+    q_louvain_communities,
+    f"SELECT level, community, count(*) AS size FROM ({_LOUVAIN_FULL_SQL}) GROUP BY 1, 2")
