@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from risklens import defaults as D
 from risklens.functions.time import bucket_columns, bucket_label, epoch_micros
 from risklens.operators.stats import quantile_value
 
@@ -113,8 +114,9 @@ def _gap_table(df: DataFrame, group: list[str], ts: str, chunk_s: int) -> DataFr
 
 
 def gap_stats(df: DataFrame, keys: list[str], ts: str, interval_s: int,
-              q: float = 0.8, relative_error: float = 0.001, unit: str = "hour",
-              min_stdev: float | None = None, chunk_s: int = 60) -> DataFrame:
+              q: float = D.QUANTILE, relative_error: float = D.QUANTILE_RELATIVE_ERROR,
+              unit: str = "hour", min_stdev: float | None = None,
+              chunk_s: int = D.GAP_CHUNK_SECONDS) -> DataFrame:
     """CJ1 / U1: inter-arrival statistics per (keys, bucket).
 
     * ``frequency`` counts all rows of the group; gaps are taken between

@@ -17,6 +17,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from risklens import defaults as D
+
 SEED = 42
 
 # The classifier settings of the six jobs.
@@ -32,7 +34,8 @@ ESTIMATORS = {
 }
 
 
-def build_pipeline(all_data: DataFrame, kind: str, max_categories: int = 4,
+def build_pipeline(all_data: DataFrame, kind: str,
+                   max_categories: int = D.VECTOR_MAX_CATEGORIES,
                    **params) -> Pipeline:
     """ML1-ML4: indexers fitted on ``all_data``, then ``kind``'s estimator."""
     if kind not in ESTIMATORS:

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from risklens import defaults as D
+
 # Seeded vertices carry this reserved label instead of a real vertex id.
 SEED_LABEL = -1
 
@@ -41,8 +43,8 @@ def _attr_array(attrs: list[str], compat: bool) -> Column:
 
 
 def similarity_edges(df: DataFrame, key: str, attrs: list[str],
-                     compat: bool = False, hot_threshold: int | None = 100_000,
-                     salts: int = 16) -> DataFrame:
+                     compat: bool = False, hot_threshold: int | None = D.HOT_KEY_CELLS,
+                     salts: int = D.HOT_KEY_SALTS) -> DataFrame:
     """GR1: weighted edges between records with different keys.
 
     weight(a, b) = (number of positions where both records hold the same

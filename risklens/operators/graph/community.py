@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from risklens import defaults as D
 from risklens.operators.graph.build import vertex_strength
 from risklens.operators.graph.components import connected_components
 from risklens.session import append_table, cut_lineage, new_table_path, read_table, release
@@ -53,7 +54,7 @@ def neighbour_communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def best_moves(nodes: DataFrame, edges: DataFrame, m: float,
-               resolution: float = 2.0) -> DataFrame:
+               resolution: float = D.LOUVAIN_RESOLUTION) -> DataFrame:
     """GR9: ``(id, comm, target, gain)`` for every node with a neighbour."""
     if m <= 0:
         raise ValueError("total weight must be positive")
@@ -104,8 +105,9 @@ def relabel(nodes: DataFrame, moves: DataFrame):
     return out, rc
 
 
-def louvain_local(nodes: DataFrame, edges: DataFrame, m: float, max_iter: int = 5,
-                  resolution: float = 2.0) -> tuple[DataFrame, int]:
+def louvain_local(nodes: DataFrame, edges: DataFrame, m: float,
+                  max_iter: int = D.LOUVAIN_MAX_ITER,
+                  resolution: float = D.LOUVAIN_RESOLUTION) -> tuple[DataFrame, int]:
     """GR10: up to ``max_iter`` rounds of synchronous moves; stops after a
     round without changes. Returns the nodes and the number of rounds that
     changed something."""
@@ -156,8 +158,9 @@ def louvain_coarsen(nodes: DataFrame, edges: DataFrame,
     return new_nodes, cross, new_membership
 
 
-def louvain(edges: DataFrame, max_iter: int = 5, layers: int = 2,
-            resolution: float = 2.0) -> DataFrame:
+def louvain(edges: DataFrame, max_iter: int = D.LOUVAIN_MAX_ITER,
+            layers: int = D.LOUVAIN_LAYERS,
+            resolution: float = D.LOUVAIN_RESOLUTION) -> DataFrame:
     """GR11b: local phase, then up to ``layers + 1`` rounds of (coarsen,
     local phase), stopping when a local phase changes nothing.
 

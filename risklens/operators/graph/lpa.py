@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from risklens import defaults as D
 from risklens.operators.graph.build import SEED_LABEL, graph_vertices
 from risklens.session import cut_lineage, release
 
@@ -26,7 +27,7 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 
 
 def label_propagation(edges: DataFrame, vertices: DataFrame | None = None,
-                      max_steps: int = 5) -> DataFrame:
+                      max_steps: int = D.LABEL_PROPAGATION_STEPS) -> DataFrame:
     """GR5: each vertex takes the label with the largest summed incident
     weight (smallest label on ties); vertices without messages keep theirs.
 
@@ -58,7 +59,8 @@ def label_propagation(edges: DataFrame, vertices: DataFrame | None = None,
     return labels
 
 
-def bm_label_propagation(edges: DataFrame, vertices: DataFrame, max_steps: int = 5,
+def bm_label_propagation(edges: DataFrame, vertices: DataFrame,
+                         max_steps: int = D.LABEL_PROPAGATION_STEPS,
                          min_prob: float = 0.0, seed_label: int = SEED_LABEL) -> DataFrame:
     """GR6: label distributions ``(id, label, prob)``.
 

@@ -10,6 +10,8 @@ from pyspark.ml.fpm import FPGrowth, FPGrowthModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from risklens import defaults as D
+
 
 def baskets(df: DataFrame, fields: list[str]) -> DataFrame:
     """RU3: one transaction per row from ``fields``.
@@ -33,7 +35,8 @@ def grouped_baskets(df: DataFrame, key: str, item: str) -> DataFrame:
                               .alias("items")))
 
 
-def fit_fpgrowth(tx: DataFrame, min_support: float = 0.01, min_confidence: float = 0.0,
+def fit_fpgrowth(tx: DataFrame, min_support: float = D.FP_MIN_SUPPORT,
+                 min_confidence: float = D.FP_MIN_CONFIDENCE,
                  num_partitions: int | None = None, items_col: str = "items") -> FPGrowthModel:
     """RU1: fit FP-growth; ``num_partitions`` only when positive."""
     fp = FPGrowth(itemsCol=items_col, minSupport=min_support, minConfidence=min_confidence)
@@ -42,7 +45,7 @@ def fit_fpgrowth(tx: DataFrame, min_support: float = 0.01, min_confidence: float
     return fp.fit(tx)
 
 
-def frequent_itemsets(tx: DataFrame, min_support: float = 0.01,
+def frequent_itemsets(tx: DataFrame, min_support: float = D.FP_MIN_SUPPORT,
                       num_partitions: int | None = None) -> DataFrame:
     """RU1: ``(items array<string> sorted, size, freq)``."""
     model = fit_fpgrowth(tx, min_support, 0.0, num_partitions)
@@ -50,7 +53,8 @@ def frequent_itemsets(tx: DataFrame, min_support: float = 0.01,
                                      F.size("items").alias("size"), "freq")
 
 
-def association_rules(tx: DataFrame, min_support: float = 0.01, min_confidence: float = 0.0,
+def association_rules(tx: DataFrame, min_support: float = D.FP_MIN_SUPPORT,
+                      min_confidence: float = D.FP_MIN_CONFIDENCE,
                       num_partitions: int | None = None) -> DataFrame:
     """RU2 / RU5: single-consequent rules A => c with
 
@@ -70,8 +74,9 @@ def items_text(c) -> F.Column:
     return F.array_join(F.array_sort(c), ",")
 
 
-def rules_from_table(df: DataFrame, fields: list[str], min_support: float = 0.01,
-                     min_confidence: float = 0.0,
+def rules_from_table(df: DataFrame, fields: list[str],
+                     min_support: float = D.FP_MIN_SUPPORT,
+                     min_confidence: float = D.FP_MIN_CONFIDENCE,
                      num_partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
     """CJ8: baskets from table columns, then itemsets and rules.
 

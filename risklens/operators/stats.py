@@ -12,9 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from risklens import defaults as D
+
 
 def quantile_value(df: DataFrame, col: str, q: float,
-                   relative_error: float = 0.001) -> Column:
+                   relative_error: float = D.QUANTILE_RELATIVE_ERROR) -> Column:
     """Approximate ``q``-quantile of ``col`` as a scalar-subquery column.
 
     Same contract as ``approxQuantile(col, [q], relative_error)``: a value of
@@ -37,8 +39,8 @@ def _accuracy(relative_error: float) -> int:
     return max(1, int(round(1.0 / relative_error)))
 
 
-def filter_by_quantile(df: DataFrame, col: str, q: float = 0.8,
-                       relative_error: float = 0.001,
+def filter_by_quantile(df: DataFrame, col: str, q: float = D.QUANTILE,
+                       relative_error: float = D.QUANTILE_RELATIVE_ERROR,
                        strict: bool = False) -> DataFrame:
     """PF9: keep rows with ``col <= quantile`` (``<`` when ``strict``)."""
     cut = quantile_value(df, col, q, relative_error)
@@ -50,9 +52,9 @@ def _valid(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x)
 
 
-def histogram(df: DataFrame, col: str, n: int = 100, by: list[str] | None = None,
-              anchor: str = "min", q: float = 0.8,
-              relative_error: float = 0.001, zero_bin: bool = False,
+def histogram(df: DataFrame, col: str, n: int = D.HISTOGRAM_BINS,
+              by: list[str] | None = None, anchor: str = "min", q: float = D.QUANTILE,
+              relative_error: float = D.QUANTILE_RELATIVE_ERROR, zero_bin: bool = False,
               unit_width: bool = False) -> DataFrame:
     """Equal-width histogram of ``col`` -> (*by, bin, cnt, lo, hi).
 
