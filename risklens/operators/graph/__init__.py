@@ -9,11 +9,14 @@ from risklens.operators.graph.build import (  # noqa: F401
     similarity_edges, total_weight, union_edges, vertex_strength,
 )
 from risklens.operators.graph.components import connected_components  # noqa: F401
-from risklens.operators.graph.lpa import bm_label_propagation, label_propagation  # noqa: F401
+from risklens.operators.graph.lpa import (  # noqa: F401
+    bm_label_propagation, label_propagation, seed_probability,
+)
 from risklens.operators.graph.community import (  # noqa: F401
     best_moves, communities, louvain, louvain_coarsen, louvain_init, louvain_local,
     modularity,
 )
 from risklens.operators.graph.report import (  # noqa: F401
     community_density, fraud_groups, fraud_members, fraud_summary, grey_list,
+    grey_list_from_seeds, vertex_verdict,
 )

@@ -105,3 +105,39 @@ def bm_label_propagation(edges: DataFrame, vertices: DataFrame,
         release(dist)
         dist = nxt
     return dist.unionByName(isolated)
+
+
+def seed_probability(edges: DataFrame, vertices: DataFrame,
+                     max_steps: int = D.LABEL_PROPAGATION_STEPS) -> DataFrame:
+    """The seed-label probability of ``bm_label_propagation`` without the
+    rest of each distribution -> ``(id, prob)``.
+
+    Every distribution sums to one, so the normaliser of a receiving vertex
+    is its strength and ``P'(v, seed) = sum w * P(u, seed) / sum w`` -- one
+    number per vertex and round instead of a whole distribution. Both sums
+    come from the same aggregate over the same rows, so a vertex whose
+    neighbours are all pure seeds gets exactly 1.0 and is clamped from then
+    on, as in the full propagation. Equal to the full form (``min_prob=0``)
+    up to floating-point rounding. ``vertices(id, is_seed)``.
+    """
+    if max_steps <= 0:
+        raise ValueError("max_steps must be > 0")
+    w2 = cut_lineage(_both_ways(edges))
+    p = cut_lineage(vertices.select(
+        "id", F.when(F.col("is_seed"), F.lit(1.0)).otherwise(F.lit(0.0)).alias("prob")))
+    first = p
+    for step in range(max_steps):
+        agg = (w2.join(p.withColumnRenamed("id", "source"), on="source")
+               .groupBy(F.col("target").alias("id"))
+               .agg(F.sum(F.col("weight") * F.col("prob")).alias("s"),
+                    F.sum("weight").alias("z")))
+        nxt = (p.join(agg, on="id", how="left")
+               .select("id", F.when((F.col("prob") == 1.0) | F.col("z").isNull(), F.col("prob"))
+                       .otherwise(F.col("s") / F.col("z")).alias("prob")))
+        if step == max_steps - 1:
+            return nxt
+        nxt = cut_lineage(nxt)
+        if p is not first:
+            release(p)
+        p = nxt
+    return p

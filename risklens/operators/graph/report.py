@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from risklens.operators.graph.build import SEED_LABEL
 from risklens.operators.graph.components import connected_components
+from risklens.operators.graph.lpa import seed_probability
 from risklens.session import cut_lineage
 
 
@@ -29,6 +30,13 @@ def grey_list(dist: DataFrame, seed_label: int = SEED_LABEL) -> DataFrame:
     return v.where(F.col("label") == seed_label).select("id", "prob")
 
 
+def grey_list_from_seeds(edges: DataFrame, labels: DataFrame, max_steps: int) -> DataFrame:
+    """GR14 grey list straight from seeds: vertices whose seed probability
+    after ``max_steps`` rounds of seeded propagation is positive."""
+    p = seed_probability(edges, labels.select("id", "is_seed"), max_steps)
+    return p.where(F.col("prob") > 0)
+
+
 def grey_subgraph(grey: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges with both ends on the grey list (two semi joins)."""
     ids = grey.select("id")

@@ -272,8 +272,7 @@ gsub AS (SELECT s.* FROM sim s WHERE s.src IN (SELECT id FROM grey) AND s.dst IN
 def _grey(spark, sf_dir):
     e = sim_edges(spark, sf_dir)
     labels, counts = seeds(spark, sf_dir, e)
-    dist = P.bm_label_propagation(e, labels, max_steps=BM_STEPS)
-    return e, R.grey_list(dist), counts
+    return e, R.grey_list_from_seeds(e, labels, BM_STEPS), counts
 
 
 @register("grey_list", f"""WITH RECURSIVE {_GREY_SQL}

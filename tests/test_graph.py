@@ -322,3 +322,25 @@ def test_similarity_hot_value_salting_is_exact(spark):
     salted = rows(B.similarity_edges(df, "k", ["a0", "a1"], hot_threshold=10, salts=4))
     assert salted == plain
     assert plain == brute_sim(data, False)
+
+
+def test_seed_probability_equals_full_propagation(spark):
+    rnd = random.Random(21)
+    triples = [(rnd.randrange(40), rnd.randrange(40), rnd.choice([0.3, 0.5, 1.0, 2.5]))
+               for _ in range(100)]
+    triples = [t for t in triples if t[0] != t[1]]
+    ids = sorted({x for a, b, _ in triples for x in (a, b)} | {99})
+    seeds = set(rnd.sample(ids, 6))
+    verts = spark.createDataFrame([(i, -1 if i in seeds else i, i in seeds) for i in ids],
+                                  "id long, label long, is_seed boolean")
+    e = edges_df(spark, triples)
+    for steps in (1, 3):
+        full = {r.id: r.prob for r in
+                P.bm_label_propagation(e, verts, max_steps=steps).where("label = -1").collect()}
+        fast = dict(rows(P.seed_probability(e, verts, max_steps=steps)))
+        assert set(fast) == set(ids)
+        for i in ids:
+            assert fast[i] == pytest.approx(full.get(i, 0.0), rel=1e-12, abs=1e-15)
+            assert (fast[i] == 1.0) == (full.get(i, 0.0) == 1.0)
+    grey = dict(rows(R.grey_list_from_seeds(e, verts, 3)))
+    assert set(grey) == {i for i, p in fast.items() if p > 0}
