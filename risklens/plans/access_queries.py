@@ -134,21 +134,31 @@ def q_integer_hist(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- CJ1
-_GAP_SQL = f"""
-WITH b AS (SELECT user_id, {_BUCKET_DAY_SQL} AS bucket_start, epoch_us(ts) AS t_us
-           FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
-     counts AS (SELECT user_id, bucket_start, count(*) AS frequency FROM b GROUP BY ALL),
-     d AS (SELECT DISTINCT user_id, bucket_start, t_us FROM b),
-     g AS (SELECT user_id, bucket_start,
-                  t_us - lag(t_us) OVER (PARTITION BY user_id, bucket_start ORDER BY t_us) AS gap
+def _gap_sql(keys: str = "user_id", min_stdev: float | None = None) -> str:
+    """Oracle for gap statistics; ``keys`` is a comma-separated column list."""
+    ks = [k.strip() for k in keys.split(",")]
+    notnull = " AND ".join(f"{k} IS NOT NULL" for k in ks)
+    part = ", ".join(ks)
+    strict = f" AND s.stdev_gap_ms > {min_stdev}" if min_stdev is not None else ""
+    sel = ", ".join(f"c.{k}" for k in ks)
+    return f"""
+WITH b AS (SELECT {part}, {_BUCKET_DAY_SQL} AS bucket_start, epoch_us(ts) AS t_us
+           FROM events WHERE {notnull} AND ts IS NOT NULL),
+     counts AS (SELECT {part}, bucket_start, count(*) AS frequency FROM b GROUP BY ALL),
+     d AS (SELECT DISTINCT {part}, bucket_start, t_us FROM b),
+     g AS (SELECT {part}, bucket_start,
+                  t_us - lag(t_us) OVER (PARTITION BY {part}, bucket_start ORDER BY t_us) AS gap
            FROM d),
-     s AS (SELECT user_id, bucket_start, count(*) AS n_gaps, avg(gap) / 1000.0 AS mean_gap_ms,
+     s AS (SELECT {part}, bucket_start, count(*) AS n_gaps, avg(gap) / 1000.0 AS mean_gap_ms,
                   stddev_pop(gap) / 1000.0 AS stdev_gap_ms
            FROM g WHERE gap IS NOT NULL GROUP BY ALL),
      p AS (SELECT quantile_disc(frequency, 0.8) AS p80 FROM counts)
-SELECT c.user_id, c.bucket_start, c.frequency, s.n_gaps, s.mean_gap_ms, s.stdev_gap_ms
-FROM counts c JOIN s USING (user_id, bucket_start), p
-WHERE c.frequency <= p.p80 AND s.mean_gap_ms > 0"""
+SELECT {sel}, c.bucket_start, c.frequency, s.n_gaps, s.mean_gap_ms, s.stdev_gap_ms
+FROM counts c JOIN s USING ({part}, bucket_start), p
+WHERE c.frequency <= p.p80 AND s.mean_gap_ms > 0{strict}"""
+
+
+_GAP_SQL = _gap_sql()
 
 
 @register("gap_stats", f"""
@@ -256,3 +266,55 @@ def q_uri_dense_rank(spark, sf_dir):
     r = A.uri_dense_rank(_events(spark, sf_dir), "user_id", "event_type", "ts", DAY)
     return r.select("user_id", "event_type", "bucket_start", "frequency",
                     F.col("uri_rank").cast("long").alias("uri_rank"))
+
+
+# CJ1 with the jobs' own grouping (client and uri) and the stricter
+# ``stdev > 0`` filter (PF10).
+@register("gap_stats_uri", f"""
+SELECT user_id, event_type, bucket_start, frequency, n_gaps, mean_gap_ms,
+       round(stdev_gap_ms * 1000, 3) / 1000 AS stdev_gap_ms
+FROM ({_gap_sql("user_id, event_type")}) x""")
+def q_gap_stats_uri(spark, sf_dir):
+    g = A.gap_stats(_events(spark, sf_dir), ["user_id", "event_type"], "ts", DAY)
+    return g.select("user_id", "event_type", "bucket_start", "frequency", "n_gaps",
+                    "mean_gap_ms", ms_round("stdev_gap_ms").alias("stdev_gap_ms"))
+
+
+@register("gap_stats_min_stdev", f"""
+SELECT user_id, bucket_start, frequency, n_gaps, mean_gap_ms,
+       round(stdev_gap_ms * 1000, 3) / 1000 AS stdev_gap_ms
+FROM ({_gap_sql("user_id", 0.0)}) x""")
+def q_gap_stats_min_stdev(spark, sf_dir):
+    g = A.gap_stats(_events(spark, sf_dir), ["user_id"], "ts", DAY, min_stdev=0.0)
+    return g.select("user_id", "bucket_start", "frequency", "n_gaps", "mean_gap_ms",
+                    ms_round("stdev_gap_ms").alias("stdev_gap_ms"))
+
+
+# PF2: frequency in 15-minute buckets (minute form of the label).
+@register("frequency_minute", """
+SELECT user_id, event_type, bucket_start,
+       concat_ws(':', day(bucket_start), hour(bucket_start), minute(bucket_start)) AS bucket_label,
+       count(*) AS frequency
+FROM (SELECT user_id, event_type,
+             date_trunc('minute', ts) - to_minutes(minute(ts) % 15) AS bucket_start
+      FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL AND ts IS NOT NULL
+        AND event_type IN ('click', 'view', 'purchase')) e
+GROUP BY ALL""")
+def q_frequency_minute(spark, sf_dir):
+    f = A.access_frequency(_events(spark, sf_dir), ["user_id"], "ts", 15 * 60,
+                           value_col="event_type", values=WATCHED, unit="minute")
+    return f.select("user_id", "event_type", "bucket_start", "bucket_label", "frequency")
+
+
+# IO9: the report line of a histogram, ``bin:cnt`` pairs in bin order.
+@register("gap_hist_report", f"""
+WITH x AS (SELECT round(spread_ms, 3) AS x FROM ({_SPREAD_SQL}) s
+           WHERE spread_ms IS NOT NULL AND NOT isnan(spread_ms)),
+     b AS (SELECT min(x) AS lo, max(x) AS hi FROM x),
+     h AS (SELECT CAST(coalesce(floor((x - lo) / nullif((hi - lo) / 100.0, 0)), 0) AS BIGINT) AS bin,
+                  lo, hi, count(*) AS cnt FROM x, b GROUP BY ALL)
+SELECT lo, hi, string_agg(concat(bin, ':', cnt), ',' ORDER BY bin) AS bins FROM h GROUP BY lo, hi""")
+def q_gap_hist_report(spark, sf_dir):
+    s = A.regularity_spread(_gap_stats(spark, sf_dir), ["user_id"])
+    s = s.select(rnd("spread_ms", 3).alias("spread_ms"))
+    return S.histogram_string(S.histogram(s, "spread_ms", n=100)).select("lo", "hi", "bins")
