@@ -91,10 +91,10 @@ def _components_sql(edge_rel: str, vert_rel: str, name: str) -> str:
 {name} AS (SELECT id, min(r) AS component FROM {name}_reach GROUP BY id)"""
 
 
-def _lpa_sql(steps: int) -> str:
+def _lpa_sql(steps: int, start: str = "SELECT id, id AS label FROM verts") -> str:
     parts = ["e2 AS (SELECT src AS target, dst AS source, weight FROM sim "
              "UNION ALL SELECT dst, src, weight FROM sim)",
-             "l0 AS (SELECT id, id AS label FROM verts)"]
+             f"l0 AS ({start})"]
     for k in range(1, steps + 1):
         parts.append(f"""l{k} AS (
   SELECT v.id, coalesce(b.label, v.label) AS label FROM l{k-1} v LEFT JOIN (
@@ -261,6 +261,16 @@ def q_bm_label_propagation(spark, sf_dir):
     return d.select("id", "label", rnd("prob", 9).alias("prob"))
 
 
+# GR5 started from the seeded labels (blacklisted vertices share label -1)
+@register("label_propagation_seeded", f"""WITH {SIM_SQL}, {SEED_SQL},
+{_lpa_sql(LPA_STEPS, "SELECT id, label FROM lab")}
+SELECT id, label FROM l{LPA_STEPS}""")
+def q_label_propagation_seeded(spark, sf_dir):
+    e = sim_edges(spark, sf_dir)
+    labels, _ = seeds(spark, sf_dir, e)
+    return P.label_propagation(e, labels.select("id", "label"), max_steps=LPA_STEPS)
+
+
 # ------------------------------------------------------------------ GR14
 _GREY_SQL = f"""{SIM_SQL}, {SEED_SQL},
 {_bm_sql(BM_STEPS)},
