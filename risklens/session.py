@@ -9,7 +9,8 @@ from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
-_TABLES: dict[int, str] = {}
+# Folders written by cut_lineage / read_table in this process.
+_TABLES: set[str] = set()
 
 DEFAULT_CONF = {
     "spark.ui.enabled": "false",
@@ -82,9 +83,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = new_table_path(spark)
     df.write.mode("errorifexists").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _TABLES[id(out)] = path
-    return out
+    _TABLES.add(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def new_table_path(spark: SparkSession) -> str:
@@ -100,38 +100,28 @@ def append_table(df: DataFrame, path: str) -> None:
 
 
 def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
-    out = spark.read.schema(schema).parquet(path)
-    _TABLES[id(out)] = path
-    return out
+    _TABLES.add(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def release(df: DataFrame | None) -> None:
     """Delete the tables written by ``cut_lineage`` that ``df`` reads, once
-    a loop has superseded them. Frames not backed by such tables are left
-    alone; deletion is best effort."""
-    if df is None:
+    nothing needs them any more (a loop's superseded round, or a consumed
+    result). Tables are found through the frame's input files, so frames
+    not backed by such tables are left alone; deletion is best effort."""
+    if df is None or not _TABLES:
         return
-    paths = set()
-    own = _TABLES.pop(id(df), None)
-    if own:
-        paths.add(own)
-    else:
-        try:
-            files = df.inputFiles()
-        except Exception:  # noqa: BLE001
-            files = []
-        known = {_norm(p): p for p in _TABLES.values()}
-        for f in files:
-            nf = _norm(f)
-            for np_, p in known.items():
-                if nf.startswith(np_ + "/"):
-                    paths.add(p)
+    try:
+        files = df.inputFiles()
+    except Exception:  # noqa: BLE001
+        return
+    known = {_norm(p): p for p in _TABLES}
+    paths = {p for f in files for np_, p in known.items() if _norm(f).startswith(np_ + "/")}
     if not paths:
         return
     spark = df.sparkSession
     for path in paths:
-        for k in [k for k, v in _TABLES.items() if v == path]:
-            del _TABLES[k]
+        _TABLES.discard(path)
         try:
             hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
             hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)

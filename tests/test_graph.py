@@ -344,3 +344,43 @@ def test_seed_probability_equals_full_propagation(spark):
             assert (fast[i] == 1.0) == (full.get(i, 0.0) == 1.0)
     grey = dict(rows(R.grey_list_from_seeds(e, verts, 3)))
     assert set(grey) == {i for i, p in fast.items() if p > 0}
+
+
+def test_bm_lpa_min_prob_drops_and_renormalises(spark):
+    # the cut (0.23) is no ratio of small sums of 0.5/1.0 weights: a cut on an
+    # exact ratio such as 1/5 would make the result depend on summation order
+    rnd = random.Random(31)
+    triples = [(rnd.randrange(25), rnd.randrange(25), rnd.choice([0.5, 1.0])) for _ in range(50)]
+    triples = [t for t in triples if t[0] != t[1]]
+    ids = sorted({x for a, b, _ in triples for x in (a, b)})
+    labels = {i: (-1 if i in ids[:4] else i) for i in ids}
+    verts = spark.createDataFrame(list(labels.items()), "id long, label long")
+    got = defaultdict(dict)
+    for r in P.bm_label_propagation(edges_df(spark, triples), verts, max_steps=3,
+                                    min_prob=0.23).collect():
+        got[r.id][r.label] = r.prob
+    # model: full step, then drop labels below the cut and renormalise
+    dist = {i: {l: 1.0} for i, l in labels.items()}
+    for _ in range(3):
+        s = defaultdict(lambda: defaultdict(float))
+        for a, b, w in triples:
+            for l, p in dist[b].items():
+                s[a][l] += w * p
+            for l, p in dist[a].items():
+                s[b][l] += w * p
+        new = {}
+        for i, d in dist.items():
+            if not s[i] or d.get(-1, 0.0) == 1.0:
+                new[i] = d
+                continue
+            z = sum(s[i].values())
+            kept = {l: v / z for l, v in s[i].items() if v / z >= 0.23}
+            z2 = sum(kept.values())
+            new[i] = {l: v / z2 for l, v in kept.items()}
+        dist = new
+    assert set(got) == set(dist)
+    for i in dist:
+        assert set(got[i]) == set(dist[i])
+        assert all(p >= 0.23 for p in got[i].values())
+        for l, p in dist[i].items():
+            assert got[i][l] == pytest.approx(p, rel=1e-9)

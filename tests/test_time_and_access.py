@@ -193,3 +193,20 @@ def test_write_result_partitioned(spark, tmp_path):
     write_result(df, out, partition_by=["bucket"])
     back = spark.read.parquet(out)
     assert sorted((r.x, r.bucket) for r in back.collect()) == [(1, "a"), (2, "b")]
+
+
+def test_gap_stats_hot_key_matches_brute_force(spark):
+    rnd = random.Random(41)
+    hot = [(0, rnd.randrange(0, 6 * 3600) + rnd.choice([0, 0.5])) for _ in range(600)]
+    cold = [(k, rnd.randrange(0, 6 * 3600)) for k in range(1, 60) for _ in range(20)]
+    data = hot + cold  # key 0 holds a third of all rows, over ~360 one-minute chunks
+    df = events(spark, data)
+    got = {(r.k, int((r.bucket_start - T0).total_seconds() // 21600)):
+           (r.frequency, r.mean_gap_ms, r.stdev_gap_ms)
+           for r in A.gap_stats(df, ["k"], "ts", 21600, q=1.0).collect()}
+    exp = brute_gap_stats(data, 21600)
+    assert got.keys() == exp.keys()
+    assert got[(0, 0)][0] == 600
+    for g in exp:
+        assert got[g][1] == pytest.approx(exp[g][1], rel=1e-12)
+        assert got[g][2] == pytest.approx(exp[g][2], rel=1e-9, abs=1e-6)
