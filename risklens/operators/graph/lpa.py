@@ -125,7 +125,6 @@ def seed_probability(edges: DataFrame, vertices: DataFrame,
     w2 = cut_lineage(_both_ways(edges))
     p = cut_lineage(vertices.select(
         "id", F.when(F.col("is_seed"), F.lit(1.0)).otherwise(F.lit(0.0)).alias("prob")))
-    first = p
     for step in range(max_steps):
         agg = (w2.join(p.withColumnRenamed("id", "source"), on="source")
                .groupBy(F.col("target").alias("id"))
@@ -137,7 +136,6 @@ def seed_probability(edges: DataFrame, vertices: DataFrame,
         if step == max_steps - 1:
             return nxt
         nxt = cut_lineage(nxt)
-        if p is not first:
-            release(p)
+        release(p)
         p = nxt
     return p
