@@ -214,19 +214,23 @@ def communities(membership: DataFrame) -> DataFrame:
     return membership.groupBy("level", "community").agg(F.count("*").alias("size"))
 
 
-def modularity(edges: DataFrame, assignment: DataFrame, resolution: float = 1.0) -> DataFrame:
-    """Modularity of ``assignment(vertex, community)`` on the undirected view
-    of ``edges``: ``sum_c in_c / 2M - resolution * (tot_c / 2M)^2``."""
+def modularity(edges: DataFrame, assignment: DataFrame, resolution: float = 1.0,
+               by: list[str] | None = None) -> DataFrame:
+    """Modularity of ``assignment(vertex, community[, *by])`` on the
+    undirected view of ``edges``: ``sum_c in_c / 2M - resolution * (tot_c / 2M)^2``,
+    one row per ``by`` group (e.g. per Louvain level)."""
+    by = list(by or [])
     e = edges.select("src", "dst", "weight")
     two_m = e.agg(F.sum(F.col("weight") * 2)).scalar()
-    a = assignment.select(F.col("vertex").alias("v"), F.col("community").alias("c"))
+    a = assignment.select(F.col("vertex").alias("v"), F.col("community").alias("c"), *by)
     strength = vertex_strength(e).join(a.withColumnRenamed("v", "id"), on="id")
-    tot = strength.groupBy("c").agg(F.sum("degree").alias("tot"))
-    ins = (e.join(a.select(F.col("v").alias("src"), F.col("c").alias("cs")), on="src")
-           .join(a.select(F.col("v").alias("dst"), F.col("c").alias("cd")), on="dst")
+    tot = strength.groupBy(*by, "c").agg(F.sum("degree").alias("tot"))
+    ins = (e.join(a.select(F.col("v").alias("src"), F.col("c").alias("cs"), *by), on="src")
+           .join(a.select(F.col("v").alias("dst"), F.col("c").alias("cd"), *by), on=["dst", *by])
            .where(F.col("cs") == F.col("cd"))
-           .groupBy(F.col("cs").alias("c")).agg(F.sum(F.col("weight") * 2).alias("in_c")))
-    per_c = tot.join(ins, on="c", how="left").select(
+           .groupBy(*by, F.col("cs").alias("c")).agg(F.sum(F.col("weight") * 2).alias("in_c")))
+    per_c = tot.join(ins, on=[*by, "c"], how="left").select(
+        *by,
         (F.coalesce("in_c", F.lit(0.0)) / two_m
          - F.lit(resolution) * (F.col("tot") / two_m) * (F.col("tot") / two_m)).alias("q"))
-    return per_c.agg(F.sum("q").alias("modularity"))
+    return per_c.groupBy(*by).agg(F.sum("q").alias("modularity"))

@@ -401,7 +401,7 @@ def q_louvain_communities(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ full Louvain oracle
-def _louvain_sql(max_iter: int = 5, layers: int = 2) -> str:
+def _louvain_sql(max_iter: int = 5, layers: int = 2) -> tuple[str, str]:
     """Unrolled SQL of the full Louvain run.
 
     A round without changes leaves the state as it is, so every level runs
@@ -460,11 +460,34 @@ def _louvain_sql(max_iter: int = 5, layers: int = 2) -> str:
         FROM {p} n LEFT JOIN (SELECT id, min(r) AS component FROM R{t} GROUP BY id) c USING (id))""")
         snaps.append(f"""SELECT mm.vertex, {lv} AS level, n.comm AS community
 FROM M{lv} mm JOIN N{lv}_{max_iter} n ON mm.node = n.id, X{lv} WHERE X{lv}.ok""")
-    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + "\nUNION ALL\n".join(snaps)
+    return ",\n".join(parts), "\nUNION ALL\n".join(snaps)
 
 
-_LOUVAIN_FULL_SQL = _louvain_sql()
+_LOUVAIN_CTES, _LOUVAIN_SNAPS = _louvain_sql()
+_LOUVAIN_FULL_SQL = f"WITH RECURSIVE {_LOUVAIN_CTES}\n{_LOUVAIN_SNAPS}"
 REGISTRY["louvain"] = (q_louvain, _LOUVAIN_FULL_SQL)
 REGISTRY["louvain_communities"] = (
     q_louvain_communities,
     f"SELECT level, community, count(*) AS size FROM ({_LOUVAIN_FULL_SQL}) GROUP BY 1, 2")
+
+
+# Modularity of every Louvain level at the run's resolution (2.0).
+@register("louvain_modularity", f"""WITH RECURSIVE {_LOUVAIN_CTES},
+lv AS ({_LOUVAIN_SNAPS}),
+tm AS (SELECT sum(2 * weight) AS t FROM sim),
+st AS (SELECT id, sum(weight) AS degree
+       FROM (SELECT src AS id, weight FROM sim UNION ALL SELECT dst, weight FROM sim) GROUP BY id),
+tot AS (SELECT l.level, l.community AS c, sum(st.degree) AS tot
+        FROM lv l JOIN st ON st.id = l.vertex GROUP BY 1, 2),
+ins AS (SELECT a.level, a.community AS c, sum(2 * x.weight) AS in_c
+        FROM sim x JOIN lv a ON x.src = a.vertex
+                   JOIN lv b ON x.dst = b.vertex AND a.level = b.level
+        WHERE a.community = b.community GROUP BY 1, 2)
+SELECT t.level, round(sum(coalesce(i.in_c, 0.0) / tm.t - 2.0 * (t.tot / tm.t) * (t.tot / tm.t)), 9)
+         AS modularity
+FROM tot t LEFT JOIN ins i USING (level, c), tm GROUP BY t.level""")
+def q_louvain_modularity(spark, sf_dir):
+    e = sim_edges(spark, sf_dir)
+    mem = L.louvain(e)
+    q = L.modularity(e, mem, resolution=2.0, by=["level"])
+    return q.select("level", rnd("modularity", 9).alias("modularity"))
