@@ -108,3 +108,19 @@ def test_rule_identities_on_fixture(spark):
         assert r.support * n == pytest.approx(fi[union])
         assert r.confidence == pytest.approx(fi[union] / fi[tuple(r.antecedent)])
         assert r.lift == pytest.approx(r.confidence / (fi[tuple(r.consequent)] / n))
+
+
+def test_libsvm_train_and_score(spark, tmp_path):
+    from risklens.sources.readers import read_libsvm
+
+    def write(name, rows_):
+        p = tmp_path / name
+        p.write_text("".join(f"{y} 1:{a} 2:{b}\n" for y, a, b in rows_))
+        return str(p)
+    train_rows = [(float(i % 2), (i % 2) * 3 + (i % 5) * 0.1, (i % 3) * 0.2) for i in range(60)]
+    test_rows = [(float(i % 2), (i % 2) * 3 + 0.05, 0.1) for i in range(10)]
+    tr = read_libsvm(spark, write("train.txt", train_rows), num_features=2)
+    te = read_libsvm(spark, write("test.txt", test_rows), num_features=2)
+    assert tr.columns == ["label", "features"] and tr.count() == 60
+    m = {r.dataset: r for r in M.train_and_score(tr, te, tr.unionByName(te), "decision_tree").collect()}
+    assert m["test"].n == 10 and m["test"].recall == 1.0 and m["test"].precision == 1.0
