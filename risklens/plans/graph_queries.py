@@ -271,6 +271,26 @@ def q_label_propagation_seeded(spark, sf_dir):
     return P.label_propagation(e, labels.select("id", "label"), max_steps=LPA_STEPS)
 
 
+# GR14 per-vertex verdict over the 3-step distributions, probabilities taken
+# at 9 decimals on both sides so near-ties compare alike in both engines
+@register("vertex_verdict", f"""WITH {SIM_SQL}, {SEED_SQL},
+{_bm_sql(BM_STEPS)},
+r AS (SELECT id, label, round(prob, 9) AS prob FROM d{BM_STEPS}),
+sp AS (SELECT id, prob AS sp FROM r WHERE label = -1),
+best AS (SELECT id, label, prob FROM (
+           SELECT id, label, prob,
+                  row_number() OVER (PARTITION BY id ORDER BY prob DESC, label) AS rn FROM r)
+         WHERE rn = 1)
+SELECT b.id, CASE WHEN coalesce(sp.sp, 0) > 0 THEN -1 ELSE b.label END AS label,
+       CASE WHEN coalesce(sp.sp, 0) > 0 THEN sp.sp ELSE b.prob END AS prob
+FROM best b LEFT JOIN sp USING (id)""")
+def q_vertex_verdict(spark, sf_dir):
+    e = sim_edges(spark, sf_dir)
+    labels, _ = seeds(spark, sf_dir, e)
+    dist = P.bm_label_propagation(e, labels, max_steps=BM_STEPS)
+    return R.vertex_verdict(dist.withColumn("prob", rnd("prob", 9)))
+
+
 # ------------------------------------------------------------------ GR14
 _GREY_SQL = f"""{SIM_SQL}, {SEED_SQL},
 {_bm_sql(BM_STEPS)},
