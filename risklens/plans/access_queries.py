@@ -211,13 +211,14 @@ def q_gap_hist_by_bucket(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- CJ6 / U2
-_WIN_SQL = f"""
+def _win_sql(step: int) -> str:
+    return f"""
 WITH t AS (SELECT user_id, epoch_us(ts) AS t_us FROM events
            WHERE user_id IS NOT NULL AND ts IS NOT NULL),
-     w AS (SELECT range AS w, {WIN_START}::BIGINT * 1000000 + range * {WIN_STEP}::BIGINT * 1000000 AS w_lo
-           FROM range(0, CAST(ceil(({WIN_END} - {WIN_START}) / {WIN_STEP}) AS BIGINT))),
+     w AS (SELECT range AS w, {WIN_START}::BIGINT * 1000000 + range * {step}::BIGINT * 1000000 AS w_lo
+           FROM range(0, CAST(ceil(({WIN_END} - {WIN_START}) / {step}) AS BIGINT))),
      m AS (SELECT DISTINCT t.user_id, w.w, t.t_us FROM t JOIN w
-           ON t.t_us >= w.w_lo AND t.t_us <= w.w_lo + {WIN_STEP}::BIGINT * 1000000),
+           ON t.t_us >= w.w_lo AND t.t_us <= w.w_lo + {step}::BIGINT * 1000000),
      g AS (SELECT user_id, w, t_us - lag(t_us) OVER (PARTITION BY user_id, w ORDER BY t_us) AS gap
            FROM m),
      wm AS (SELECT user_id, w, avg(gap) / 1000.0 AS mean_gap_ms FROM g
@@ -228,6 +229,9 @@ SELECT k.user_id, s.spread_ms, coalesce(s.n_windows, 0) AS n_windows
 FROM (SELECT DISTINCT user_id FROM t) k LEFT JOIN s USING (user_id)"""
 
 
+_WIN_SQL = _win_sql(WIN_STEP)
+
+
 @register("windowed_gap_spread", f"""
 SELECT user_id, round(spread_ms * 1000, 3) / 1000 AS spread_ms, n_windows FROM ({_WIN_SQL}) x""")
 def q_windowed_gap_spread(spark, sf_dir):
@@ -318,3 +322,11 @@ def q_gap_hist_report(spark, sf_dir):
     s = A.regularity_spread(_gap_stats(spark, sf_dir), ["user_id"])
     s = s.select(rnd("spread_ms", 3).alias("spread_ms"))
     return S.histogram_string(S.histogram(s, "spread_ms", n=100)).select("lo", "hi", "bins")
+
+
+# CJ6 with a second interval (several intervals = one call each): 12 h windows.
+@register("windowed_gap_spread_12h", f"""
+SELECT user_id, round(spread_ms * 1000, 3) / 1000 AS spread_ms, n_windows FROM ({_win_sql(43200)}) x""")
+def q_windowed_gap_spread_12h(spark, sf_dir):
+    s = A.windowed_gap_spread(_events(spark, sf_dir), ["user_id"], "ts", WIN_START, WIN_END, 43200)
+    return s.select("user_id", ms_round("spread_ms").alias("spread_ms"), "n_windows")
