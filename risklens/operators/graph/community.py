@@ -73,7 +73,7 @@ def best_moves(nodes: DataFrame, edges: DataFrame, m: float,
         F.when(move, F.col("b.q")).otherwise(F.lit(0.0)).alias("gain"))
 
 
-def relabel(nodes: DataFrame, moves: DataFrame):
+def relabel(nodes: DataFrame, moves: DataFrame, reps_move: bool | None = None):
     """GR10 step: every node with a move row takes the smallest id of its
     connected component in the graph of (node, target) pairs; the others
     keep their community. Returns ``(nodes, component_table)``.
@@ -89,7 +89,9 @@ def relabel(nodes: DataFrame, moves: DataFrame):
     rep_moves = (moves.join(reps, on="id", how="left_semi")
                  .where(F.col("target") != F.col("id"))
                  .select(F.col("id").alias("src"), F.col("target").alias("dst")))
-    if rep_moves.isEmpty():  # one small job; spares the component rounds
+    if reps_move is None:
+        reps_move = not rep_moves.isEmpty()
+    if not reps_move:  # no representative moves: every node is a leaf
         rc = moves.sparkSession.createDataFrame([], "id long, component long")
     else:
         rc = connected_components(rep_moves, materialize_input=False)
@@ -115,15 +117,23 @@ def louvain_local(nodes: DataFrame, edges: DataFrame, m: float,
     own = None  # node tables written here are released once superseded
     while rounds < max_iter:
         moves = cut_lineage(best_moves(nodes, edges, m, resolution))
-        changed = moves.where(F.col("target") != F.col("comm")).count()
-        relabelled, cc = relabel(nodes, moves)
+        reps = nodes.where(F.col("id") == F.col("comm")).select("id", F.lit(True).alias("rep"))
+        counts = (moves.join(reps, on="id", how="left")
+                  .agg(F.count_if(F.col("target") != F.col("comm")).alias("changed"),
+                       F.count_if(F.col("rep") & (F.col("target") != F.col("id"))).alias("reps"))
+                  .first())
+        changed = counts["changed"]
+        if changed == 0:
+            # every target is the node's own community, whose id is its
+            # smallest member: relabelling would change nothing
+            release(moves)
+            break
+        relabelled, cc = relabel(nodes, moves, reps_move=counts["reps"] > 0)
         nodes = cut_lineage(relabelled)
         release(cc)
         release(moves)
         release(own)
         own = nodes
-        if changed == 0:
-            break
         rounds += 1
     return nodes, rounds
 
