@@ -44,7 +44,9 @@ FAST = ["access_frequency", "frequency_cv", "cv_hist", "gap_stats", "gap_hist_by
         "windowed_gap_spread", "gap_hist_zero_bin", "uri_dense_rank", "similarity_edges",
         "cooccurrence_edges", "vertex_strength", "black_counts", "connected_components",
         "label_propagation", "bm_label_propagation", "fraud_summary", "louvain_best_move",
-        "louvain_coarsen_nodes", "louvain", "frequent_itemsets", "association_rules", "precision_recall"]
+        "louvain_coarsen_nodes", "louvain", "frequent_itemsets", "association_rules", "precision_recall",
+        "gap_stats_uri", "gap_stats_min_stdev", "frequency_minute", "gap_hist_report",
+        "windowed_gap_spread_12h", "label_propagation_seeded", "vertex_verdict"]
 
 
 @pytest.mark.parametrize("name", FAST)
