@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from risklens.llm import token_file, vectors
+from risklens.llm import mixing, token_file, vectors
 
 QUERIES = {
     "op1_token_orc": token_file.op1_token_orc,
+    "op5_mix": mixing.op5_mix,
     "op7_exact_topk": vectors.op7_exact_topk,
 }
 
 ORACLE_SQL = {
+    "op5_mix": mixing.OP5_SQL,
     "op7_exact_topk": vectors.OP7_SQL,
 }

@@ -42,3 +42,14 @@ def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
         return df
     share = int(most / n * (1 << 32))
     return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(1 << 32)) < share)
+
+
+#: Rows up to which a table of short rows is broadcast (about 5 MB).
+SMALL_ROWS = 50_000
+
+
+def join_small(df: DataFrame, small: DataFrame, on: Column, how: str = "left") -> DataFrame:
+    """Join a table that is usually small (one row per source, suffix, ...):
+    broadcast if a count shows it to be so, else an ordinary join, whose hot
+    keys Spark splits at run time. ``small`` must be cheap to count."""
+    return df.join(F.broadcast(small) if small.count() <= SMALL_ROWS else small, on, how)
