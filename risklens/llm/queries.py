@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from risklens.llm import mixing, token_file, vectors
+from risklens.llm import mixing, token_file, urls, vectors
 
 QUERIES = {
     "op1_token_orc": token_file.op1_token_orc,
     "op5_mix": mixing.op5_mix,
     "op7_exact_topk": vectors.op7_exact_topk,
+    "op10_url_filter": urls.op10_url_filter,
 }
 
 ORACLE_SQL = {
