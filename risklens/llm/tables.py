@@ -40,7 +40,7 @@ def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
     n = df.count()
     if n <= most:
         return df
-    share = int(most / n * (1 << 32))
+    share = int(most / n * (1 << 32))  # of all hashes
     return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(1 << 32)) < share)
 
 
@@ -53,3 +53,22 @@ def join_small(df: DataFrame, small: DataFrame, on: Column, how: str = "left") -
     broadcast if a count shows it to be so, else an ordinary join, whose hot
     keys Spark splits at run time. ``small`` must be cheap to count."""
     return df.join(F.broadcast(small) if small.count() <= SMALL_ROWS else small, on, how)
+
+
+#: Bounds of the labelled sample that a text classifier is fitted on: documents, and characters of one of them.
+FIT_DOCS, FIT_CHARS = 8_000, 60_000
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int = FIT_DOCS,
+                    chars: int = FIT_CHARS) -> DataFrame:
+    """``label, text`` of about ``most`` labelled documents of the training part,
+    chosen by a hash of doc_id; texts of over ``chars`` characters are left out
+    of the fit (not of anything else). The sampled labels, at most about
+    ``most`` rows, are broadcast, so that the documents aren't shuffled."""
+    known = labels.where(F.col(label).isin(0, 1) & in_training_part()).select(
+        F.col("doc_id").alias("_labelled"), F.col(label).cast("int").alias("label")).distinct()
+    chosen = written(bounded_sample(known, "_labelled", most), "labels")
+    return (docs.select("doc_id", F.col("text").cast("string").alias("text"))
+            .join(F.broadcast(chosen), F.col("doc_id") == F.col("_labelled"))
+            .where(F.length(F.coalesce("text", F.lit(""))) <= chars)
+            .select("doc_id", "label", "text"))

@@ -142,3 +142,22 @@ def segment_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(values) + 1, dtype=values.dtype)
     np.cumsum(values, out=sums[1:])
     return sums[bounds[1:]] - sums[bounds[:-1]]
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indices of all segments ``[starts[i], starts[i] + sizes[i])``, one after the other."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.arange(total) + np.repeat(starts - (ends - sizes), sizes)
+
+
+def kept(key: str, make):
+    """An object made once in this Python process and kept for later tasks that
+    Spark runs in it (a dictionary that is costly to read, a cache of words)."""
+    import sys
+    import types
+
+    store = sys.modules.setdefault("_kept_by_tasks", types.ModuleType("_kept_by_tasks")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]
