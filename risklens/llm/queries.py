@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from risklens.llm import mixing, quality, token_counts, token_file, toxicity, urls, vectors
+from risklens.llm import language, mixing, quality, token_counts, token_file, toxicity, urls, vectors
 
 QUERIES = {
     "op1_token_orc": token_file.op1_token_orc,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_quality": quality.op3_quality,
     "op5_mix": mixing.op5_mix,
+    "op6_language": language.op6_language,
     "op7_exact_topk": vectors.op7_exact_topk,
     "op8_toxicity": toxicity.op8_toxicity,
     "op10_url_filter": urls.op10_url_filter,

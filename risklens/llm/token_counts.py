@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from risklens.llm.tables import load
 from risklens.llm.vocabulary import SPACE, automaton, default_vocabulary, pieces
-from risklens.llm.words import text_slices
+from risklens.llm.words import kept, text_slices
 
 UNKNOWN_PENALTY = 10.0
 CACHED_WORDS = 300_000
@@ -83,7 +83,7 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     path = vocabulary or default_vocabulary()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(path)
+        counter = kept(f"counts of {path}", lambda: Counter(path))
         for batch in batches:
             ids = batch.column("doc_id")
             for first, texts in text_slices(batch.column("text")):

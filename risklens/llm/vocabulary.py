@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
 SPACE = "▁"
@@ -15,7 +13,6 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-@lru_cache(maxsize=4)
 def pieces(path: str) -> list[tuple[str, float]]:
     """Piece and score of every id, in order of id."""
     import sentencepiece
