@@ -21,7 +21,6 @@ columns of the input are ignored, whatever their names.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,67 +30,121 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from risklens.llm.tables import load, new_folder
-from risklens.llm.words import text_slices
+from risklens.llm.words import Slice, kept, ragged, segment_sums, slices
 
 SCHEMA = "doc_id long, ids array<int>, n_tokens long, part int, ahead long"
 END_ID = 1
 STRIPE_BYTES = 64 << 20
 ROWS_PER_INDEX_ENTRY = 1000
 
-#: Entries of the word cache of one task; it starts afresh when it is full.
-CACHED_WORDS = 200_000
+#: Words whose ids a Python worker keeps; it starts afresh beyond.
+CACHED_WORDS = 1_000_000
 
-_SPACE = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+#: Words in one text handed to the library.
+JOINED_WORDS = 4096
+
+#: How the pre-tokeniser cuts a word that isn't all letters (fixed value, from the tokenizer's file).
+_PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class WordEncoder:
-    """Token ids of a text, as little-endian unsigned 32-bit bytes.
+    """Token ids of texts, for the word-end BPE tokenizer.
 
-    For tokenizers whose pre-tokeniser drops white space and never joins what
-    it separates: the ids of a text are then those of its words one after the
-    other, so that each different word goes through the library once.
+    Its pre-tokeniser drops white space and never joins what white space
+    separates, so the ids of a text are those of its words one after the other.
+    Words are told apart by 64-bit hashes; each new one goes through the
+    tokenizers library once per worker, many in one call: every pre-token ends
+    with exactly one word-end id, which gives the ids of each word back.
     """
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
-        from tokenizers import Tokenizer
+        import os
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.cached, self.known = cached, {}
+        import regex
+        from tokenizers import Tokenizer
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [_SPACE.findall(t) for t in texts]
-        if len(self.known) > self.cached:
-            self.known.clear()
-        known = self.known
-        fresh = list({w for words in split for w in words if w not in known})
-        for lo in range(0, len(fresh), 4096):
-            part = fresh[lo:lo + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-        return [b"".join([known[w] for w in words]) for words in split]
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the work
+        self.tokenizer, self.cached = Tokenizer.from_file(path), cached
+        self.piece = regex.compile(_PIECE)
+        self.word_end = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.word_end[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes = np.zeros(0, np.uint64)
+        self.starts = np.zeros(0, np.int64)
+        self.sizes = np.zeros(0, np.int64)
+        self.ids, self.used = np.zeros(1 << 16, np.int32), 0
+
+    def pieces(self, word: str) -> int:
+        if word.isalpha() and "\u0130" not in word:  # the one letter whose lower case isn't all letters
+            return 1
+        return len(self.piece.findall(word.lower() if word.isascii() else self.tokenizer.normalizer.normalize_str(word)))
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and the number of ids of each."""
+        n = np.fromiter(map(self.pieces, words), np.int64, len(words))
+        joined = [" ".join(words[i:i + JOINED_WORDS]) for i in range(0, len(words), JOINED_WORDS)]
+        coded = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
+        ids = np.concatenate([np.array(x.ids, dtype=np.int32) for x in coded])
+        ends = np.flatnonzero(self.word_end[ids]) + 1
+        if len(ends) == n.sum() and n.all():
+            return ids, np.diff(ends[np.cumsum(n) - 1], prepend=0)
+        made = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        return np.array([i for x in made for i in x], dtype=np.int32), np.array([len(x) for x in made], dtype=np.int64)
+
+    def learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """``hashes``: ascending."""
+        ids, sizes = self.encode(words)
+        starts = self.used + np.cumsum(sizes) - sizes
+        while len(self.ids) < self.used + len(ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.used += len(ids)
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.starts, self.sizes = np.insert(self.starts, at, starts), np.insert(self.sizes, at, sizes)
+
+    def __call__(self, s: Slice) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows of a slice, and the number of ids of each row."""
+        starts, ends, rows = s.words()
+        if not len(starts):
+            return np.zeros(0, np.int32), np.zeros(s.rows, np.int64)
+        if len(self.hashes) > self.cached:
+            self.clear()
+        found, first, word = np.unique(s.hashes(starts, ends, lower=False), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, found)
+        new = np.ones(len(found), dtype=bool)
+        new[at < len(self.hashes)] = self.hashes[at[at < len(self.hashes)]] != found[at < len(self.hashes)]
+        if new.any():
+            lo, n = starts[first[new]], (ends - starts)[first[new]]
+            spaced = np.full(int((n + 1).sum()), 32, dtype=np.uint8)
+            spaced[ragged(np.cumsum(n + 1) - (n + 1), n)] = s.data[ragged(lo, n)]
+            self.learn(found[new], spaced[:-1].tobytes().decode().split(" "))
+            at = np.searchsorted(self.hashes, found)
+        sizes = self.sizes[at][word]
+        return self.ids[ragged(self.starts[at][word], sizes)], segment_sums(sizes, rows)
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID) -> None:
     """Encode ``doc_id, text`` of ``docs`` and write the token files to ``path``."""
-    end = np.asarray([end_id], dtype="<u4").tobytes()
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, ahead, encoder = TaskContext.get().partitionId(), 0, WordEncoder(tokenizer_path)
+        part, ahead = TaskContext.get().partitionId(), 0
+        encoder = kept(f"words of {tokenizer_path}", lambda: WordEncoder(tokenizer_path))
         for batch in batches:
-            ids, text = batch.column("doc_id"), batch.column("text")
-            for first, texts in text_slices(text):
-                coded = [x + end for x in encoder(texts)]
-                n = np.array([len(x) // 4 for x in coded], dtype=np.int64)
-                before = np.concatenate([[0], np.cumsum(n)])
-                values = pa.array(np.frombuffer(b"".join(coded), dtype="<u4").astype(np.int32))
+            for s in slices(batch.column("text")):
+                ids, n = encoder(s)
+                bounds = np.concatenate([[0], np.cumsum(n + 1)])
+                coded = np.full(len(ids) + s.rows, end_id, dtype=np.int32)
+                coded[ragged(bounds[:-1], n)] = ids
                 yield pa.RecordBatch.from_arrays([
-                    ids.slice(first, len(texts)).cast(pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), values),
-                    pa.array(n), pa.array(np.full(len(n), part, dtype=np.int32)),
-                    pa.array(ahead + before[:-1])], names=["doc_id", "ids", "n_tokens", "part", "ahead"])
-                ahead += int(before[-1])
+                    batch.column("doc_id").slice(s.first, s.rows),
+                    pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(coded)),
+                    pa.array(n + 1), pa.array(np.full(s.rows, part, dtype=np.int32)),
+                    pa.array(ahead + bounds[:-1])], names=["doc_id", "ids", "n_tokens", "part", "ahead"])
+                ahead += int(bounds[-1])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     (rows.repartitionByRange("doc_id", F.xxhash64("text"))
