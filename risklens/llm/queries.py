@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from risklens.llm import language, mixing, quality, token_counts, token_file, toxicity, urls, vectors
+from risklens.llm import decontamination, language, mixing, quality, token_counts, token_file, toxicity, urls, vectors
 
 QUERIES = {
     "op1_token_orc": token_file.op1_token_orc,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_language": language.op6_language,
     "op7_exact_topk": vectors.op7_exact_topk,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_decontaminate": decontamination.op9_decontaminate,
     "op10_url_filter": urls.op10_url_filter,
 }
 

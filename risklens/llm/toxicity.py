@@ -9,7 +9,7 @@ says little about its label (log-likelihood ratio under ``LEAST_GAIN``) have
 weight 0. ``offending`` returns them.
 
 Words are runs of ASCII letters and digits and non-ASCII bytes, lower-cased in
-ASCII; a sentence ends at ``.``, ``!``, ``?`` or a line's end. The fit reads at
+ASCII and Latin-1; a sentence ends at ``.``, ``!``, ``?`` or a line's end. The fit reads at
 most about ``FIT_DOCS`` labelled documents (see ``labelled_sample``); scoring
 covers every whole text.
 
@@ -43,7 +43,7 @@ def sentences(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
     """For all words of a slice: bucket of each word, bounds of the sentences in
     words, bounds of the rows in sentences, and the words' starts and ends."""
     starts, ends, rows = s.words(ALNUM)
-    bucket = (s.hashes(starts, ends) >> np.uint64(64 - BITS)).astype(np.int64)
+    bucket = (s.hashes(starts, ends, latin=True) >> np.uint64(64 - BITS)).astype(np.int64)
     if not len(starts):
         return bucket, np.zeros(1, np.int64), np.zeros(len(rows), np.int64), starts, ends
     closed = np.cumsum(_END[s.data], dtype=np.int64)[starts]

@@ -80,8 +80,13 @@ class Slice:
         self.data, self.offsets, self.first = data, offsets, first
         self.rows = len(offsets) - 1
 
-    def lowered(self) -> np.ndarray:
-        return _LOWER[self.data]
+    def lowered(self, latin: bool = False) -> np.ndarray:
+        """The bytes with A-Z lower-cased; ``latin``: also the letters U+00C0 to U+00DE."""
+        out = _LOWER[self.data]
+        if latin and len(out) > 1:
+            second = out[1:]
+            second[(self.data[:-1] == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97)] += 0x20
+        return out
 
     def words(self, kind: np.ndarray = NOT_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of all words (runs of bytes of ``kind`` within a
@@ -100,12 +105,12 @@ class Slice:
         ends = np.flatnonzero(inside & ~after) + 1
         return starts, ends, np.searchsorted(starts, self.offsets, side="left")
 
-    def hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool = True, latin: bool = False) -> np.ndarray:
         """64-bit hash of each word's (lower-cased) bytes, equal for equal words."""
         n = len(self.data)
         up, down = _POWERS.to(n + 1)
         sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[self.lowered() if lower else self.data] * up[:n], out=sums[1:])
+        np.cumsum(_BYTE[self.lowered(latin) if lower else self.data] * up[:n], out=sums[1:])
         return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _ODD)
 
 
