@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from risklens.llm import decontamination, language, mixing, quality, token_counts, token_file, toxicity, urls, vectors
+from risklens.llm import decontamination, language, mixing, near_duplicates, quality, token_counts, token_file, toxicity, urls, vectors
 
 QUERIES = {
     "op1_token_orc": token_file.op1_token_orc,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_quality": quality.op3_quality,
+    "op4_jaccard_join": near_duplicates.op4_jaccard_join,
     "op5_mix": mixing.op5_mix,
     "op6_language": language.op6_language,
     "op7_exact_topk": vectors.op7_exact_topk,
