@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from risklens.llm.tables import join_small, load, written
+from risklens.llm.tables import free_name, join_small, load, written
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST_COPIES = 1.5, 2
@@ -124,13 +124,13 @@ def mix_words(docs: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken."""
-    rule = (plan(_sized(docs).select("source", "size", "u"))
-            .select(F.struct("source", "whole", "cut").alias("_mix_rule")))
-    keyed = docs.withColumn("_mix_u", uniform())
-    copies = F.col("_mix_rule.whole") + (F.col("_mix_u") <= F.col("_mix_rule.cut")).cast("long")
-    return (join_small(keyed, rule, F.col("source").eqNullSafe(F.col("_mix_rule.source")), "inner")
-            .withColumn("_mix_copy", F.explode(F.sequence(F.lit(0).cast("long"), copies)))
-            .where(F.col("_mix_copy") > 0).select(*[docs[c] for c in docs.columns]))
+    rule, u, copy = (free_name(x, docs) for x in ("mix_rule", "mix_u", "mix_copy"))
+    rules = plan(written(_sized(docs).select("source", "size", "u"), "mix-sizes")).select(F.struct("source", "whole", "cut").alias(rule))
+    keyed = docs.withColumn(u, uniform())
+    copies = F.col(f"{rule}.whole") + (F.col(u) <= F.col(f"{rule}.cut")).cast("long")
+    return (join_small(keyed, rules, F.col("source").eqNullSafe(F.col(f"{rule}.source")), "inner")
+            .withColumn(copy, F.explode(F.sequence(F.lit(0).cast("long"), copies)))
+            .where(F.col(copy) > 0).drop(rule, u, copy))
 
 
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

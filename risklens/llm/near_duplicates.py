@@ -43,8 +43,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from risklens.llm.tables import load, written
+from risklens.llm.tables import free_name, load, written
 from risklens.llm.words import Slice, mix64, slices
 
 SHINGLE = 5
@@ -273,7 +274,8 @@ def links_of(sets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, cid, n_shingles, component_id`` of every row."""
+    """``doc_id, cid, label, n_shingles, component_id`` of every row; ``cid`` names
+    its set, ``label`` its class."""
     own = written(sizes(docs), "set-sizes")
     classes = written(own.groupBy("cid", "n").agg(F.min("doc_id").alias("first_doc")), "classes")
     chosen = written(screened(docs, classes), "screened")
@@ -281,11 +283,51 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = components(links_of(sets))
     joined = classes.where("n > 0").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     least = joined.groupBy("label").agg(F.min("first_doc").alias("component_id"))
-    linked = joined.join(least, "label").select("cid", "component_id")
+    linked = joined.join(least, "label").select("cid", "label", "component_id")
     return (own.join(linked, "cid", "left")
-            .select("doc_id", "cid", F.col("n").alias("n_shingles"),
+            .select("doc_id", "cid", "label", F.col("n").alias("n_shingles"),
                     F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
 
 
+def _with_names(docs: DataFrame, column: str) -> DataFrame:
+    """Add each row's ``cid``."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in slices(batch.column(at)):
+                rows = batch.slice(s.first, s.rows)
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([_class_id(x) for x in shingle_sets(s)], pa.int64())],
+                                                 names=[*rows.schema.names, column])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.LongType())]))
+
+
+def _listed(docs: DataFrame, rows: DataFrame, name: str, how: str) -> DataFrame:
+    """Join the rows of ``docs`` to a list of ``doc_id, cid``."""
+    rows = written(rows.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), "cid").alias("listed")), "listed")
+    small = rows.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(rows) if small else rows,
+                     F.col("doc_id").eqNullSafe(F.col("listed.doc_id")) & (F.col(name) == F.col("listed.cid")), how)
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are the first of their
+    class (by doc_id, null first, then set; then text, among rows of equal id
+    and set). Texts without words all stay."""
+    found = written(near_duplicates(docs).where("n_shingles > 0").groupBy("label", "doc_id", "cid").agg(F.count("*").alias("rows")), "classes")
+    first = found.groupBy("label").agg(F.min(F.struct("doc_id", "cid")).alias("first"))
+    marked = found.join(first, "label").withColumn("is_first", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("cid") == F.col("first.cid")))
+    name, rank = free_name("set_name", docs), free_name("set_rank", docs)
+    named = _with_names(docs, name)
+    repeated = marked.where("is_first and rows > 1")
+    kept = _listed(named, marked.where("not is_first or rows > 1"), name, "left_anti").drop(name)
+    if not repeated.head(1):
+        return kept
+    order = Window.partitionBy("doc_id", name).orderBy("text")
+    return kept.unionByName(_listed(named, repeated, name, "left_semi").withColumn(rank, F.row_number().over(order))
+                            .where(F.col(rank) == 1).drop(name, rank))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(load(spark, sf_dir, "documents")).drop("cid")
+    return near_duplicates(load(spark, sf_dir, "documents")).drop("cid", "label")
