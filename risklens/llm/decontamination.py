@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from risklens.llm.tables import load, written
 from risklens.llm.words import ALNUM, Slice, mix64, ragged, slices
 
-EDITS, RECALL = 0.2, 0.95
+EDITS, RECALL = 0.2, 0.97
 SAMPLES, POSITIONS, MOST_WALKS = 8, 2, 16
 BLOCK_WORDS = 500_000
 WINDOWS = 2048
@@ -134,24 +134,27 @@ class Index:
         self.key_item = np.array([i for _, i in pairs], dtype=np.int64)
 
     def calibrate(self, trials: int = 4, most_items: int = 200) -> int:
-        """The least number of walks that finds RECALL of the items after as many random edits as are allowed."""
+        """The least number of walks that finds RECALL of the items after as many
+        random edits as are allowed, amid other words, by the windows that the
+        search would look at."""
         r = np.random.default_rng(SEED)
+        fresh = lambda n: r.integers(1, 1 << 62, n).tolist()
         found = []
         for i in np.argsort(mix64(self.ids.astype(np.uint64)))[:most_items]:
-            own, length = self.words[i], int(self.length[i])
-            edited = np.zeros((trials + 1, length), np.uint64)
-            edited[0] = own
-            for t in range(1, trials + 1):
-                words = own.tolist()
+            length = int(self.length[i])
+            own = keys(walk(self.words[i][None, :], MOST_WALKS, 3 * length), length).reshape(MOST_WALKS, SAMPLES)
+            for _ in range(trials):
+                words = self.words[i].tolist()
                 for _ in range(int(allowed(length))):
                     at, kind = int(r.integers(0, len(words))), int(r.integers(0, 3))
-                    fresh = [int(r.integers(1, 1 << 62))]
-                    words[at:at + (kind != 0)] = fresh if kind != 1 else []
-                    words = words or fresh
-                edited[t, :min(length, len(words))] = words[:length]
-            made = keys(walk(edited, MOST_WALKS, 3 * length), length).reshape(trials + 1, MOST_WALKS, SAMPLES)
-            found.append((made[1:] == made[:1]).any(axis=2))
-        hit = np.maximum.accumulate(np.concatenate(found), axis=1).mean(axis=0)
+                    words[at:at + (kind != 0)] = fresh(1) if kind != 1 or len(words) == 1 else []
+                text = np.array(fresh(length) + words + fresh(length), dtype=np.uint64)
+                start, size = self.windows(text, np.array([0, len(text)]))
+                start = start[size == length]
+                symbols = text[np.minimum(start[:, None] + np.arange(length), len(text) - 1)]
+                made = keys(walk(symbols, MOST_WALKS, 3 * length), length).reshape(-1, MOST_WALKS, SAMPLES)
+                found.append((made == own).any(axis=(0, 2)))
+        hit = np.maximum.accumulate(np.stack(found), axis=1).mean(axis=0)
         return int(np.argmax(hit >= RECALL)) + 1 if (hit >= RECALL).any() else MOST_WALKS
 
     def windows(self, words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -305,10 +305,11 @@ def _with_names(docs: DataFrame, column: str) -> DataFrame:
 
 def _listed(docs: DataFrame, rows: DataFrame, name: str, how: str) -> DataFrame:
     """Join the rows of ``docs`` to a list of ``doc_id, cid``."""
-    rows = written(rows.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), "cid").alias("listed")), "listed")
+    own = free_name("listed", docs)
+    rows = written(rows.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), "cid").alias(own)), "listed")
     small = rows.count() <= BROADCAST_ROWS
     return docs.join(F.broadcast(rows) if small else rows,
-                     F.col("doc_id").eqNullSafe(F.col("listed.doc_id")) & (F.col(name) == F.col("listed.cid")), how)
+                     F.col("doc_id").eqNullSafe(F.col(f"{own}.doc_id")) & (F.col(name) == F.col(f"{own}.cid")), how)
 
 
 def representatives(docs: DataFrame) -> DataFrame:
