@@ -6,12 +6,13 @@ differences are exact; only the final statistics become doubles.
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-
 def epoch_micros(df: DataFrame, col: str) -> Column:
     """Microseconds since 1970-01-01 for a timestamp or timestamp_ntz column.
 
@@ -72,7 +73,29 @@ def bucket_label(start: Column, unit: str = "hour") -> Column:
     return F.concat_ws(":", F.dayofmonth(start), F.hour(start), F.minute(start))
 
 
-def epoch_seconds_bucket_label(epoch_s: int, unit: str = "hour") -> Column:
-    """PF3: label of the bucket holding epoch second ``epoch_s`` (UTC)."""
-    t = F.timestamp_seconds(F.lit(epoch_s)).cast(T.TimestampNTZType())
+def epoch_seconds_bucket_label(epoch_s, unit: str = "hour") -> Column:
+    """PF3: label of an epoch second (an integer or a column), UTC wall clock."""
+    second = epoch_s if isinstance(epoch_s, Column) else F.lit(epoch_s)
+    t = F.lit("1970-01-01 00:00:00").cast(T.TimestampNTZType()) + F.make_dt_interval(
+        F.lit(0), F.lit(0), F.lit(0), second)
     return bucket_label(t, unit)
+
+
+def select_slice(df: DataFrame, ts: str, epoch_s: int, interval_s: int, unit: str = "hour") -> DataFrame:
+    """PF3: the rows whose bucket holds epoch second ``epoch_s``: a range on
+    ``ts`` itself, which is pushed to the scan."""
+    k = _unit_k(interval_s, unit)
+    size = k * (3600 if unit == "hour" else 60)
+    # buckets restart every day (hour form) or hour (minute form)
+    whole = 86_400 if unit == "hour" else 3600
+    begin = epoch_s - epoch_s % whole + epoch_s % whole // size * size
+    end = min(begin + size, epoch_s - epoch_s % whole + whole)
+    return df.where((F.col(ts) >= timestamp_literal(df, ts, begin)) & (F.col(ts) < timestamp_literal(df, ts, end)))
+
+
+def timestamp_literal(df: DataFrame, ts: str, epoch_s: int) -> Column:
+    """Literal of ``ts``'s type, so that a comparison with ``ts`` reaches the scan."""
+    t = datetime.fromtimestamp(epoch_s, timezone.utc)
+    if isinstance(df.schema[ts].dataType, T.TimestampNTZType):
+        return F.lit(t.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
+    return F.lit(t.strftime("%Y-%m-%d %H:%M:%S+00:00")).cast("timestamp")

@@ -19,21 +19,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from risklens import defaults as D
-from risklens.functions.time import bucket_columns, bucket_label, epoch_micros
+from risklens.functions.time import bucket_columns, bucket_label, epoch_micros, timestamp_literal
 from risklens.operators.stats import quantile_value
 
-# Fixed value: the uris the frequency job watches.
-WATCHED_URIS = ("/pub/mortreginfo/detail", "/client/entsearch/list", "/midbranch/list.json")
-
 _US_PER_MS = 1000.0
 
 
-def with_bucket(df: DataFrame, ts: str, interval_s: int, unit: str = "hour") -> DataFrame:
-    """PF1/PF2: add ``bucket_start`` and ``bucket_label``."""
-    start, label = bucket_columns(df, ts, interval_s, unit)
-    return df.withColumn("bucket_start", start).withColumn("bucket_label", label)
-
-
 def access_frequency(df: DataFrame, keys: list[str], ts: str, interval_s: int,
                      value_col: str | None = None, values=None,
                      unit: str = "hour") -> DataFrame:
@@ -137,7 +128,10 @@ def gap_stats(df: DataFrame, keys: list[str], ts: str, interval_s: int,
     d = d.withColumn("bucket_start", start)
     group = list(keys) + ["bucket_start"]
     table = _gap_table(d, group, ts, chunk_s)
-    cut = quantile_value(table, "frequency", q, relative_error)
+    # p80 from plain group counts: they combine map-side, where the gap table
+    # would drag its window and a second shuffle of all rows into the subquery
+    cut = quantile_value(d.groupBy(*group).agg(F.count("*").alias("frequency")),
+                         "frequency", q, relative_error)
     out = table.where((F.col("frequency") <= cut) & (F.col("n_gaps") > 0)
                       & (F.col("mean_gap_ms") > 0))
     if min_stdev is not None:
@@ -161,15 +155,17 @@ def windowed_gap_spread(df: DataFrame, keys: list[str], ts: str, start_s: int,
     ``end_s``) and span ``[t, t + I]`` with both ends included, so an event
     on a border belongs to two windows. Within a window the mean gap of the
     distinct timestamps is ``(max - min) / (n - 1)`` (needs n >= 2); windows
-    without a positive mean are skipped. Keys without any valid window get
-    NULL (``n_windows = 0``).
+    without a positive mean are skipped. Keys with events in the range but
+    without any valid window get NULL (``n_windows = 0``). One scan, bounded
+    by timestamp literals that are pushed to the source.
     """
     if interval_s <= 0 or end_s <= start_s:
         raise ValueError("need interval_s > 0 and end_s > start_s")
     n_windows = -(-(end_s - start_s) // interval_s)
     step = interval_s * 1_000_000
     lo_us = start_s * 1_000_000
-    d = _not_null(df, list(keys) + [ts])
+    d = _not_null(df, list(keys) + [ts]).where(
+        (F.col(ts) >= timestamp_literal(df, ts, start_s)) & (F.col(ts) <= timestamp_literal(df, ts, start_s + n_windows * interval_s)))
     t = d.select(*keys, epoch_micros(d, ts).alias("t_us"))
     rel = F.col("t_us") - F.lit(lo_us)
     idx = F.floor(rel / F.lit(step))
@@ -177,19 +173,13 @@ def windowed_gap_spread(df: DataFrame, keys: list[str], ts: str, start_s: int,
     # window i covers [lo + i*step, lo + (i+1)*step]; a border point is also
     # the closing point of window i-1.
     cand = F.array_distinct(F.array(idx, F.when(on_border, idx - 1).otherwise(idx)))
-    win = (t.where((F.col("t_us") >= F.lit(lo_us)) &
-                   (F.col("t_us") <= F.lit(lo_us + n_windows * step)))
-           .select(*keys, "t_us", F.explode(cand).alias("w"))
+    win = (t.select(*keys, "t_us", F.explode(cand).alias("w"))
            .where((F.col("w") >= 0) & (F.col("w") < n_windows)))
+    mean = (F.col("t_max") - F.col("t_min")) / ((F.col("n") - 1) * F.lit(_US_PER_MS))
     per_window = (win.groupBy(*keys, "w")
                   .agg(F.count_distinct("t_us").alias("n"),
                        F.min("t_us").alias("t_min"), F.max("t_us").alias("t_max"))
-                  .where(F.col("n") >= 2)
-                  .select(*keys, ((F.col("t_max") - F.col("t_min")) /
-                                  ((F.col("n") - 1) * F.lit(_US_PER_MS))).alias("mean_gap_ms")))
-    spread = (per_window.groupBy(*keys)
-              .agg(F.stddev_pop("mean_gap_ms").alias("spread_ms"),
-                   F.count("*").alias("n_windows")))
-    all_keys = d.select(*keys).distinct()
-    return (all_keys.join(spread, on=list(keys), how="left")
-            .withColumn("n_windows", F.coalesce("n_windows", F.lit(0))))
+                  .withColumn("mean_gap_ms", F.when(F.col("n") >= 2, mean)))
+    return (per_window.groupBy(*keys)
+            .agg(F.stddev_pop("mean_gap_ms").alias("spread_ms"),
+                 F.count("mean_gap_ms").alias("n_windows")))

@@ -84,8 +84,86 @@ def train_and_score(train_df: DataFrame, test_df: DataFrame, all_data: DataFrame
     return parts[0].unionByName(parts[1]).withColumn("model", F.lit(kind))
 
 
-def threshold(pred: DataFrame, t: float, prob_col: str = "probability",
+def positive_index(model: PipelineModel, positive: float = 1.0) -> int:
+    """Index of the positive label in the fitted indexer (most frequent label first)."""
+    return [float(x) for x in model.stages[0].labels].index(positive)
+
+
+def threshold(pred: DataFrame, t: float, index: int, prob_col: str = "probability",
               out: str = "thresholdLabel") -> DataFrame:
-    """PF19: positive when the class-1 probability exceeds ``t``."""
-    p1 = vector_to_array(F.col(prob_col))[1]
+    """PF19: positive when the probability at ``index`` (of the positive label,
+    see ``positive_index``) exceeds ``t``."""
+    p1 = vector_to_array(F.col(prob_col))[index]
     return pred.withColumn(out, F.when(p1 > t, F.lit(1.0)).otherwise(F.lit(0.0)))
+
+
+# ---- what a fit must satisfy, checked on its own training rows
+
+def stationarity(model: PipelineModel, train_df: DataFrame, tolerance: float = 1e-3) -> DataFrame:
+    """ML8-ML10: ``(item, ok)`` per feature and for the intercept: whether the
+    (sub)gradient of the regularised log-loss is zero there, within the tolerance.
+
+    Spark penalises coefficients of features scaled to unit deviation, so with
+    g the mean of (p - y) x / sd and w = coefficient * sd: g + reg (1 - a) w
+    + reg a sign(w) = 0, or |g| <= reg a where w = 0 (a: elastic-net share).
+    One aggregate over the training rows.
+    """
+    lr = model.stages[2]
+    reg, a = lr.getRegParam(), lr.getElasticNetParam()
+    scored = model.transform(train_df).select(
+        vector_to_array("indexedFeatures").alias("x"), F.col("indexedLabel").alias("y"),
+        vector_to_array("probability")[1].alias("p"))
+    n = len(lr.coefficients)
+    sums = scored.agg(
+        F.avg(F.col("p") - F.col("y")).alias("g"),
+        *[F.avg((F.col("p") - F.col("y")) * F.col("x")[j]).alias(f"g{j}") for j in range(n)],
+        *[F.stddev_samp(F.col("x")[j]).alias(f"s{j}") for j in range(n)])
+    rows = [F.struct(F.lit("intercept").alias("item"), (F.abs("g") <= tolerance).alias("ok"))]
+    for j in range(n):
+        w = F.lit(float(lr.coefficients[j])) * F.col(f"s{j}")
+        g = F.try_divide(F.col(f"g{j}"), F.col(f"s{j}"))
+        off = F.when(w == 0, F.greatest(F.abs(g) - reg * a, F.lit(0.0))).otherwise(
+            F.abs(g + reg * (1 - a) * w + reg * a * F.signum(w)))
+        rows.append(F.struct(F.lit(f"feature {j}").alias("item"), F.coalesce(off <= tolerance, F.lit(True)).alias("ok")))
+    return sums.select(F.explode(F.array(*rows)).alias("r")).select("r.item", "r.ok")
+
+
+def leaf_majorities(model: PipelineModel, train_df: DataFrame) -> DataFrame:
+    """ML5: one row ``(item, ok)``: whether the tree predicts, in every leaf, a class
+    that no other class outnumbers among the training rows routed to it."""
+    scored = model.transform(train_df)
+    leaves = (scored.withColumn("leaf", F.col("rawPrediction").cast("string"))
+              .groupBy("leaf", "prediction")
+              .agg(F.count_if(F.col("indexedLabel") == F.col("prediction")).alias("own"), F.count("*").alias("n")))
+    return leaves.agg(F.coalesce(F.bool_and(2 * F.col("own") >= F.col("n")), F.lit(True)).alias("ok")).select(
+        F.lit("leaves").alias("item"), "ok")
+
+
+def ensemble_votes(model: PipelineModel, df: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """ML6, ML7: one row ``(item, ok)``: whether the ensemble's raw scores are the
+    (weighted) sums of its trees' own predictions, and its class follows from them."""
+    ensemble = model.stages[2]
+    gbt = not hasattr(ensemble, "getNumTrees") or ensemble.__class__.__name__.startswith("GBT")
+    out = model.transform(df).withColumn("margin", F.lit(0.0))
+    for tree, weight in zip(ensemble.trees, ensemble.treeWeights):
+        part = tree.copy({tree.predictionCol: "tree_prediction"})
+        if not gbt:
+            part.setProbabilityCol("tree_probability").setRawPredictionCol("tree_raw")
+        out = part.transform(out)
+        vote = F.col("tree_prediction") if gbt else vector_to_array("tree_probability")[1]
+        out = out.withColumn("margin", F.col("margin") + F.lit(float(weight)) * vote).drop(
+            "tree_prediction", "tree_probability", "tree_raw")
+    raw = vector_to_array("rawPrediction")
+    same = F.abs(raw[1] - F.col("margin")) <= tolerance * (1 + F.abs("margin"))
+    follows = (F.col("prediction") == 1.0) == (raw[1] > raw[0])
+    return out.agg(F.coalesce(F.bool_and(same & (follows | (raw[0] == raw[1]))), F.lit(True)).alias("ok")).select(
+        F.lit("votes").alias("item"), "ok")
+
+
+def fit_checks(model: PipelineModel, train_df: DataFrame, kind: str) -> DataFrame:
+    """``(item, ok)`` rows of the checks that apply to ``kind``."""
+    if kind == "decision_tree":
+        return leaf_majorities(model, train_df)
+    if kind in ("random_forest", "gbt"):
+        return ensemble_votes(model, train_df)
+    return stationarity(model, train_df)

@@ -8,8 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from risklens import defaults as D
-
 # Seeded vertices carry this reserved label instead of a real vertex id.
 SEED_LABEL = -1
 
@@ -42,9 +40,19 @@ def _attr_array(attrs: list[str], compat: bool) -> Column:
     return F.when(only_commas, F.array().cast("array<string>")).otherwise(parts)
 
 
+def similarity_records(df: DataFrame, key: str, attrs: list[str], compat: bool = False) -> DataFrame:
+    """Distinct ``(k, rec, len)``: key and attribute array of every record with a key."""
+    if not attrs:
+        raise ValueError("need at least one attribute")
+    rec = (df.where(_non_empty(key))
+           .select(_key_long(key).alias("k"), _attr_array(attrs, compat).alias("rec"))
+           .where(F.col("k").isNotNull())
+           .distinct())
+    return rec.withColumn("len", F.size("rec")).where(F.col("len") > 0)
+
+
 def similarity_edges(df: DataFrame, key: str, attrs: list[str],
-                     compat: bool = False, hot_threshold: int | None = D.HOT_KEY_CELLS,
-                     salts: int = D.HOT_KEY_SALTS) -> DataFrame:
+                     compat: bool = False) -> DataFrame:
     """GR1: weighted edges between records with different keys.
 
     weight(a, b) = (number of positions where both records hold the same
@@ -56,42 +64,20 @@ def similarity_edges(df: DataFrame, key: str, attrs: list[str],
     Any positive score needs one equal non-empty value in the same position,
     so the all-pairs comparison becomes an equi join on (length, position,
     value) of exploded attributes: the work is proportional to the matching
-    pairs, not to n^2. A value shared by many records still yields all their
-    pairs -- that is the output. Such a hot join key is split across tasks by
-    AQE's skew join at run time; with ``hot_threshold`` it is also salted
-    explicitly: keys holding more than ``hot_threshold`` cells spread their
-    left rows over ``salts`` buckets and replicate their right rows to every
-    bucket, which leaves the result unchanged. Records are reduced to
-    distinct (key, attributes) first (the maximum is unaffected), and a
-    record's identity in the pair count is its content, so there is no id to
-    collide or to change on recompute.
+    pairs, not to n^2. A value shared by many records yields all their pairs
+    -- that is this operator's output; where only sums over pairs or classes
+    of keys are needed, ``graph.cells`` gets them without pairs. A hot join
+    value is split by AQE's skew join. Records are reduced to distinct
+    (key, attributes) first (the maximum is unaffected), and a record's
+    identity in the pair count is its content, so there is no id to collide
+    or to change on recompute.
     """
-    if not attrs:
-        raise ValueError("need at least one attribute")
-    rec = (df.where(_non_empty(key))
-           .select(_key_long(key).alias("k"), _attr_array(attrs, compat).alias("rec"))
-           .where(F.col("k").isNotNull())
-           .distinct())
-    rec = rec.withColumn("len", F.size("rec")).where(F.col("len") > 0)
+    rec = similarity_records(df, key, attrs, compat)
     cells = (rec.select("k", "rec", "len", F.posexplode("rec").alias("pos", "value"))
              .where(F.col("value") != ""))
     on = ["len", "pos", "value"]
     a = cells.select(F.col("k").alias("src"), F.col("rec").alias("a_rec"), *on)
     b = cells.select(F.col("k").alias("dst"), F.col("rec").alias("b_rec"), *on)
-    if hot_threshold is not None:
-        if salts < 2:
-            raise ValueError("salts must be >= 2")
-        hot = (cells.groupBy(*on).count().where(F.col("count") > hot_threshold)
-               .select(*on, F.lit(True).alias("hot")))
-        a = (a.join(hot, on=on, how="left")
-             .withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("src", "a_rec"), F.lit(salts)))
-                         .otherwise(F.lit(0)).cast("int"))
-             .drop("hot"))
-        every = F.array(*[F.lit(i) for i in range(salts)])
-        b = (b.join(hot, on=on, how="left")
-             .withColumn("salt", F.explode(F.when(F.col("hot"), every).otherwise(F.array(F.lit(0)))))
-             .drop("hot"))
-        on = on + ["salt"]
     pairs = (a.join(b, on=on, how="inner")
              .where(F.col("src") != F.col("dst")))
     per_record = (pairs.groupBy("src", "a_rec", "dst", "b_rec", "len")
@@ -123,14 +109,12 @@ def union_edges(*edge_sets: DataFrame) -> DataFrame:
 
 def graph_vertices(edges: DataFrame) -> DataFrame:
     """GR3: vertices are the distinct endpoints of the edges."""
-    return (edges.select(F.col("src").alias("id"))
-            .unionByName(edges.select(F.col("dst").alias("id"))).distinct())
+    return edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
 
 
 def vertex_strength(edges: DataFrame) -> DataFrame:
     """GR7 / AG17: sum of incident edge weights, both endpoints."""
-    ends = (edges.select(F.col("src").alias("id"), "weight")
-            .unionByName(edges.select(F.col("dst").alias("id"), "weight")))
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id"), "weight")
     return ends.groupBy("id").agg(F.sum("weight").alias("degree"))
 
 
@@ -164,14 +148,15 @@ def seed_labels(vertices: DataFrame, records: DataFrame, blacklist: DataFrame,
 
 def entity_graph(records: DataFrame, key: str, focus: list[str], sim: list[str],
                  cust: str | None = None, compat: bool = False,
-                 cust_offset: int = 0) -> DataFrame:
+                 cust_offset: int = 0, links: DataFrame | None = None) -> DataFrame:
     """CJ7: the weighted entity graph of the fraud job.
 
     Similarity edges between records with different ``key`` (left side: all
     records with a non-empty key; right side: distinct ``focus`` rows), plus,
     when ``cust`` is given, co-occurrence edges ``cust -> key`` weighted by
-    the number of records. ``focus`` must name more than one column and
-    include ``key`` and the ``sim`` attributes.
+    the number of records (rows of ``links``, when the links are kept in a
+    table of their own with columns ``cust`` and ``key``). ``focus`` must name
+    more than one column and include ``key`` and the ``sim`` attributes.
     """
     if len(focus) <= 1:
         raise ValueError("focus needs more than one column")
@@ -182,5 +167,5 @@ def entity_graph(records: DataFrame, key: str, focus: list[str], sim: list[str],
     # non-empty key, which is what similarity_edges scores.
     edges = similarity_edges(distinct_focus(records, key, focus), key, sim, compat=compat)
     if cust:
-        edges = union_edges(edges, cooccurrence_edges(records, cust, key, left_offset=cust_offset))
+        edges = union_edges(edges, cooccurrence_edges(records if links is None else links, cust, key, left_offset=cust_offset))
     return edges

@@ -61,15 +61,14 @@ def label_propagation(edges: DataFrame, vertices: DataFrame | None = None,
 
 def bm_label_propagation(edges: DataFrame, vertices: DataFrame,
                          max_steps: int = D.LABEL_PROPAGATION_STEPS,
-                         min_prob: float = 0.0, seed_label: int = SEED_LABEL) -> DataFrame:
+                         seed_label: int = SEED_LABEL) -> DataFrame:
     """GR6: label distributions ``(id, label, prob)``.
 
     Start: ``{label(v): 1.0}`` from ``vertices(id, label)``. Each round
     ``S(v, l) = sum w * P(u, l)`` over incident edges and
     ``P'(v, l) = S(v, l) / sum_l S(v, l)`` (one normalisation). A vertex whose
     seed-label probability is exactly 1.0 keeps its distribution (clamped),
-    as does a vertex without messages. With ``min_prob > 0`` labels below it
-    are dropped after each round and the rest renormalised.
+    as does a vertex without messages. Whole distributions are kept.
     """
     if max_steps <= 0:
         raise ValueError("max_steps must be > 0")
@@ -92,11 +91,6 @@ def bm_label_propagation(edges: DataFrame, vertices: DataFrame,
         total = contrib.groupBy("id").agg(F.sum("s").alias("z"))
         new = (contrib.join(total, on="id")
                .select("id", "label", (F.col("s") / F.col("z")).alias("prob")))
-        if min_prob > 0:
-            new = new.where(F.col("prob") >= min_prob)
-            z2 = new.groupBy("id").agg(F.sum("prob").alias("z2"))
-            new = new.join(z2, on="id").select("id", "label",
-                                               (F.col("prob") / F.col("z2")).alias("prob"))
         kept = dist.join(clamped, on="id", how="left_semi")
         nxt = kept.unionByName(new)
         if step == max_steps - 1:
@@ -117,8 +111,7 @@ def seed_probability(edges: DataFrame, vertices: DataFrame,
     number per vertex and round instead of a whole distribution. Both sums
     come from the same aggregate over the same rows, so a vertex whose
     neighbours are all pure seeds gets exactly 1.0 and is clamped from then
-    on, as in the full propagation. Equal to the full form (``min_prob=0``)
-    up to floating-point rounding. ``vertices(id, is_seed)``.
+    on, as in the full propagation. Equal to the full form up to floating-point rounding. ``vertices(id, is_seed)``.
     """
     if max_steps <= 0:
         raise ValueError("max_steps must be > 0")

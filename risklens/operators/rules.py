@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from risklens import defaults as D
+from risklens.session import cut_lineage
 
 
 def baskets(df: DataFrame, fields: list[str]) -> DataFrame:
@@ -47,8 +48,13 @@ def fit_fpgrowth(tx: DataFrame, min_support: float = D.FP_MIN_SUPPORT,
 
 def frequent_itemsets(tx: DataFrame, min_support: float = D.FP_MIN_SUPPORT,
                       num_partitions: int | None = None) -> DataFrame:
-    """RU1: ``(items array<string> sorted, size, freq)``."""
-    model = fit_fpgrowth(tx, min_support, 0.0, num_partitions)
+    """RU1: ``(items array<string> sorted, size, freq)``. The transactions are
+    written once: the fit reads them several times."""
+    model = fit_fpgrowth(cut_lineage(tx.select("items")), min_support, 0.0, num_partitions)
+    return _itemsets(model)
+
+
+def _itemsets(model: FPGrowthModel) -> DataFrame:
     return model.freqItemsets.select(F.array_sort("items").alias("items"),
                                      F.size("items").alias("size"), "freq")
 
@@ -63,7 +69,7 @@ def association_rules(tx: DataFrame, min_support: float = D.FP_MIN_SUPPORT,
     N = number of transactions (empty ones included), keeping rules with
     ``confidence >= min_confidence``.
     """
-    model = fit_fpgrowth(tx, min_support, min_confidence, num_partitions)
+    model = fit_fpgrowth(cut_lineage(tx.select("items")), min_support, min_confidence, num_partitions)
     return model.associationRules.select(
         F.array_sort("antecedent").alias("antecedent"), "consequent",
         "confidence", "lift", "support")
@@ -82,10 +88,9 @@ def rules_from_table(df: DataFrame, fields: list[str],
 
     Returns ``(frequent_itemsets, association_rules)`` from one fitted model.
     """
-    model = fit_fpgrowth(baskets(df, fields), min_support, min_confidence, num_partitions)
-    itemsets = model.freqItemsets.select(F.array_sort("items").alias("items"),
-                                         F.size("items").alias("size"), "freq")
+    tx = cut_lineage(baskets(df, fields))
+    model = fit_fpgrowth(tx, min_support, min_confidence, num_partitions)
     rules = model.associationRules.select(
         F.array_sort("antecedent").alias("antecedent"), "consequent",
         "confidence", "lift", "support")
-    return itemsets, rules
+    return cut_lineage(_itemsets(model)), rules

@@ -39,15 +39,6 @@ def _accuracy(relative_error: float) -> int:
     return max(1, int(round(1.0 / relative_error)))
 
 
-def filter_by_quantile(df: DataFrame, col: str, q: float = D.QUANTILE,
-                       relative_error: float = D.QUANTILE_RELATIVE_ERROR,
-                       strict: bool = False) -> DataFrame:
-    """PF9: keep rows with ``col <= quantile`` (``<`` when ``strict``)."""
-    cut = quantile_value(df, col, q, relative_error)
-    cond = F.col(col) < cut if strict else F.col(col) <= cut
-    return df.where(cond)
-
-
 def _valid(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x)
 
@@ -119,7 +110,8 @@ def histogram(df: DataFrame, col: str, n: int = D.HISTOGRAM_BINS,
 
 
 def histogram_string(hist: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Report form ``bin:cnt,bin:cnt,...`` (sorted by bin) per slice."""
+    """Report form ``bin:cnt,bin:cnt,...`` (sorted by bin) per slice. A slice's
+    bins are bounded by the histogram's resolution."""
     by = list(by or [])
     pairs = F.array_sort(F.collect_list(F.struct("bin", "cnt")))
     text = F.concat_ws(",", F.transform(
@@ -127,6 +119,17 @@ def histogram_string(hist: DataFrame, by: list[str] | None = None) -> DataFrame:
     return hist.groupBy(*by, "lo", "hi").agg(text.alias("bins"))
 
 
+def report_line(hist: DataFrame, slice_col: str, interval_s: int) -> DataFrame:
+    """IO9: the full report line per slice -> ``(begin, end, interval_s, max_value,
+    min_value, bins)``, ``slice_col`` being the slice's start time."""
+    start = F.col(slice_col)
+    end = start + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(interval_s))
+    return (histogram_string(hist, by=[slice_col])
+            .select(start.alias("begin"), end.cast(hist.schema[slice_col].dataType).alias("end"),
+                    F.lit(interval_s).alias("interval_s"), F.col("hi").alias("max_value"),
+                    F.col("lo").alias("min_value"), "bins"))
+
+
 def undefined_count(df: DataFrame, col: str) -> DataFrame:
     """PF8: number of rows whose ``col`` is NULL or NaN."""
     x = F.col(col).cast("double")

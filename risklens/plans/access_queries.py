@@ -8,16 +8,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from risklens.functions.time import bucket_columns
+from risklens.functions.time import (
+    bucket_columns, epoch_micros, epoch_seconds_bucket_label, select_slice, timestamp_literal,
+)
 from risklens.operators import access as A
 from risklens.operators import stats as S
 from risklens.plans.registry import ms_round, register, rnd, table
 
 DAY = 86400
 WATCHED = ("click", "view", "purchase")
-# 48 h from 2024-01-01 00:00 UTC in 6 h windows (the job's fixed 48 h range,
-# moved onto the fixture's dates).
-WIN_START, WIN_END, WIN_STEP = 1704067200, 1704067200 + 172800, 21600
+# 6 h windows from 2024-01-01 00:00 UTC over the whole span of the events (30 days).
+WIN_START, WIN_END, WIN_STEP = 1704067200, 1704067200 + 30 * DAY, 21600
 
 _BUCKET_DAY_SQL = "date_trunc('hour', ts) - to_hours(hour(ts) % 24)"
 _LABEL_SQL = "concat_ws(':', day({b}), hour({b}))"
@@ -214,7 +215,9 @@ def q_gap_hist_by_bucket(spark, sf_dir):
 def _win_sql(step: int) -> str:
     return f"""
 WITH t AS (SELECT user_id, epoch_us(ts) AS t_us FROM events
-           WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+           WHERE user_id IS NOT NULL AND ts IS NOT NULL
+             AND epoch_us(ts) BETWEEN {WIN_START}::BIGINT * 1000000
+                 AND ({WIN_START} + ceil(({WIN_END} - {WIN_START}) / {step}) * {step})::BIGINT * 1000000),
      w AS (SELECT range AS w, {WIN_START}::BIGINT * 1000000 + range * {step}::BIGINT * 1000000 AS w_lo
            FROM range(0, CAST(ceil(({WIN_END} - {WIN_START}) / {step}) AS BIGINT))),
      m AS (SELECT DISTINCT t.user_id, w.w, t.t_us FROM t JOIN w
@@ -233,11 +236,11 @@ _WIN_SQL = _win_sql(WIN_STEP)
 
 
 @register("windowed_gap_spread", f"""
-SELECT user_id, round(spread_ms * 1000, 3) / 1000 AS spread_ms, n_windows FROM ({_WIN_SQL}) x""")
+SELECT user_id, round(spread_ms, 3) AS spread_ms, n_windows FROM ({_WIN_SQL}) x""")
 def q_windowed_gap_spread(spark, sf_dir):
     s = A.windowed_gap_spread(_events(spark, sf_dir), ["user_id"], "ts",
                               WIN_START, WIN_END, WIN_STEP)
-    return s.select("user_id", ms_round("spread_ms").alias("spread_ms"), "n_windows")
+    return s.select("user_id", rnd("spread_ms", 3).alias("spread_ms"), "n_windows")
 
 
 # AG9: separate zero bin, right-closed bins counted from 0, on the windowed
@@ -326,7 +329,60 @@ def q_gap_hist_report(spark, sf_dir):
 
 # CJ6 with a second interval (several intervals = one call each): 12 h windows.
 @register("windowed_gap_spread_12h", f"""
-SELECT user_id, round(spread_ms * 1000, 3) / 1000 AS spread_ms, n_windows FROM ({_win_sql(43200)}) x""")
+SELECT user_id, round(spread_ms, 3) AS spread_ms, n_windows FROM ({_win_sql(43200)}) x""")
 def q_windowed_gap_spread_12h(spark, sf_dir):
     s = A.windowed_gap_spread(_events(spark, sf_dir), ["user_id"], "ts", WIN_START, WIN_END, 43200)
-    return s.select("user_id", ms_round("spread_ms").alias("spread_ms"), "n_windows")
+    return s.select("user_id", rnd("spread_ms", 3).alias("spread_ms"), "n_windows")
+
+
+# IO9: the full report line of every slice: begin, end, interval, maximum, minimum, bins.
+@register("gap_hist_report_by_bucket", f"""
+WITH x AS (SELECT bucket_start, round(stdev_gap_ms, 3) AS x FROM ({_GAP_SQL}) g
+           WHERE stdev_gap_ms IS NOT NULL AND NOT isnan(stdev_gap_ms)),
+     b AS (SELECT bucket_start, min(x) AS lo, max(x) AS hi FROM x GROUP BY bucket_start),
+     h AS (SELECT bucket_start,
+                  CAST(coalesce(floor((x - lo) / nullif((hi - lo) / 100.0, 0)), 0) AS BIGINT) AS bin,
+                  lo, hi, count(*) AS cnt FROM x JOIN b USING (bucket_start) GROUP BY ALL)
+SELECT bucket_start AS begin, bucket_start + to_seconds({DAY}) AS "end", {DAY} AS interval_s,
+       hi AS max_value, lo AS min_value, string_agg(concat(bin, ':', cnt), ',' ORDER BY bin) AS bins
+FROM h GROUP BY bucket_start, lo, hi""")
+def q_gap_hist_report_by_bucket(spark, sf_dir):
+    g = _gap_stats(spark, sf_dir).select("bucket_start", rnd("stdev_gap_ms", 3).alias("x"))
+    return S.report_line(S.histogram(g, "x", n=100, by=["bucket_start"]), "bucket_start", DAY)
+
+
+# The same line for the whole range: one slice from the range's start to its end.
+@register("gap_hist_report_global", f"""
+WITH x AS (SELECT round(spread_ms, 3) AS x FROM ({_SPREAD_SQL}) s
+           WHERE spread_ms IS NOT NULL AND NOT isnan(spread_ms)),
+     b AS (SELECT min(x) AS lo, max(x) AS hi FROM x),
+     h AS (SELECT CAST(coalesce(floor((x - lo) / nullif((hi - lo) / 100.0, 0)), 0) AS BIGINT) AS bin,
+                  lo, hi, count(*) AS cnt FROM x, b GROUP BY ALL)
+SELECT to_timestamp({WIN_START})::TIMESTAMP AS begin, to_timestamp({WIN_END})::TIMESTAMP AS "end",
+       {WIN_END - WIN_START} AS interval_s, hi AS max_value, lo AS min_value,
+       string_agg(concat(bin, ':', cnt), ',' ORDER BY bin) AS bins FROM h GROUP BY lo, hi""")
+def q_gap_hist_report_global(spark, sf_dir):
+    ev = _events(spark, sf_dir)
+    s = A.regularity_spread(_gap_stats(spark, sf_dir), ["user_id"])
+    s = s.select(timestamp_literal(ev, "ts", WIN_START).alias("slice"), rnd("spread_ms", 3).alias("spread_ms"))
+    return S.report_line(S.histogram(s, "spread_ms", n=100, by=["slice"]), "slice", WIN_END - WIN_START)
+
+
+# PF3: label of every event's epoch second, and the slice that holds one.
+@register("slice_label", """
+SELECT event_id, concat_ws(':', day(ts), hour(ts)) AS label_hour,
+       concat_ws(':', day(ts), hour(ts), minute(ts)) AS label_minute
+FROM events WHERE ts IS NOT NULL""")
+def q_slice_label(spark, sf_dir):
+    ev = _events(spark, sf_dir).where(F.col("ts").isNotNull())
+    second = F.floor(epoch_micros(ev, "ts") / 1_000_000).cast("long")
+    return ev.select("event_id", epoch_seconds_bucket_label(second).alias("label_hour"),
+                     epoch_seconds_bucket_label(second, "minute").alias("label_minute"))
+
+
+@register("slice_select", f"""
+SELECT event_id, user_id FROM events
+WHERE date_trunc('hour', ts) - to_hours(hour(ts) % 6) = to_timestamp({WIN_START + 5 * DAY + 43200})::TIMESTAMP""")
+def q_slice_select(spark, sf_dir):
+    # the 6 h slice that holds 13:46:40 of the sixth day
+    return select_slice(_events(spark, sf_dir), "ts", WIN_START + 5 * DAY + 49600, 6 * 3600).select("event_id", "user_id")

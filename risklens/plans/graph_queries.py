@@ -1,11 +1,16 @@
 """Entity-graph queries.
 
 Fixture mapping: records = ``customer`` keyed by ``c_custkey`` with two
-similarity attributes ``a1 = floor(c_acctbal / 10)`` and
-``a2 = nation|segment|floor(c_acctbal / 1000)``; customer-merchant links =
+similarity attributes ``a1 = floor(c_custkey / 60)|floor(c_acctbal / 1000)``
+and ``a2 = nation|segment|floor(c_custkey / 240)``, so that a value is shared
+by a handful of records at any scale factor; customer-merchant links =
 ``orders`` x ``lineitem`` (``o_custkey``, ``l_suppkey``, suppliers shifted by
 10^12 so the kinds stay apart); blacklist = orders of status ``P`` above
 480,000, joined back to ``orders`` on the order key.
+
+Every customer key has one record, so queries that need sums over neighbours
+or connectivity use the cell form of the graph (``graph.cells``); their SQL
+is the literal pair form.
 """
 
 from __future__ import annotations
@@ -13,24 +18,37 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from risklens.operators.graph import build as B
+from risklens.operators.graph import cells as K
 from risklens.operators.graph import components as C
 from risklens.operators.graph import community as L
 from risklens.operators.graph import lpa as P
 from risklens.operators.graph import report as R
 from risklens.plans.registry import REGISTRY, register, rnd, table
+from risklens.session import cut_lineage
 
 SUPPLIER_OFFSET = 10 ** 12
 LPA_STEPS = 5
-BM_STEPS = 3
+BM_STEPS = 5
+
+
+def prob9():
+    """Probability to 9 decimals. Ratios of small integers can lie exactly
+    between two such numbers, where engines round differently: move them off."""
+    return F.round(F.col("prob") + 1e-12, 9)
 
 
 def customers(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     return c.select(
         "c_custkey",
-        F.floor(F.col("c_acctbal") / 10).cast("string").alias("a1"),
+        F.concat_ws("|", F.floor(F.col("c_custkey") / 60), F.floor(F.col("c_acctbal") / 1000)).alias("a1"),
         F.concat_ws("|", F.col("c_nationkey").cast("string"), F.col("c_mktsegment"),
-                    F.floor(F.col("c_acctbal") / 1000).cast("string")).alias("a2"))
+                    F.floor(F.col("c_custkey") / 240)).alias("a2"))
+
+
+def cells(spark, sf_dir):
+    """Shared cells of the similarity graph, the cell form of ``sim_edges``."""
+    return K.shared_cells(K.similarity_cells(customers(spark, sf_dir), "c_custkey", ["a1", "a2"]))
 
 
 def sim_edges(spark, sf_dir):
@@ -44,18 +62,21 @@ def co_edges(spark, sf_dir):
     return B.cooccurrence_edges(links, "o_custkey", "l_suppkey", right_offset=SUPPLIER_OFFSET)
 
 
-def seeds(spark, sf_dir, edges):
+def _black(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    black = o.where((F.col("o_orderstatus") == "P") & (F.col("o_totalprice") > 480000)) \
-        .select("o_orderkey")
-    return B.seed_labels(B.graph_vertices(edges), o, black, key="o_custkey",
-                         black_key="o_orderkey")
+    return o, o.where((F.col("o_orderstatus") == "P") & (F.col("o_totalprice") > 480000)).select("o_orderkey")
+
+
+def seeds(spark, sf_dir, vertices):
+    o, black = _black(spark, sf_dir)
+    return B.seed_labels(vertices, o, black, key="o_custkey", black_key="o_orderkey")
 
 
 # ------------------------------------------------------------------ SQL parts
 CUST_SQL = """cust AS (
-  SELECT c_custkey, CAST(CAST(floor(c_acctbal / 10) AS BIGINT) AS VARCHAR) AS a1,
-         concat_ws('|', c_nationkey, c_mktsegment, CAST(floor(c_acctbal / 1000) AS BIGINT)) AS a2
+  SELECT c_custkey,
+         concat_ws('|', CAST(floor(c_custkey / 60) AS BIGINT), CAST(floor(c_acctbal / 1000) AS BIGINT)) AS a1,
+         concat_ws('|', c_nationkey, c_mktsegment, CAST(floor(c_custkey / 240) AS BIGINT)) AS a2
   FROM customer)"""
 
 _SCORE = ("((coalesce(a.a1, '') = coalesce(b.a1, '') AND coalesce(b.a1, '') <> '')::INT"
@@ -142,9 +163,11 @@ def q_similarity_edges(spark, sf_dir):
 # split, trailing empties dropped, and lengths must agree.
 _COMPAT_CUST = """cc AS (
   SELECT c_custkey,
-         CASE WHEN c_acctbal >= 0 THEN CAST(CAST(floor(c_acctbal / 10) AS BIGINT) AS VARCHAR) END AS a1,
-         CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN '' ELSE CAST(c_nationkey AS VARCHAR) END AS a2,
-         c_mktsegment AS a3
+         CASE WHEN c_acctbal >= 0 THEN concat_ws('|', CAST(floor(c_custkey / 100) AS BIGINT),
+                                                 CAST(floor(c_acctbal / 500) AS BIGINT)) END AS a1,
+         CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN ''
+              ELSE concat_ws('|', c_nationkey, CAST(floor(c_custkey / 300) AS BIGINT)) END AS a2,
+         concat_ws('|', c_mktsegment, CAST(floor(c_custkey / 50) AS BIGINT)) AS a3
   FROM customer),
 cs AS (SELECT c_custkey AS k, concat_ws(',', a1, a2, a3) AS j FROM cc),
 parts AS (SELECT DISTINCT k, CASE WHEN j <> '' AND rtrim(j, ',') = '' THEN []::VARCHAR[]
@@ -164,14 +187,11 @@ def q_similarity_edges_compat(spark, sf_dir):
     cc = c.select(
         "c_custkey",
         F.when(F.col("c_acctbal") >= 0,
-               F.floor(F.col("c_acctbal") / 10).cast("string")).alias("a1"),
+               F.concat_ws("|", F.floor(F.col("c_custkey") / 100), F.floor(F.col("c_acctbal") / 500))).alias("a1"),
         F.when(F.col("c_mktsegment") == "HOUSEHOLD", F.lit(""))
-        .otherwise(F.col("c_nationkey").cast("string")).alias("a2"),
-        F.col("c_mktsegment").alias("a3"))
-    # the segment attribute is a hot join value (hundreds of records per
-    # value): salt it so the oracle check covers the salted join
-    return B.similarity_edges(cc, "c_custkey", ["a1", "a2", "a3"], compat=True,
-                              hot_threshold=100, salts=8)
+        .otherwise(F.concat_ws("|", F.col("c_nationkey").cast("string"), F.floor(F.col("c_custkey") / 300))).alias("a2"),
+        F.concat_ws("|", F.col("c_mktsegment"), F.floor(F.col("c_custkey") / 50)).alias("a3"))
+    return B.similarity_edges(cc, "c_custkey", ["a1", "a2", "a3"], compat=True)
 
 
 @register("cooccurrence_edges", f"WITH {CO_SQL} SELECT src, dst, weight FROM co")
@@ -189,7 +209,7 @@ def q_graph_union(spark, sf_dir):
 u AS (SELECT src, dst FROM sim UNION ALL SELECT src, dst FROM co)
 SELECT src AS id FROM u UNION SELECT dst FROM u""")
 def q_graph_vertices(spark, sf_dir):
-    return B.graph_vertices(B.union_edges(sim_edges(spark, sf_dir), co_edges(spark, sf_dir)))
+    return K.cell_vertices(cells(spark, sf_dir)).unionByName(B.graph_vertices(co_edges(spark, sf_dir))).distinct()
 
 
 @register("vertex_strength", f"""WITH {SIM_SQL}, {CO_SQL},
@@ -197,20 +217,22 @@ u AS (SELECT src, dst, weight FROM sim UNION ALL SELECT src, dst, weight FROM co
 SELECT id, sum(weight) AS degree
 FROM (SELECT src AS id, weight FROM u UNION ALL SELECT dst, weight FROM u) GROUP BY id""")
 def q_vertex_strength(spark, sf_dir):
-    return B.vertex_strength(B.union_edges(sim_edges(spark, sf_dir), co_edges(spark, sf_dir)))
+    both = K.cell_strength(cells(spark, sf_dir)).unionByName(B.vertex_strength(co_edges(spark, sf_dir)))
+    return both.groupBy("id").agg(F.sum("degree").alias("degree"))
 
 
 @register("total_weight", f"""WITH {SIM_SQL}, {CO_SQL}
 SELECT sum(weight) AS total_weight
 FROM (SELECT weight FROM sim UNION ALL SELECT weight FROM co)""")
 def q_total_weight(spark, sf_dir):
-    return B.total_weight(B.union_edges(sim_edges(spark, sf_dir), co_edges(spark, sf_dir)))
+    both = K.cell_total_weight(cells(spark, sf_dir)).unionByName(B.total_weight(co_edges(spark, sf_dir)))
+    return both.agg(F.sum("total_weight").alias("total_weight"))
 
 
 @register("black_seeds", f"""WITH {SIM_SQL}, {SEED_SQL}
 SELECT id, label, is_seed FROM lab""")
 def q_black_seeds(spark, sf_dir):
-    labels, _ = seeds(spark, sf_dir, sim_edges(spark, sf_dir))
+    labels, _ = seeds(spark, sf_dir, K.cell_vertices(cells(spark, sf_dir)))
     return labels
 
 
@@ -218,7 +240,7 @@ def q_black_seeds(spark, sf_dir):
 SELECT (SELECT count(*) FROM hits) AS black_num,
        (SELECT count(*) FROM lab WHERE is_seed) AS seeded""")
 def q_black_counts(spark, sf_dir):
-    _, counts = seeds(spark, sf_dir, sim_edges(spark, sf_dir))
+    _, counts = seeds(spark, sf_dir, K.cell_vertices(cells(spark, sf_dir)))
     return counts
 
 
@@ -227,7 +249,7 @@ def q_black_counts(spark, sf_dir):
 {_components_sql('sim', 'verts', 'comp')}
 SELECT id, component FROM comp""")
 def q_connected_components(spark, sf_dir):
-    return C.connected_components(sim_edges(spark, sf_dir))
+    return K.cell_components(cells(spark, sf_dir))
 
 
 @register("community_density", f"""WITH RECURSIVE {SIM_SQL}, {SEED_SQL},
@@ -253,12 +275,12 @@ def q_label_propagation(spark, sf_dir):
 
 @register("bm_label_propagation", f"""WITH {SIM_SQL}, {SEED_SQL},
 {_bm_sql(BM_STEPS)}
-SELECT id, label, round(prob, 9) AS prob FROM d{BM_STEPS}""")
+SELECT id, label, round(prob + 1e-12, 9) AS prob FROM d{BM_STEPS}""")
 def q_bm_label_propagation(spark, sf_dir):
     e = sim_edges(spark, sf_dir)
-    labels, _ = seeds(spark, sf_dir, e)
+    labels, _ = seeds(spark, sf_dir, B.graph_vertices(e))
     d = P.bm_label_propagation(e, labels, max_steps=BM_STEPS)
-    return d.select("id", "label", rnd("prob", 9).alias("prob"))
+    return d.select("id", "label", prob9().alias("prob"))
 
 
 # GR5 started from the seeded labels (blacklisted vertices share label -1)
@@ -267,15 +289,15 @@ def q_bm_label_propagation(spark, sf_dir):
 SELECT id, label FROM l{LPA_STEPS}""")
 def q_label_propagation_seeded(spark, sf_dir):
     e = sim_edges(spark, sf_dir)
-    labels, _ = seeds(spark, sf_dir, e)
+    labels, _ = seeds(spark, sf_dir, B.graph_vertices(e))
     return P.label_propagation(e, labels.select("id", "label"), max_steps=LPA_STEPS)
 
 
-# GR14 per-vertex verdict over the 3-step distributions, probabilities taken
+# GR14 per-vertex verdict over the distributions, probabilities taken
 # at 9 decimals on both sides so near-ties compare alike in both engines
 @register("vertex_verdict", f"""WITH {SIM_SQL}, {SEED_SQL},
 {_bm_sql(BM_STEPS)},
-r AS (SELECT id, label, round(prob, 9) AS prob FROM d{BM_STEPS}),
+r AS (SELECT id, label, round(prob + 1e-12, 9) AS prob FROM d{BM_STEPS}),
 sp AS (SELECT id, prob AS sp FROM r WHERE label = -1),
 best AS (SELECT id, label, prob FROM (
            SELECT id, label, prob,
@@ -286,9 +308,9 @@ SELECT b.id, CASE WHEN coalesce(sp.sp, 0) > 0 THEN -1 ELSE b.label END AS label,
 FROM best b LEFT JOIN sp USING (id)""")
 def q_vertex_verdict(spark, sf_dir):
     e = sim_edges(spark, sf_dir)
-    labels, _ = seeds(spark, sf_dir, e)
+    labels, _ = seeds(spark, sf_dir, B.graph_vertices(e))
     dist = P.bm_label_propagation(e, labels, max_steps=BM_STEPS)
-    return R.vertex_verdict(dist.withColumn("prob", rnd("prob", 9)))
+    return R.vertex_verdict(dist.withColumn("prob", prob9()))
 
 
 # ------------------------------------------------------------------ GR14
@@ -300,16 +322,24 @@ gsub AS (SELECT s.* FROM sim s WHERE s.src IN (SELECT id FROM grey) AND s.dst IN
 
 
 def _grey(spark, sf_dir):
-    e = sim_edges(spark, sf_dir)
-    labels, counts = seeds(spark, sf_dir, e)
-    return e, R.grey_list_from_seeds(e, labels, BM_STEPS), counts
+    """Shared cells (written once), grey list and blacklist counts, without any pair."""
+    shared = cut_lineage(cells(spark, sf_dir))
+    labels, counts = seeds(spark, sf_dir, K.cell_vertices(shared))
+    p = K.cell_seed_probability(shared, labels.select("id", "is_seed"), BM_STEPS)
+    return shared, cut_lineage(p.where(F.col("prob") > 0)), counts
+
+
+def _grey_components(shared, grey):
+    """Groups of the grey list: components over the cells that two grey keys share."""
+    own = shared.join(grey.select(F.col("id").alias("k")), on="k", how="left_semi").select("k", "len", "cell")
+    return K.cell_components(K.shared_cells(own), vertices=grey.select("id"))
 
 
 @register("grey_list", f"""WITH RECURSIVE {_GREY_SQL}
-SELECT id, round(prob, 9) AS prob FROM grey""")
+SELECT id, round(prob + 1e-12, 9) AS prob FROM grey""")
 def q_grey_list(spark, sf_dir):
     _, grey, _ = _grey(spark, sf_dir)
-    return grey.select("id", rnd("prob", 9).alias("prob"))
+    return grey.select("id", prob9().alias("prob"))
 
 
 @register("fraud_groups", f"""WITH RECURSIVE {_GREY_SQL}
@@ -319,8 +349,10 @@ FROM (SELECT component, count(*) AS n_vertices FROM gcomp GROUP BY 1) c
 LEFT JOIN (SELECT component, count(*) AS n_edges FROM gsub JOIN gcomp ON gsub.src = gcomp.id
            GROUP BY 1) e USING (component)""")
 def q_fraud_groups(spark, sf_dir):
-    e, grey, _ = _grey(spark, sf_dir)
-    _, groups = R.fraud_groups(grey, e)
+    # the stored edges are counted, so the pairs of grey customers are formed
+    _, grey, _ = _grey(spark, sf_dir)
+    mine = customers(spark, sf_dir).join(grey.select(F.col("id").alias("c_custkey")), on="c_custkey", how="left_semi")
+    _, groups = R.fraud_groups(grey, cut_lineage(B.similarity_edges(mine, "c_custkey", ["a1", "a2"])))
     return groups.select("component", "n_vertices", "n_edges", rnd("density", 9).alias("density"))
 
 
@@ -332,18 +364,63 @@ SELECT (SELECT count(DISTINCT component) FROM gcomp) AS n_groups,
        (SELECT count(*) FROM lab WHERE is_seed) / nullif((SELECT count(*) FROM gcomp), 0)
          AS seed_share""")
 def q_fraud_summary(spark, sf_dir):
-    e, grey, counts = _grey(spark, sf_dir)
-    cc, _ = R.fraud_groups(grey, e)
-    return R.fraud_summary(cc, counts)
+    shared, grey, counts = _grey(spark, sf_dir)
+    return R.fraud_summary(_grey_components(shared, grey), counts)
 
 
 @register("fraud_members", f"""WITH RECURSIVE {_GREY_SQL}
 SELECT DISTINCT c.c_custkey, c.a1, c.a2, g.component
 FROM cust c JOIN gcomp g ON c.c_custkey = g.id""")
 def q_fraud_members(spark, sf_dir):
-    e, grey, _ = _grey(spark, sf_dir)
-    cc, _ = R.fraud_groups(grey, e)
-    return R.fraud_members(customers(spark, sf_dir), "c_custkey", ["a1", "a2"], cc)
+    shared, grey, _ = _grey(spark, sf_dir)
+    return R.fraud_members(customers(spark, sf_dir), "c_custkey", ["a1", "a2"], _grey_components(shared, grey))
+
+
+# ------------------------------------------------------------------ CJ7 on the union graph
+# similarity edges and customer-merchant links together, as in the fraud job
+# with a customer column; one record per customer and merchant
+_UNION_SQL = f"""{SIM_SQL.replace("sim AS (", "sim0 AS (")}, {CO_SQL},
+sim AS (SELECT src, dst, weight FROM sim0 UNION ALL SELECT src, dst, weight FROM co)"""
+
+
+def union_graph(spark, sf_dir):
+    """``entity_graph`` with a customer column: the links table carries the merchant."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_suppkey") + SUPPLIER_OFFSET).alias("merchant"))
+    links = o.join(li, o.o_orderkey == li.l_orderkey).select(F.col("o_custkey").alias("c_custkey"), "merchant")
+    return cut_lineage(B.entity_graph(customers(spark, sf_dir), "c_custkey", ["c_custkey", "a1", "a2"], ["a1", "a2"],
+                                      links=links, cust="merchant"))
+
+
+@register("entity_graph", f"""WITH {_UNION_SQL.replace("SELECT o.o_custkey AS src, l.l_suppkey + " + str(SUPPLIER_OFFSET) + " AS dst",
+                                                      "SELECT l.l_suppkey + " + str(SUPPLIER_OFFSET) + " AS src, o.o_custkey AS dst")}
+SELECT src, dst, weight FROM sim""")
+def q_entity_graph(spark, sf_dir):
+    return union_graph(spark, sf_dir)
+
+
+_UNION_GREY_SQL = _GREY_SQL.replace(SIM_SQL, _UNION_SQL)
+
+
+@register("grey_list_union", f"""WITH RECURSIVE {_UNION_GREY_SQL}
+SELECT id, round(prob + 1e-12, 9) AS prob FROM grey""")
+def q_grey_list_union(spark, sf_dir):
+    e = union_graph(spark, sf_dir)
+    labels, _ = seeds(spark, sf_dir, B.graph_vertices(e))
+    return R.grey_list_from_seeds(e, labels, BM_STEPS).select("id", prob9().alias("prob"))
+
+
+@register("fraud_groups_union", f"""WITH RECURSIVE {_UNION_GREY_SQL}
+SELECT c.component, c.n_vertices, coalesce(e.n_edges, 0) AS n_edges,
+       round(coalesce(e.n_edges, 0) / c.n_vertices, 9) AS density
+FROM (SELECT component, count(*) AS n_vertices FROM gcomp GROUP BY 1) c
+LEFT JOIN (SELECT component, count(*) AS n_edges FROM gsub JOIN gcomp ON gsub.src = gcomp.id
+           GROUP BY 1) e USING (component)""")
+def q_fraud_groups_union(spark, sf_dir):
+    e = union_graph(spark, sf_dir)
+    labels, _ = seeds(spark, sf_dir, B.graph_vertices(e))
+    _, groups = R.fraud_groups(R.grey_list_from_seeds(e, labels, BM_STEPS), e)
+    return groups.select("component", "n_vertices", "n_edges", rnd("density", 9).alias("density"))
 
 
 # ------------------------------------------------------------------ Louvain
@@ -511,3 +588,10 @@ def q_louvain_modularity(spark, sf_dir):
     mem = L.louvain(e)
     q = L.modularity(e, mem, resolution=2.0, by=["level"])
     return q.select("level", rnd("modularity", 9).alias("modularity"))
+
+
+# Louvain on the union graph (customers and merchants).
+@register("louvain_union", f"""WITH RECURSIVE {_LOUVAIN_CTES.replace(SIM_SQL, _UNION_SQL)}
+{_LOUVAIN_SNAPS}""")
+def q_louvain_union(spark, sf_dir):
+    return L.louvain(union_graph(spark, sf_dir), max_iter=5, layers=2)

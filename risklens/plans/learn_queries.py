@@ -124,23 +124,72 @@ def labelled_points(spark, sf_dir):
     return train_df, test, pts
 
 
+_SETS_SQL = """
+WITH tr AS (SELECT count(*) AS n, count(*) FILTER (WHERE label < 5) AS n_true FROM embeddings WHERE vec_id % 5 <> 0)
+SELECT 'train' AS item, n, n_true, true AS ok FROM tr
+UNION ALL
+SELECT 'test', count(*), count(*) FILTER (WHERE label < 5), true FROM embeddings WHERE vec_id % 5 = 0
+UNION ALL """
+
+# checks of the fit, each on the training rows
+_CHECKED_ITEMS_SQL = {
+    "linear": """SELECT 'intercept', n, n_true, true FROM tr
+UNION ALL SELECT concat('feature ', range), n, n_true, true
+FROM range((SELECT max(len(embedding)) FROM embeddings)::BIGINT), tr""",
+    "decision_tree": "SELECT 'leaves', n, n_true, true FROM tr",
+    "ensemble": "SELECT 'votes', n, n_true, true FROM tr",
+}
+
+
 def _clf(kind):
     def run(spark, sf_dir):
+        """Rows per data set (size, positives, and whether the metrics of the model's
+        predictions are consistent) and per property that the fit must have."""
         train_df, test, all_data = labelled_points(spark, sf_dir)
-        return M.train_and_score(train_df, test, all_data, kind)
+        model = M.train(train_df, all_data, kind)
+        sets = [M.precision_recall(model.transform(d)).select(
+            F.lit(name).alias("item"), "n", "n_true",
+            ((F.col("n_right") <= F.least("n_true", "n_pred")) & F.col("accuracy").between(0.0, 1.0)).alias("ok"))
+            for name, d in (("train", train_df), ("test", test))]
+        n = train_df.agg(F.count("*")).scalar()
+        n_true = train_df.agg(F.count_if(F.col("label") == 1.0)).scalar()
+        checks = M.fit_checks(model, train_df, kind).select("item", n.alias("n"), n_true.alias("n_true"), "ok")
+        return sets[0].unionByName(sets[1]).unionByName(checks)
     run.__name__ = f"q_clf_{kind}"
     return run
 
 
-for _name, _kind in (("clf_decision_tree", "decision_tree"), ("clf_random_forest", "random_forest"),
-                     ("clf_gbt", "gbt"), ("clf_lr", "logistic"), ("clf_lasso", "lasso"),
-                     ("clf_ridge", "ridge")):
-    register(_name, None)(_clf(_kind))
+for _name, _kind, _check in (("clf_decision_tree", "decision_tree", "decision_tree"),
+                             ("clf_random_forest", "random_forest", "ensemble"),
+                             ("clf_gbt", "gbt", "ensemble"), ("clf_lr", "logistic", "linear"),
+                             ("clf_lasso", "lasso", "linear"), ("clf_ridge", "ridge", "linear")):
+    register(_name, _SETS_SQL + _CHECKED_ITEMS_SQL[_check])(_clf(_kind))
 
 
-@register("probability_threshold", None)
+# PF19 on probability vectors made from a column: each component is the share of
+# one label, in the order of a label indexer, with 1.0 once at index 0 and once at 1.
+@register("probability_threshold", """
+SELECT vec_id, CASE WHEN embedding[1] > 0.02 THEN 1.0 ELSE 0.0 END AS first_label,
+       CASE WHEN embedding[1] > 0.02 THEN 1.0 ELSE 0.0 END AS second_label
+FROM embeddings""")
 def q_probability_threshold(spark, sf_dir):
-    train_df, test, all_data = labelled_points(spark, sf_dir)
-    model = M.train(train_df, all_data, "random_forest")
-    scored = M.threshold(model.transform(test), 0.5)
-    return scored.select("vec_id", "label", "predictedLabel", "thresholdLabel")
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("p"))
+    e = e.select("vec_id", array_to_vector(F.array(F.col("p"), 1 - F.col("p"))).alias("first"),
+                 array_to_vector(F.array(1 - F.col("p"), F.col("p"))).alias("second"))
+    out = M.threshold(e, 0.02, 0, prob_col="first", out="first_label")
+    return M.threshold(out, 0.02, 1, prob_col="second", out="second_label").select("vec_id", "first_label", "second_label")
+
+
+# CJ8: table columns to rules in one call.
+_PART_BASKETS_SQL = """b AS (SELECT DISTINCT p_partkey AS t, unnest(list_filter([p_brand, p_type, CAST(p_size AS VARCHAR)],
+                                                                        lambda x: x <> '')) AS item
+      FROM part WHERE p_brand IS NOT NULL AND p_type IS NOT NULL AND p_size IS NOT NULL)"""
+
+
+@register("rules_from_table", f"""WITH RECURSIVE {_RULE_SQL.replace(_BASKET_SQL, _PART_BASKETS_SQL)}
+SELECT antecedent, consequent, round(confidence, 9) AS confidence, round(lift, 9) AS lift,
+       round(support, 9) AS support FROM rules""")
+def q_rules_from_table(spark, sf_dir):
+    _, r = RU.rules_from_table(table(spark, sf_dir, "part"), ["p_brand", "p_type", "p_size"], MIN_SUPPORT)
+    return r.select(RU.items_text("antecedent").alias("antecedent"), F.col("consequent")[0].alias("consequent"),
+                    rnd("confidence", 9).alias("confidence"), rnd("lift", 9).alias("lift"), rnd("support", 9).alias("support"))

@@ -46,7 +46,9 @@ FAST = ["access_frequency", "frequency_cv", "cv_hist", "gap_stats", "gap_hist_by
         "label_propagation", "bm_label_propagation", "fraud_summary", "louvain_best_move",
         "louvain_coarsen_nodes", "louvain", "frequent_itemsets", "association_rules", "precision_recall",
         "gap_stats_uri", "gap_stats_min_stdev", "frequency_minute", "gap_hist_report",
-        "windowed_gap_spread_12h", "label_propagation_seeded", "vertex_verdict"]
+        "windowed_gap_spread_12h", "label_propagation_seeded", "vertex_verdict", "entity_graph", "grey_list_union",
+        "clf_lr", "clf_decision_tree", "probability_threshold", "rules_from_table", "gap_hist_report_by_bucket",
+        "gap_hist_report_global", "slice_label", "slice_select", "grey_list", "graph_vertices", "total_weight"]
 
 
 @pytest.mark.parametrize("name", FAST)

@@ -292,8 +292,11 @@ def test_coarsen_keeps_isolated_and_inner(spark):
 
 
 def test_modularity_not_decreasing_on_fixture(spark):
-    from risklens.plans.graph_queries import sim_edges
-    e = sim_edges(spark, "/root/testdata/sf0.01")
+    c = spark.read.parquet("/root/testdata/sf0.01/customer.parquet")
+    c = c.select("c_custkey", F.floor(F.col("c_acctbal") / 10).cast("string").alias("a1"),
+                 F.concat_ws("|", F.col("c_nationkey").cast("string"), "c_mktsegment",
+                             F.floor(F.col("c_acctbal") / 1000).cast("string")).alias("a2"))
+    e = B.similarity_edges(c, "c_custkey", ["a1", "a2"])
     m = L.louvain(e)
     qs = [L.modularity(e, m.where(F.col("level") == lv), resolution=2.0).first().modularity
           for lv in sorted(r.level for r in m.select("level").distinct().collect())]
@@ -312,18 +315,6 @@ def test_entity_graph_with_customer_links(spark):
         B.entity_graph(df, "k", ["k"], ["a0"])
 
 
-def test_similarity_hot_value_salting_is_exact(spark):
-    rnd = random.Random(12)
-    # one value in position 0 shared by most records: a hot join key
-    data = [(str(rnd.randrange(1, 60)), "hot" if rnd.random() < 0.7 else rnd.choice("abc"),
-             rnd.choice(["x", "y", "", None])) for _ in range(150)]
-    df = recs(spark, data, 2)
-    plain = rows(B.similarity_edges(df, "k", ["a0", "a1"]))
-    salted = rows(B.similarity_edges(df, "k", ["a0", "a1"], hot_threshold=10, salts=4))
-    assert salted == plain
-    assert plain == brute_sim(data, False)
-
-
 def test_seed_probability_equals_full_propagation(spark):
     rnd = random.Random(21)
     triples = [(rnd.randrange(40), rnd.randrange(40), rnd.choice([0.3, 0.5, 1.0, 2.5]))
@@ -346,41 +337,45 @@ def test_seed_probability_equals_full_propagation(spark):
     assert set(grey) == {i for i, p in fast.items() if p > 0}
 
 
-def test_bm_lpa_min_prob_drops_and_renormalises(spark):
-    # the cut (0.23) is no ratio of small sums of 0.5/1.0 weights: a cut on an
-    # exact ratio such as 1/5 would make the result depend on summation order
-    rnd = random.Random(31)
-    triples = [(rnd.randrange(25), rnd.randrange(25), rnd.choice([0.5, 1.0])) for _ in range(50)]
-    triples = [t for t in triples if t[0] != t[1]]
-    ids = sorted({x for a, b, _ in triples for x in (a, b)})
-    labels = {i: (-1 if i in ids[:4] else i) for i in ids}
-    verts = spark.createDataFrame(list(labels.items()), "id long, label long")
-    got = defaultdict(dict)
-    for r in P.bm_label_propagation(edges_df(spark, triples), verts, max_steps=3,
-                                    min_prob=0.23).collect():
-        got[r.id][r.label] = r.prob
-    # model: full step, then drop labels below the cut and renormalise
-    dist = {i: {l: 1.0} for i, l in labels.items()}
-    for _ in range(3):
-        s = defaultdict(lambda: defaultdict(float))
-        for a, b, w in triples:
-            for l, p in dist[b].items():
-                s[a][l] += w * p
-            for l, p in dist[a].items():
-                s[b][l] += w * p
-        new = {}
-        for i, d in dist.items():
-            if not s[i] or d.get(-1, 0.0) == 1.0:
-                new[i] = d
-                continue
-            z = sum(s[i].values())
-            kept = {l: v / z for l, v in s[i].items() if v / z >= 0.23}
-            z2 = sum(kept.values())
-            new[i] = {l: v / z2 for l, v in kept.items()}
-        dist = new
-    assert set(got) == set(dist)
-    for i in dist:
-        assert set(got[i]) == set(dist[i])
-        assert all(p >= 0.23 for p in got[i].values())
-        for l, p in dist[i].items():
-            assert got[i][l] == pytest.approx(p, rel=1e-9)
+def test_cells_equal_pairs(spark):
+    """Vertices, components, strength, total weight and seed probability from cells
+    equal those of the pair edges."""
+    from risklens.operators.graph import cells as K
+    rnd = random.Random(5)
+    data = [(str(k), rnd.choice(["", "p", "q", "r", None]) , rnd.choice(["x", "y", "z", "v", "w"]) if rnd.random() < 0.6 else f"own{k}")
+            for k in range(1, 70)]
+    df = spark.createDataFrame(data, "k string, a0 string, a1 string")
+    e = B.similarity_edges(df, "k", ["a0", "a1"]).cache()
+    shared = K.shared_cells(K.similarity_cells(df, "k", ["a0", "a1"]))
+    vertices = K.cell_vertices(shared)
+    assert rows(vertices) == rows(B.graph_vertices(e))
+    assert rows(K.cell_components(shared), "id", "component") == rows(C.connected_components(e), "id", "component")
+    want = dict(rows(B.vertex_strength(e)))
+    got = dict(rows(K.cell_strength(shared)))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert K.cell_total_weight(shared).first()[0] == pytest.approx(B.total_weight(e).first()[0])
+    seeds = vertices.withColumn("is_seed", F.col("id") % 9 == 0)
+    for steps in (1, 2, 5):
+        p = dict(rows(P.seed_probability(e, seeds, steps)))
+        q = dict(rows(K.cell_seed_probability(shared, seeds, steps)))
+        assert q.keys() == p.keys()
+        assert all(q[k] == pytest.approx(p[k], rel=1e-12, abs=1e-15) and (q[k] == 1.0) == (p[k] == 1.0) for k in p)
+
+
+def test_cell_components_of_several_records_per_key(spark):
+    from risklens.operators.graph import cells as K
+    rnd = random.Random(6)
+    data = [(str(rnd.randrange(1, 40)), rnd.choice("abcdefghij"), f"u{rnd.randrange(60)}") for _ in range(70)]
+    df = spark.createDataFrame(data, "k string, a0 string, a1 string")
+    e = B.similarity_edges(df, "k", ["a0", "a1"])
+    shared = K.shared_cells(K.similarity_cells(df, "k", ["a0", "a1"]))
+    assert rows(K.cell_components(shared), "id", "component") == rows(C.connected_components(e), "id", "component")
+
+
+def test_label_propagation_keeps_whole_distributions(spark):
+    """A vertex whose labels are all rare keeps them: a star with ten leaves."""
+    star = edges_df(spark, [(0, i, 1.0) for i in range(1, 11)])
+    verts = spark.createDataFrame([(i, i) for i in range(11)], "id long, label long")
+    got = P.bm_label_propagation(star, verts, max_steps=1).collect()
+    assert {r.id for r in got} == set(range(11))
+    assert sorted(r.prob for r in got if r.id == 0) == pytest.approx([0.1] * 10)

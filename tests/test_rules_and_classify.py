@@ -78,11 +78,36 @@ def test_classifiers_fit_and_score(spark, kind):
         assert r.recall >= 0.8 and r.precision >= 0.8
 
 
-def test_threshold(spark):
-    pts = points(spark)
+@pytest.mark.parametrize("share", [3, 1])
+def test_threshold_takes_the_positive_label(spark, share):
+    """Label 1.0 as the minority (index 1) and as the majority (index 0)."""
+    pts = points(spark).where((F.col("label") == 1.0) | (F.col("vec_id") % 4 < share))
+    if share == 3:
+        pts = points(spark).where((F.col("label") == 0.0) | (F.col("vec_id") % 4 < 2))
     model = M.train(pts, pts, "logistic")
-    out = M.threshold(model.transform(pts), 0.5)
-    assert set(r.thresholdLabel for r in out.collect()) <= {0.0, 1.0}
+    i = M.positive_index(model)
+    n = dict(rows(pts.groupBy("label").count()))
+    assert i == int(n[1.0] < n[0.0])
+    out = M.threshold(model.transform(pts), 0.5, i).collect()
+    assert all(float(r.predictedLabel) == r.thresholdLabel for r in out)
+
+
+@pytest.mark.parametrize("kind", sorted(M.ESTIMATORS))
+def test_fit_checks_hold(spark, kind):
+    pts = points(spark)
+    kw = {"random_forest": {"numTrees": 5}, "gbt": {"maxIter": 3}}.get(kind, {})
+    model = M.train(pts, pts, kind, **kw)
+    got = M.fit_checks(model, pts, kind).collect()
+    assert got and all(r.ok for r in got)
+
+
+def test_fit_checks_fail_for_a_wrong_fit(spark):
+    pts = points(spark)
+    early = M.train(pts, pts, "ridge", maxIter=1)
+    assert not all(r.ok for r in M.stationarity(early, pts).collect())
+    tree = M.train(pts, pts, "decision_tree")
+    other = pts.withColumn("label", 1.0 - F.col("label"))
+    assert not M.leaf_majorities(tree, other).first().ok
 
 
 def test_unknown_classifier(spark):

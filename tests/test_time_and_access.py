@@ -141,11 +141,13 @@ def test_windowed_gap_spread_matches_model_with_borders(spark):
         for _ in range(30):
             data.append((k, rnd.choice([rnd.randrange(0, 3200), 600 * rnd.randrange(0, 6)])))
     data.append((9, 100))  # key with no valid window
+    data.append((8, 90_000))  # key without events in the range: no row
     df = events(spark, data)
     s0 = int((T0 - dt.datetime(1970, 1, 1)).total_seconds())
     got = {r.k: (r.spread_ms, r.n_windows)
            for r in A.windowed_gap_spread(df, ["k"], "ts", s0 + start, s0 + end, step).collect()}
-    for k in {k for k, _ in data}:
+    assert 8 not in got
+    for k in {k for k, _ in data} - {8}:
         exp = brute_windowed([s for kk, s in data if kk == k], start, end, step)
         if exp[0] is None:
             assert got[k] == (None, 0)
@@ -154,6 +156,33 @@ def test_windowed_gap_spread_matches_model_with_borders(spark):
             assert got[k][0] == pytest.approx(exp[0], rel=1e-9, abs=1e-6)
 
 
+def test_windowed_gap_spread_pushes_its_range(spark, tmp_path):
+    events(spark, [(1, 10), (1, 20)]).write.parquet(str(tmp_path / "ev"))
+    df = spark.read.parquet(str(tmp_path / "ev"))
+    s0 = int((T0 - dt.datetime(1970, 1, 1)).total_seconds())
+    plan = A.windowed_gap_spread(df, ["k"], "ts", s0, s0 + 3600, 600)._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(ts" in plan and "LessThanOrEqual(ts" in plan
+    assert plan[plan.index("Physical Plan"):].count("FileScan") == 1
+
+
+def test_select_slice_equals_bucket(spark):
+    from risklens.functions.time import bucket_columns, select_slice
+    df = events(spark, [(k, k * 1777) for k in range(100)])
+    s0 = int((T0 - dt.datetime(1970, 1, 1)).total_seconds())
+    for unit, interval in (("hour", 5 * 3600), ("hour", 86400), ("minute", 25 * 60)):
+        start, _ = bucket_columns(df, "ts", interval, unit)
+        buckets = dict(rows(df.select("k", start.alias("b"))))
+        for k in (0, 17, 60):
+            got = {r.k for r in select_slice(df, "ts", s0 + k * 1777, interval, unit).collect()}
+            assert got == {j for j, b in buckets.items() if b == buckets[k]}
+
+
+def test_read_catalog_table(spark, tmp_path):
+    from risklens.sources.readers import read_table
+    spark.range(3).createOrReplaceTempView("catalog_table_of_test")
+    assert rows(read_table(spark, "catalog_table_of_test")) == [(0,), (1,), (2,)]
+
+
 def test_access_frequency_in_list_and_nulls(spark):
     recs = [(1, T0, "a"), (1, T0, "a"), (1, T0, "b"), (None, T0, "a"), (2, T0, None),
             (2, T0 + dt.timedelta(days=1), "a")]
@@ -176,12 +205,13 @@ def test_read_access_log_and_slice_label(spark, tmp_path):
     from risklens.functions.time import epoch_seconds_bucket_label
     from risklens.sources.readers import read_access_log
     p = tmp_path / "log.json"
-    p.write_text('{"ip":"1.2.3.4","uri":"/a","dfp":"d","timestamp":"2017-02-27 06:00:05.123"}\n'
-                 '{"ip":"5.6.7.8","uri":"/b","timestamp":"2017-02-27 07:10:00"}\n')
-    df = read_access_log(spark, str(p))
-    r = df.orderBy("ip").collect()
-    assert r[0].ts == dt.datetime(2017, 2, 27, 6, 0, 5, 123000)
-    assert r[1].dfp is None and r[1].ts == dt.datetime(2017, 2, 27, 7, 10)
+    times = {"a": "2017-02-27 06:00:05.123", "b": "2017-02-27 07:10:00", "c": "2017-02-27 06:00:05.1",
+             "d": "2017-02-27 06:00:05.123456", "e": "2017-02-27 06:00:05.123456789", "f": "junk", "g": ""}
+    p.write_text("".join(f'{{"ip":"{ip}","uri":"/a","timestamp":"{t}"}}\n' for ip, t in times.items()) + '{"ip":"h"}\n')
+    got = {r.ip: r.ts for r in read_access_log(spark, str(p)).collect()}
+    at = lambda us: dt.datetime(2017, 2, 27, 6, 0, 5, us)
+    assert got == {"a": at(123000), "b": dt.datetime(2017, 2, 27, 7, 10), "c": at(100000), "d": at(123456),
+                   "e": at(123456), "f": None, "g": None, "h": None}
     lab = spark.range(1).select(epoch_seconds_bucket_label(1488175200).alias("l")).first().l
     assert lab == "27:6"
 
