@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from urllib.parse import urlparse
@@ -50,7 +52,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     The directory comes from ``spark.checkpoint.dir`` (a shared folder on a
     cluster). Only a local-mode session without that setting -- unit tests --
-    gets a private folder under the system temp directory; a cluster session
+    gets a private folder under the system temp directory, deleted when the
+    process ends; a cluster session
     without it is an error, because a machine-local folder would not survive
     the loss of an executor.
     """
@@ -67,6 +70,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             "set spark.checkpoint.dir to a shared folder (HDFS/S3/...) before "
             "running iterative graph operators on a cluster")
     path = tempfile.mkdtemp(prefix="risklens-ckpt-", dir=os.environ.get("TMPDIR"))
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
 

@@ -11,8 +11,9 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = build_session("local[4]", app="risklens-tests", shuffle_partitions=8)
+def spark(tmp_path_factory):
+    s = build_session("local[4]", app="risklens-tests", shuffle_partitions=8,
+                      conf={"spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints"))})
     yield s
     s.stop()
 
