@@ -1,8 +1,9 @@
 """risklens: access-regularity, entity-graph, association-rule and classifier
 operators written against the PySpark DataFrame API.
 
-Every operator takes DataFrames and returns a lazily evaluated DataFrame; no
-operator collects data to the driver.
+Operators take and return DataFrames. Most are lazy; iterative graph operators
+and model fits run jobs while they are called. No operator collects data to the
+driver beyond scalars.
 """
 
 from risklens.session import build_session, ensure_checkpoint_dir  # noqa: F401
