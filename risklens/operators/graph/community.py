@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 
 from risklens import defaults as D
 from risklens.operators.graph.build import vertex_strength
-from risklens.operators.graph.components import connected_components
 from risklens.session import append_table, cut_lineage, new_table_path, read_table, release
 
 
@@ -73,6 +72,36 @@ def best_moves(nodes: DataFrame, edges: DataFrame, m: float,
         F.when(move, F.col("b.q")).otherwise(F.lit(0.0)).alias("gain"))
 
 
+def target_groups(moves: DataFrame) -> DataFrame:
+    """``(id, component)`` of the graph in which every ``src`` points at its one ``dst``:
+    ids that lead into the same cycle (or the same resting target) get the same value.
+
+    Pointer doubling: after k rounds an id knows the node 2^k steps ahead and the
+    smallest id on the way. Rounds stop when pointers reach no fewer nodes than
+    before (then all of them lie on cycles) and no smallest id changes; the group
+    is named by the smallest id of the cycle. One join per round instead of a
+    components loop, since every node has a single outgoing edge.
+    """
+    rest = (moves.select(F.col("dst").alias("id"))
+            .join(moves.select(F.col("src").alias("id")), on="id", how="left_anti").distinct())
+    state = cut_lineage(moves.select(F.col("src").alias("id"), F.col("dst").alias("ahead"), F.least("src", "dst").alias("low"))
+                        .unionByName(rest.select("id", F.col("id").alias("ahead"), F.col("id").alias("low"))))
+    reached = None
+    while True:
+        there = state.select(F.col("id").alias("ahead"), F.col("ahead").alias("next"), F.col("low").alias("next_low"))
+        joined = state.join(there, on="ahead")
+        nxt = cut_lineage(joined.select("id", F.col("next").alias("ahead"), F.least("low", "next_low").alias("low"),
+                                        F.col("low").alias("old")))
+        now = nxt.agg(F.count_distinct("ahead").alias("n"), F.count_if(F.col("low") < F.col("old")).alias("changed")).first()
+        release(state)
+        state = nxt.select("id", "ahead", "low")
+        if now["n"] == reached and now["changed"] == 0:
+            break
+        reached = now["n"]
+    root = state.select(F.col("id").alias("ahead"), F.col("low").alias("component"))
+    return state.select("id", "ahead").join(root, on="ahead").select("id", "component")
+
+
 def relabel(nodes: DataFrame, moves: DataFrame, reps_move: bool | None = None):
     """GR10 step: every node with a move row takes the smallest id of its
     connected component in the graph of (node, target) pairs; the others
@@ -94,7 +123,7 @@ def relabel(nodes: DataFrame, moves: DataFrame, reps_move: bool | None = None):
     if not reps_move:  # no representative moves: every node is a leaf
         rc = moves.sparkSession.createDataFrame([], "id long, component long")
     else:
-        rc = connected_components(rep_moves, materialize_input=False)
+        rc = target_groups(rep_moves)
     anchor = (moves.join(reps.withColumn("is_rep", F.lit(True)), on="id", how="left")
               .select("id", F.when(F.col("is_rep"), F.col("id"))
                       .otherwise(F.col("target")).alias("anchor")))

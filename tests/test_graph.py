@@ -379,3 +379,22 @@ def test_label_propagation_keeps_whole_distributions(spark):
     got = P.bm_label_propagation(star, verts, max_steps=1).collect()
     assert {r.id for r in got} == set(range(11))
     assert sorted(r.prob for r in got if r.id == 0) == pytest.approx([0.1] * 10)
+
+
+def test_target_groups_are_components(spark):
+    """Random functional graphs with long chains, swaps and longer cycles."""
+    rnd = random.Random(8)
+    for n in (1, 7, 60):
+        to = {i: rnd.randrange(n + 5) for i in range(n)}
+        to |= {1000 + i: 1001 + i for i in range(40)}  # a chain, ids ascending
+        to |= {2000 + i: 1999 + i for i in range(1, 40)}  # a chain, ids descending
+        to |= {3000: 3001, 3001: 3002, 3002: 3000, 2999: 3001}  # a cycle of three
+        to = {a: b for a, b in to.items() if a != b}
+        moves = spark.createDataFrame(list(to.items()), "src long, dst long")
+        got = defaultdict(set)
+        for r in L.target_groups(moves).collect():
+            got[r.component].add(r.id)
+        want = defaultdict(set)
+        for i, c in rows(C.connected_components(moves), "id", "component"):
+            want[c].add(i)
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
