@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from risklens.llm.tables import load, written
+from risklens.llm.tables import bound_batches, load, texts, written
 from risklens.llm.words import ALNUM, Slice, mix64, ragged, slices
 
 EDITS, RECALL = 0.2, 0.97
@@ -287,7 +287,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return run
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = texts(docs)
     out = docs.sparkSession.createDataFrame([], LEAK)
     for index in blocks(benchmark):
         out = out.unionAll(rows.mapInArrow(finding(index), LEAK))
@@ -296,6 +296,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, that leak no item."""
+    bound_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
     def keeping(index: Index):

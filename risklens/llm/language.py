@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from risklens.llm.tables import bounded_sample, in_training_part, load, written
+from risklens.llm.tables import bound_batches, bounded_sample, in_training_part, load, texts, written
 from risklens.llm.vocabulary import SPACE, Lattice, automaton, default_vocabulary, pieces
 from risklens.llm.words import kept, text_slices
 
@@ -111,12 +111,15 @@ class Scorer:
         total -= total.max(1, keepdims=True)
         best = total.argmax(1)
         score = 1 / np.exp(total).sum(1)
-        names = [self.model.languages[b] if k else "und" for b, k in zip(best, n)]
-        return names, np.where(n > 0, score, 0.0)
+        # runs of word characters can be fractions or superscripts alone
+        known = [k > 0 and any(map(str.isalpha, t)) for k, t in zip(n, texts)]
+        names = [self.model.languages[b] if k else "und" for b, k in zip(best, known)]
+        return names, np.where(known, score, 0.0)
 
 
 def fit(docs: DataFrame, lang: str = "lang", vocabulary: str | None = None) -> Model:
     """Learn the piece probabilities of the languages in column ``lang`` of the training part."""
+    bound_batches(docs.sparkSession)
     path = vocabulary or default_vocabulary()
     known = docs.where(F.col(lang).isNotNull() & in_training_part())
     chosen = written(bounded_sample(known.select("doc_id", F.col(lang).alias("lang")), "doc_id", FIT_DOCS)
@@ -169,7 +172,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids.slice(first, len(texts)), pa.array(names, pa.string()), pa.array(score)],
                                                  names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+    return texts(docs).mapInArrow(
         run, "doc_id long, lang_pred string, score double")
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from risklens.llm.tables import in_training_part, labelled_sample, load
+from risklens.llm.tables import bound_batches, in_training_part, labelled_sample, load, texts
 from risklens.llm.words import Slice, slices
 
 PASSAGE_WORDS = 64
@@ -195,12 +195,13 @@ def _scoring(net: Network):
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
     """``doc_id, score`` of every row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+    return texts(docs).mapInArrow(
         _scoring(net), "doc_id long, score double")
 
 
 def accepted(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose score reaches the threshold."""
+    bound_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -35,6 +35,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch: with this, a task's Python process stays within some 300 MB.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Have Spark hand rows to Python in batches of few MB, whatever the texts' lengths."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
+def texts(docs: DataFrame) -> DataFrame:
+    """``doc_id`` as long and ``text`` as string, for an Arrow stage."""
+    bound_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def in_training_part(doc_id: str | Column = "doc_id") -> Column:
     """Rows whose labels a model may learn from: crc32 of the id's text, mod 5, is not 0.
     A null id counts as held out."""
@@ -73,6 +89,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int =
     chosen by a hash of doc_id; texts of over ``chars`` characters are left out
     of the fit (not of anything else). The sampled labels, at most about
     ``most`` rows, are broadcast, so that the documents aren't shuffled."""
+    bound_batches(docs.sparkSession)
     known = labels.where(F.col(label).isin(0, 1) & in_training_part()).select(
         F.col("doc_id").alias("_labelled"), F.col(label).cast("int").alias("label")).distinct()
     chosen = written(bounded_sample(known, "_labelled", most), "labels")

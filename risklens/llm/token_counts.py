@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from risklens.llm.tables import load
+from risklens.llm.tables import load, texts
 from risklens.llm.vocabulary import SPACE, automaton, default_vocabulary, pieces
 from risklens.llm.words import kept, text_slices
 
@@ -91,7 +91,7 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                     [ids.slice(first, len(texts)), pa.array([len(t.encode()) for t in texts], pa.int64()),
                      pa.array(np.fromiter(map(counter, texts), np.int64, len(texts)))], names=["doc_id", "n_bytes", "n_tokens"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = texts(docs)
     return rows.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long")
 
 

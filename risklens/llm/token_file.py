@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from risklens.llm.tables import load, new_folder
+from risklens.llm.tables import bound_batches, load, new_folder, texts
 from risklens.llm.words import Slice, kept, ragged, segment_sums, slices
 
 SCHEMA = "doc_id long, ids array<int>, n_tokens long, part int, ahead long"
@@ -146,7 +146,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID)
                     pa.array(ahead + bounds[:-1])], names=["doc_id", "ids", "n_tokens", "part", "ahead"])
                 ahead += int(bounds[-1])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = texts(docs)
     (rows.repartitionByRange("doc_id", F.xxhash64("text"))
      .sortWithinPartitions("doc_id", "text")
      .mapInArrow(encode, SCHEMA)
@@ -181,6 +181,7 @@ def checksums(tokens: DataFrame) -> DataFrame:
                 pa.array(np.diff(bounds).astype(np.int64)), pa.array(sums, pa.int64())],
                 names=["doc_id", "part", "ahead", "n_tokens", "ids_crc32"])
 
+    bound_batches(tokens.sparkSession)
     return tokens.select("doc_id", "part", "ahead", "ids").mapInArrow(
         crc, "doc_id long, part int, ahead long, n_tokens long, ids_crc32 long")
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from risklens.llm.tables import in_training_part, labelled_sample, load
+from risklens.llm.tables import in_training_part, labelled_sample, load, texts
 from risklens.llm.words import ALNUM, Slice, segment_sums, slices
 
 BITS = 18
@@ -149,7 +149,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(made) if made else np.zeros(0))],
                                              names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+    return texts(docs).mapInArrow(
         run, "doc_id long, score double")
 
 
@@ -172,7 +172,7 @@ def offending(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
                      pa.array([bytes(s.data[a:b]).decode() for a, b in zip(lo, hi)], pa.string()), pa.array(p[at])],
                     names=["doc_id", "start", "end", "sentence", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+    return texts(docs).mapInArrow(
         run, "doc_id long, start long, end long, sentence string, score double")
 
 

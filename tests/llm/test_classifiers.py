@@ -134,11 +134,11 @@ def test_language_on_held_out_documents(spark):
 def test_language_edge_cases(spark, docs_of):
     rows = [(i, "the cat and the dog" if i % 2 else "der hund und die katze", "en" if i % 2 else "de") for i in range(40)]
     rows += [(50, None, "en"), (51, "12 34 !!", "de"), (52, "der und die", None), (52, "der und die", None), (None, "the and the", "en"),
-             (53, "日本語", "en"), (54, "katze" * 20_000, "de"), (55, "", "en")]
+             (53, "日本語", "en"), (54, "katze" * 20_000, "de"), (55, "", "en"), (56, "½ ² ¾", "en")]
     docs = docs_of(rows, extra="score lang_pred")
     model = language.fit(docs)
     got = {(r["doc_id"], r["lang_pred"]) for r in language.predict(docs, model).collect()}
-    assert {(50, "und"), (51, "und"), (55, "und"), (52, "de"), (None, "en"), (54, "de")} <= got
+    assert {(50, "und"), (51, "und"), (55, "und"), (56, "und"), (52, "de"), (None, "en"), (54, "de")} <= got
     assert all(0 <= r["score"] <= 1 for r in language.predict(docs, model).collect())
     assert language.predict(docs_of([]), model).count() == 0
     nothing = language.fit(docs.where("lang is null"))
