@@ -19,14 +19,19 @@ Shingles and equal sets are told apart by 64-bit and 128-bit hashes.
    filter are expanded into their members, which are verified exactly.
 5. Copies of one text would give all pairs of their prefix's posting list.
    Since classes, not pairs, are the result, members of a class need no more
-   comparisons: first every group is compared with its own first member, then,
-   twice, every posting list with its first member; only then are all pairs
-   verified that share a prefix shingle and are still in different classes.
+   comparisons: first every member is compared with the first of its group, and
+   every group's first with one of each of its posting lists, twice; only then are
+   all pairs compared that share a prefix shingle and are still in different classes.
+   Pairs are tested inside the join by parity bitmaps: the shingles that only
+   one of two sets has are at least the bits in which their bitmaps differ, and
+   linked sets have at most (n + n') / 9 of them. Only what passes is
+   joined with the sets themselves.
 
 Steps 2 to 5 are exact for any data: no list is cut, and no pair that could link
 is left out but those already known to be in one class. Frequent shingles:
-the screen sends each of them once per batch, the prefix join counts before it
-shuffles and joins without a window over them.
+the screen sends each of them once per million shingles; counts, least labels and
+the like combine before they are shuffled and are written before they are
+joined, so that Spark can broadcast them or split a hot key's rows.
 
 Edge cases: null and empty texts have n_shingles 0 and their own doc_id as
 component; repeated rows (same id or same text) are documents like others; a
@@ -45,14 +50,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from risklens.llm.tables import free_name, load, written
+from risklens.llm.tables import bound_batches, free_name, load, texts, written
 from risklens.llm.words import Slice, mix64, slices
 
 SHINGLE = 5
 #: Percent of the union; fixed by the contract.
 LEAST = 80
+#: Longs of a set's parity bitmap.
+BITMAP = 16
 SCREEN_TENTHS, PREFIX_TENTHS = 1, 3
 
+#: Shingles that a task of the screen holds at a time.
+SCREEN_HELD = 1_000_000
+
 #: Rows up to which lists of (id, class) are broadcast (16 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -87,9 +97,10 @@ def _class_id(shingles: np.ndarray) -> int:
     return int(mix64(np.array([mix64(np.array([a]))[0] ^ b + _U(len(shingles))]))[0].view(np.int64))
 
 
-def _least_shared(n, tenths: int):
-    """l(n) for the smallest set that can link with one of n shingles."""
-    return (4 * n + 4) // 5 * tenths // 10 + 1
+def _bitmap(shingles: np.ndarray) -> np.ndarray:
+    """For each of 64 * BITMAP cells, whether an odd number of shingles falls into it."""
+    odd = np.bincount((shingles & _U(64 * BITMAP - 1)).astype(np.int64), minlength=64 * BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _first(n, tenths: int):
@@ -97,8 +108,11 @@ def _first(n, tenths: int):
     return n - (4 * n + 4) // 5 + n * tenths // 10 + 1
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+_BITS = [f"b{k}" for k in range(BITMAP)]
+
+
+def _columns(bitmaps: list[np.ndarray]) -> list[pa.Array]:
+    return [pa.array([int(b[k]) for b in bitmaps], pa.int64()) for k in range(BITMAP)]
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -112,42 +126,48 @@ def sizes(docs: DataFrame) -> DataFrame:
                     [batch.column("doc_id").slice(s.first, s.rows), pa.array([_class_id(x) for x in sets], pa.int64()),
                      pa.array([len(x) for x in sets], pa.int64())], names=["doc_id", "cid", "n"])
 
-    return _rows(docs).mapInArrow(run, "doc_id long, cid long, n long")
+    return texts(docs).mapInArrow(run, "doc_id long, cid long, n long")
 
 
 def _screen_rows(docs: DataFrame) -> DataFrame:
     """``s, id, c``: a shingle of the first a(n) of set ``id``; id -1 instead of the
-    sets if several of the batch have it. Those are counted at once: a row
+    sets if several of those at hand have it. They are counted at once: a row
     with c > 0 says that ``id`` has c such shingles."""
 
+    def counted(sh: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(sh, kind="stable")
+        sh, ids = sh[order], ids[order]
+        first = np.flatnonzero(np.concatenate([[True], sh[1:] != sh[:-1]])) if len(sh) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(sh)))
+        several = np.repeat(size > 1, size)
+        own, c = np.unique(ids[several], return_counts=True)
+        marker = first[size > 1]
+        out_s = np.concatenate([sh[~several], sh[marker], mix64(own.astype(np.uint64) + _U(len(sh)))])
+        out_id = np.concatenate([ids[~several], np.full(len(marker), -1), own])
+        out_c = np.concatenate([np.zeros(len(out_s) - len(c), np.int32), c.astype(np.int32)])
+        for lo in range(0, len(out_s), 100_000):
+            at = slice(lo, lo + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(out_s[at].view(np.int64)), pa.array(out_id[at]), pa.array(out_c[at])],
+                                             names=["s", "id", "c"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, s_parts, id_parts, held = set(), [], [], 0
         for batch in batches:
-            known: set[int] = set()
-            s_parts, id_parts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for s in slices(batch.column("text")):
                 for x in shingle_sets(s):
                     if len(x) and (cid := _class_id(x)) not in known:
                         known.add(cid)
-                        own = x[:_first(len(x), SCREEN_TENTHS)]
+                        own = x[:_first(len(x), SCREEN_TENTHS)].copy()
                         s_parts.append(own)
                         id_parts.append(np.full(len(own), cid & _ID_BITS, np.int64))
-            sh, ids = np.concatenate(s_parts), np.concatenate(id_parts)
-            order = np.argsort(sh, kind="stable")
-            sh, ids = sh[order], ids[order]
-            first = np.flatnonzero(np.concatenate([[True], sh[1:] != sh[:-1]])) if len(sh) else np.zeros(0, np.int64)
-            size = np.diff(np.append(first, len(sh)))
-            several = np.repeat(size > 1, size)
-            counted, c = np.unique(ids[several], return_counts=True)
-            marker = first[size > 1]
-            out_s = np.concatenate([sh[~several], sh[marker], mix64(counted.astype(np.uint64) + _U(len(sh)))])
-            out_id = np.concatenate([ids[~several], np.full(len(marker), -1), counted])
-            out_c = np.concatenate([np.zeros(len(out_s) - len(c), np.int32), c.astype(np.int32)])
-            for lo in range(0, len(out_s), 100_000):
-                at = slice(lo, lo + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(out_s[at].view(np.int64)), pa.array(out_id[at]), pa.array(out_c[at])],
-                                                 names=["s", "id", "c"])
-
-    return _rows(docs).select("text").mapInArrow(run, "s long, id long, c int")
+                        held += len(own)
+                if held > SCREEN_HELD:
+                    yield from counted(np.concatenate(s_parts), np.concatenate(id_parts))
+                    known, s_parts, id_parts, held = set(), [], [], 0
+        if held:
+            yield from counted(np.concatenate(s_parts), np.concatenate(id_parts))
+
+    return texts(docs).select("text").mapInArrow(run, "s long, id long, c int")
 
 
 def screened(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -163,10 +183,10 @@ def screened(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``cid, n, shingles`` of the chosen classes, from the row that first_doc names."""
+    """``cid, n, bits, shingles`` of the chosen classes, from the row that first_doc names."""
     names = chosen.select(F.col("first_doc"), F.col("cid").alias("want"))
     small = chosen.count() <= BROADCAST_ROWS
-    found = _rows(docs).join(F.broadcast(names) if small else names, F.col("doc_id").eqNullSafe(F.col("first_doc")))
+    found = texts(docs).join(F.broadcast(names) if small else names, F.col("doc_id").eqNullSafe(F.col("first_doc")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,9 +198,12 @@ def sets_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
                 values = np.concatenate([np.zeros(0, np.uint64), *(x for _, x in got)]).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([c for c, _ in got], pa.int64()), pa.array(np.diff(cut).astype(np.int64)),
-                     pa.ListArray.from_arrays(pa.array(cut), pa.array(values))], names=["cid", "n", "shingles"])
+                     *_columns([_bitmap(x) for _, x in got]),
+                     pa.ListArray.from_arrays(pa.array(cut), pa.array(values))], names=["cid", "n", *_BITS, "shingles"])
 
-    return found.select("text", "want").mapInArrow(run, "cid long, n long, shingles array<long>")
+    schema = ", ".join(f"{b} long" for b in _BITS)
+    return (found.select("text", "want").mapInArrow(run, f"cid long, n long, {schema}, shingles array<long>")
+            .select("cid", "n", F.struct(*_BITS).alias("bits"), "shingles"))
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
@@ -188,7 +211,7 @@ def prefixes(sets: DataFrame) -> DataFrame:
     length = F.expr(f"n - floor((4 * n + 4) / 5) + floor(n * {PREFIX_TENTHS} / 10) + 1").cast("int")
     spare = F.expr(f"floor(floor((4 * n + 4) / 5) * {PREFIX_TENTHS} / 10) + 1")
     postings = sets.select("cid", "n", F.explode(F.slice("shingles", F.lit(1), length)).alias("s"))
-    often = postings.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    often = written(postings.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "frequencies")
     shared = postings.join(often, "s")
     by_set = Window.partitionBy("cid", "n")
     rank = F.row_number().over(by_set.orderBy("df", "s"))
@@ -198,9 +221,15 @@ def prefixes(sets: DataFrame) -> DataFrame:
             .groupBy("cid", "n").agg(F.sort_array(F.collect_set("s")).alias("prefix")))
 
 
-def _fit(a: Column, b: Column) -> Column:
-    """Size filter."""
-    return (100 * F.least(a, b) >= LEAST * F.greatest(a, b))
+def _may_link(a: str, b: str) -> Column:
+    """Size and bitmap filters on two sides' columns ``n`` and ``bits`` with the given suffixes."""
+    n, m = F.col(f"n{a}"), F.col(f"n{b}")
+    differ = sum((F.bit_count(F.col(f"bits{a}.{k}").bitwiseXOR(F.col(f"bits{b}.{k}"))) for k in _BITS), F.lit(0))
+    return (100 * F.least(n, m) >= LEAST * F.greatest(n, m)) & (9 * differ <= n + m)
+
+
+def _as(df: DataFrame, suffix: str, *keep: str) -> DataFrame:
+    return df.select(*keep, *(F.col(c).alias(c + suffix) for c in df.columns if c not in keep))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -216,61 +245,68 @@ def components(links: DataFrame) -> DataFrame:
     """``cid, label``: the least class that links connect each linked class with,
     by alternating large and small stars; a class's neighbours are never gathered."""
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
-    state = None
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = written(large, "stars")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u")
         small = (small.select("u", F.col("m").alias("v")).unionAll(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
                  .distinct())
         edges = written(small, "stars")
-        now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first()
-        if now == state:
+        # done when every class hangs on one other, which hangs on none
+        ends = edges.groupBy("u").agg(F.count("*").alias("n"), F.lit(0).alias("root"))
+        roots = edges.select(F.col("v").alias("u"), F.lit(0).alias("n"), F.lit(1).alias("root")).distinct()
+        left = ends.unionAll(roots).groupBy("u").agg(F.sum("n").alias("n"), F.sum("root").alias("root")).where("n + root > 1")
+        if not left.head(1):
             return edges.select(F.col("u").alias("cid"), F.col("v").alias("label"))
-        state = now
 
 
-def _labelled(members: DataFrame, links: DataFrame | None) -> DataFrame:
-    """``cid, gid, n, label`` of all members."""
-    if links is None:
-        return members.withColumn("label", F.col("cid"))
+def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The members with the ``label`` of the class that the links found so far give them."""
     found = components(links)
     return written(members.join(found, "cid", "left").withColumn("label", F.coalesce("label", "cid")), "labels")
 
 
+def _with_one(lists: DataFrame, turn: int) -> DataFrame:
+    """Every entry of a posting list with one entry of the list, if their labels differ."""
+    one = written(lists.groupBy("s").agg(F.min(F.struct(F.xxhash64("cid", F.lit(turn)).alias("turn"), "cid", "n", "bits", "label")).alias("p"))
+                  .select("s", "p.*").drop("turn"), "one-of-each-list")
+    return _as(lists, "_b", "s").join(_as(one, "_a", "s"), "s").where(F.col("label_a") != F.col("label_b"))
+
+
+def _pairs(joined: DataFrame) -> DataFrame:
+    """``a, b`` of the joined entries that may link."""
+    return joined.where(_may_link("_a", "_b")).select(F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b"))
+
+
 def links_of(sets: DataFrame) -> DataFrame:
     """``a, b``: links between sets that connect every class of linked sets."""
     prefixed = written(prefixes(sets).withColumn("gid", F.xxhash64("n", "prefix")), "prefixes")
-    members = prefixed.select("cid", "gid", "n")
+    members = written(prefixed.select("cid", "gid").join(sets.select("cid", "n", "bits"), "cid"), "members")
     postings = written(prefixed.select("gid", F.explode("prefix").alias("s")).distinct(), "postings")
-    # within groups: each member with the first
-    first = members.groupBy("gid").agg(F.min("cid").alias("a"))
-    links = written(verified(members.join(first, "gid").where("a <> cid").select("a", F.col("cid").alias("b")), sets), "links")
-    for turn in range(2):
-        units = (_labelled(members, links).groupBy("gid", "n", "label").agg(F.min("cid").alias("unit")))
-        lists = postings.join(units, "gid").withColumn("turn", F.xxhash64("unit", F.lit(turn)))
-        one = lists.groupBy("s").agg(F.min(F.struct("turn", "unit", "n", "label")).alias("p"))
-        pairs = (lists.join(one, "s").where((F.col("label") != F.col("p.label")) & _fit(F.col("n"), F.col("p.n")))
-                 .select(F.least("unit", "p.unit").alias("a"), F.greatest("unit", "p.unit").alias("b")).distinct())
-        links = written(links.unionAll(verified(pairs, sets)), "links")
+    # each member with the first of its group, and each group's first with one of the list's
+    first = written(members.groupBy("gid").agg(F.min(F.struct("cid", "n", "bits")).alias("f")).select("gid", "f.*"), "groups")
+    inside = _as(members, "_b", "gid").join(_as(first, "_a", "gid"), "gid")
+    across = _with_one(postings.join(first.withColumn("label", F.col("cid")), "gid").drop("gid"), 0)
+    pairs = _pairs(inside.where(F.col("cid_a") != F.col("cid_b"))).unionAll(_pairs(across))
+    links = written(verified(pairs.distinct(), sets), "links")
+    # once more, by what is in different classes now, with another member of each list
+    units = (_labelled(members, links).groupBy("gid", "label").agg(F.min(F.struct("cid", "n", "bits")).alias("u"))
+             .select("gid", "label", "u.*"))
+    again = _with_one(postings.join(units, "gid").drop("gid"), 1)
+    links = written(links.unionAll(verified(_pairs(again).distinct(), sets)), "links")
     # the rest: all pairs still in different classes
-    labelled = _labelled(members, links)
-    units = labelled.groupBy("gid", "n", "label").agg(F.count("*").alias("size"))
-    lists = postings.join(units, "gid")
-    by_label = lists.groupBy("s", "label").agg(F.sum("size").alias("size"))
-    largest = by_label.groupBy("s").agg(F.max(F.struct("size", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
-    mixed = written(lists.join(largest, "s").select("s", "gid", "n", "label", (F.col("label") == F.col("top.label")).alias("top")), "mixed-lists")
-    left = mixed.where("not top").select("s", *(F.col(c).alias(f"{c}_a") for c in ("gid", "n", "label")))
-    pairs = (left.join(mixed, "s").where((F.col("label") != F.col("label_a")) & _fit(F.col("n"), F.col("n_a"))
-                                        & (F.col("top") | (F.col("label_a") < F.col("label"))))
-             .select("gid_a", "label_a", "gid", "label").distinct())
-    who = labelled.select("cid", "gid", "label")
-    expanded = (pairs.join(who.select(F.col("cid").alias("a"), F.col("gid").alias("gid_a"), F.col("label").alias("label_a")), ["gid_a", "label_a"])
-                .join(who.select(F.col("cid").alias("b"), "gid", "label"), ["gid", "label"])
-                .select("a", "b").distinct())
-    return written(links.unionAll(verified(expanded, sets)), "links")
+    lists = postings.join(_labelled(members, links), "gid").drop("gid")
+    by_label = lists.groupBy("s", "label").agg(F.count("*").alias("size"))
+    largest = written(by_label.groupBy("s").agg(F.max(F.struct("size", "label")).alias("top"), F.count("*").alias("labels"))
+                      .where("labels > 1").select("s", F.col("top.label").alias("most")), "largest-labels")
+    mixed = written(lists.join(largest, "s")
+                    .withColumn("top", F.col("label") == F.col("most")).drop("most"), "mixed-lists")
+    pairs = (_as(mixed.where("not top"), "_a", "s").join(_as(mixed, "_b", "s"), "s")
+             .where((F.col("label_a") != F.col("label_b")) & (F.col("top_b") | (F.col("label_a") < F.col("label_b")))))
+    return written(links.unionAll(verified(_pairs(pairs).distinct(), sets)), "links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -282,7 +318,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = written(sets_of(docs, chosen), "sets")
     labels = components(links_of(sets))
     joined = classes.where("n > 0").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    least = joined.groupBy("label").agg(F.min("first_doc").alias("component_id"))
+    least = written(joined.groupBy("label").agg(F.min("first_doc").alias("component_id")), "components")
     linked = joined.join(least, "label").select("cid", "label", "component_id")
     return (own.join(linked, "cid", "left")
             .select("doc_id", "cid", "label", F.col("n").alias("n_shingles"),
@@ -291,6 +327,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def _with_names(docs: DataFrame, column: str) -> DataFrame:
     """Add each row's ``cid``."""
+    bound_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,7 +354,7 @@ def representatives(docs: DataFrame) -> DataFrame:
     class (by doc_id, null first, then set; then text, among rows of equal id
     and set). Texts without words all stay."""
     found = written(near_duplicates(docs).where("n_shingles > 0").groupBy("label", "doc_id", "cid").agg(F.count("*").alias("rows")), "classes")
-    first = found.groupBy("label").agg(F.min(F.struct("doc_id", "cid")).alias("first"))
+    first = written(found.groupBy("label").agg(F.min(F.struct("doc_id", "cid")).alias("first")), "firsts")
     marked = found.join(first, "label").withColumn("is_first", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("cid") == F.col("first.cid")))
     name, rank = free_name("set_name", docs), free_name("set_rank", docs)
     named = _with_names(docs, name)
