@@ -8,6 +8,10 @@ from risklens.operators.graph.build import (  # noqa: F401
     cooccurrence_edges, distinct_focus, entity_graph, graph_vertices, seed_labels,
     similarity_edges, total_weight, union_edges, vertex_strength,
 )
+from risklens.operators.graph.cells import (  # noqa: F401
+    cell_components, cell_seed_probability, cell_strength, cell_total_weight, cell_vertices,
+    shared_cells, similarity_cells,
+)
 from risklens.operators.graph.components import connected_components  # noqa: F401
 from risklens.operators.graph.lpa import (  # noqa: F401
     bm_label_propagation, label_propagation, seed_probability,

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from risklens import defaults as D
-from risklens.operators.graph.build import SEED_LABEL, similarity_records
+from risklens.operators.graph.build import similarity_records
 from risklens.operators.graph.components import connected_components
 from risklens.session import cut_lineage, release
 
@@ -71,13 +71,6 @@ def cell_total_weight(shared: DataFrame) -> DataFrame:
     return shared.agg(F.sum((F.col("n") - 1) / F.col("len")).alias("total_weight"))
 
 
-def cell_seed_labels(vertices: DataFrame, hits: DataFrame) -> DataFrame:
-    """Vertices with ``is_seed`` set for the ids in ``hits``."""
-    return (vertices.join(hits.select("id", F.lit(True).alias("is_seed")).distinct(), on="id", how="left")
-            .select("id", F.coalesce("is_seed", F.lit(False)).alias("is_seed"))
-            .withColumn("label", F.when(F.col("is_seed"), F.lit(SEED_LABEL)).otherwise(F.col("id"))))
-
-
 def cell_seed_probability(shared: DataFrame, vertices: DataFrame,
                           max_steps: int = D.LABEL_PROPAGATION_STEPS) -> DataFrame:
     """``seed_probability`` for one record per key -> ``(id, prob)``.
