@@ -29,7 +29,7 @@ Shingles and equal sets are told apart by 64-bit and 128-bit hashes.
 
 Steps 2 to 5 are exact for any data: no list is cut, and no pair that could link
 is left out but those already known to be in one class. Frequent shingles:
-the screen sends each of them once per million shingles; counts, least labels and
+the screen sends each of them once per 400,000 shingles; counts, least labels and
 the like combine before they are shuffled and are written before they are
 joined, so that Spark can broadcast them or split a hot key's rows.
 
@@ -61,7 +61,7 @@ BITMAP = 16
 SCREEN_TENTHS, PREFIX_TENTHS = 1, 3
 
 #: Shingles that a task of the screen holds at a time.
-SCREEN_HELD = 1_000_000
+SCREEN_HELD = 400_000
 
 #: Rows up to which lists of (id, class) are broadcast (16 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
