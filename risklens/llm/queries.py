@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from risklens.llm import decontamination, language, mixing, near_duplicates, quality, token_counts, token_file, toxicity, urls, vectors
+from risklens.llm import (decontamination, language, merkle, mixing, near_duplicates, quality, token_counts, token_file, toxicity,
+                          urls, vectors)
 
 QUERIES = {
     "op1_token_orc": token_file.op1_token_orc,
@@ -15,9 +16,11 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_decontaminate": decontamination.op9_decontaminate,
     "op10_url_filter": urls.op10_url_filter,
+    "op13_merkle": merkle.op13_merkle,
 }
 
 ORACLE_SQL = {
     "op5_mix": mixing.OP5_SQL,
     "op7_exact_topk": vectors.OP7_SQL,
+    "op13_merkle": merkle.OP13_SQL,
 }
