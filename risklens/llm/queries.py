@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from risklens.llm import (decontamination, language, merkle, mixing, near_duplicates, quality, token_counts, token_file, toxicity,
-                          urls, vector_codes, vectors)
+                          urls, vector_codes, vectors, warc)
 
 QUERIES = {
     "op1_token_orc": token_file.op1_token_orc,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_decontaminate": decontamination.op9_decontaminate,
     "op10_url_filter": urls.op10_url_filter,
+    "op11_warc": warc.op11_warc,
     "op12_vector_codes": vector_codes.op12_vector_codes,
     "op13_merkle": merkle.op13_merkle,
 }
@@ -23,6 +24,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op5_mix": mixing.OP5_SQL,
     "op7_exact_topk": vectors.OP7_SQL,
+    "op11_warc": warc.OP11_SQL,
     "op12_vector_codes": vector_codes.OP12_SQL,
     "op13_merkle": merkle.OP13_SQL,
 }
