@@ -14,8 +14,8 @@ filter on doc_id prunes point look-ups. Each stripe is read on its own, so one
 file can feed many tasks.
 
 Edge cases: a null text is an empty text and gives the end id alone; a null
-doc_id sorts first; repeated doc_ids stand next to each other in order of
-their texts; an empty table gives an empty folder that reads back empty; other
+doc_id sorts first; repeated doc_ids stand next to each other, in one file or
+in files that follow each other, in order of their texts' hashes; an empty table gives an empty folder that reads back empty; other
 columns of the input are ignored, whatever their names.
 """
 
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +38,8 @@ END_ID = 1
 STRIPE_BYTES = 64 << 20
 ROWS_PER_INDEX_ENTRY = 1000
 
-#: Words whose ids a Python worker keeps; it starts afresh beyond.
-CACHED_WORDS = 1_000_000
-
-#: Words in one text handed to the library.
-JOINED_WORDS = 4096
-
-#: How the pre-tokeniser cuts a word that isn't all letters (fixed value, from the tokenizer's file).
-_PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words, and ids of them, that a Python worker keeps; it starts afresh beyond.
+CACHED_WORDS, CACHED_IDS = 1_000_000, 8_000_000
 
 
 class WordEncoder:
@@ -53,21 +48,16 @@ class WordEncoder:
     Its pre-tokeniser drops white space and never joins what white space
     separates, so the ids of a text are those of its words one after the other.
     Words are told apart by 64-bit hashes; each new one goes through the
-    tokenizers library once per worker, many in one call: every pre-token ends
-    with exactly one word-end id, which gives the ids of each word back.
+    tokenizers library on its own, once per worker.
     """
 
-    def __init__(self, path: str, cached: int = CACHED_WORDS):
+    def __init__(self, path: str, cached: int = CACHED_WORDS, cached_ids: int = CACHED_IDS):
         import os
 
-        import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the work
-        self.tokenizer, self.cached = Tokenizer.from_file(path), cached
-        self.piece = regex.compile(_PIECE)
-        self.word_end = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
-        self.word_end[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
+        self.tokenizer, self.cached, self.cached_ids = Tokenizer.from_file(path), cached, cached_ids
         self.clear()
 
     def clear(self) -> None:
@@ -76,29 +66,20 @@ class WordEncoder:
         self.sizes = np.zeros(0, np.int64)
         self.ids, self.used = np.zeros(1 << 16, np.int32), 0
 
-    def pieces(self, word: str) -> int:
-        if word.isalpha() and "\u0130" not in word:  # the one letter whose lower case isn't all letters
-            return 1
-        return len(self.piece.findall(word.lower() if word.isascii() else self.tokenizer.normalizer.normalize_str(word)))
-
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, and the number of ids of each."""
-        n = np.fromiter(map(self.pieces, words), np.int64, len(words))
-        joined = [" ".join(words[i:i + JOINED_WORDS]) for i in range(0, len(words), JOINED_WORDS)]
-        coded = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
-        ids = np.concatenate([np.array(x.ids, dtype=np.int32) for x in coded])
-        ends = np.flatnonzero(self.word_end[ids]) + 1
-        if len(ends) == n.sum() and n.all():
-            return ids, np.diff(ends[np.cumsum(n) - 1], prepend=0)
-        made = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        return np.array([i for x in made for i in x], dtype=np.int32), np.array([len(x) for x in made], dtype=np.int64)
+        made = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, made), np.int64, len(made))
+        return np.fromiter(chain.from_iterable(made), np.int32, int(sizes.sum())), sizes
 
     def learn(self, hashes: np.ndarray, words: list[str]) -> None:
         """``hashes``: ascending."""
         ids, sizes = self.encode(words)
         starts = self.used + np.cumsum(sizes) - sizes
-        while len(self.ids) < self.used + len(ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        if len(self.ids) < self.used + len(ids):
+            grown = np.zeros(max(2 * len(self.ids), self.used + len(ids)), np.int32)
+            grown[:self.used] = self.ids[:self.used]
+            self.ids = grown
         self.ids[self.used:self.used + len(ids)] = ids
         self.used += len(ids)
         at = np.searchsorted(self.hashes, hashes)
@@ -110,7 +91,7 @@ class WordEncoder:
         starts, ends, rows = s.words()
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(s.rows, np.int64)
-        if len(self.hashes) > self.cached:
+        if len(self.hashes) > self.cached or self.used > self.cached_ids:
             self.clear()
         found, first, word = np.unique(s.hashes(starts, ends, lower=False), return_index=True, return_inverse=True)
         at = np.searchsorted(self.hashes, found)
@@ -126,7 +107,7 @@ class WordEncoder:
         return self.ids[ragged(self.starts[at][word], sizes)], segment_sums(sizes, rows)
 
 
-def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID) -> None:
+def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, stripe_bytes: int = STRIPE_BYTES) -> None:
     """Encode ``doc_id, text`` of ``docs`` and write the token files to ``path``."""
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -147,13 +128,14 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID)
                 ahead += int(bounds[-1])
 
     rows = texts(docs)
-    (rows.repartitionByRange("doc_id", F.xxhash64("text"))
-     .sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", F.xxhash64("text")]
+    (rows.repartitionByRange(*order)
+     .sortWithinPartitions(*order)
      .mapInArrow(encode, SCHEMA)
      .write.option("compression", "zstd")
      .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
      .option("orc.create.index", "true").option("orc.row.index.stride", str(ROWS_PER_INDEX_ENTRY))
-     .option("orc.stripe.size", str(STRIPE_BYTES))
+     .option("orc.stripe.size", str(stripe_bytes))
      .orc(path))
 
 
@@ -189,7 +171,7 @@ def checksums(tokens: DataFrame) -> DataFrame:
 def digest(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document in the files at
     ``path``; ``start`` counts the ids of all documents before it. The running
-    sum over files sees one row per file.
+    sum over files runs in one task, on one short row per file.
     """
     rows = checksums(read(spark, path))
     sizes = read(spark, path).select("part", "n_tokens")
