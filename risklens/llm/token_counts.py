@@ -29,7 +29,8 @@ from risklens.llm.vocabulary import SPACE, automaton, default_vocabulary, pieces
 from risklens.llm.words import kept, text_slices
 
 UNKNOWN_PENALTY = 10.0
-CACHED_WORDS = 300_000
+#: Words that a Python worker keeps, and characters of the longest one it keeps: a text without spaces is one word.
+CACHED_WORDS, CACHED_CHARS = 300_000, 64
 
 
 class Counter:
@@ -43,14 +44,19 @@ class Counter:
 
     def word(self, word: str) -> tuple[int, float]:
         n = len(word)
-        best, count = [0.0] + [None] * n, [0] * (n + 1)
-        matches: list[list] = [[] for _ in range(n + 1)]
-        for last, (size, score) in self.trie.iter(word):
-            matches[last + 1].append((size, score))
+        best, count = [0.0] * (n + 1), [0] * (n + 1)
+        matches = self.trie.iter(word)  # in order of their ends
+        last, piece = next(matches, (n, None))
         for end in range(1, n + 1):
+            here = []
+            while last < end:
+                here.append(piece)
+                last, piece = next(matches, (n, None))
             single = False
             top = tokens = None
-            for size, score in sorted(matches[end], reverse=True):  # first starts first
+            if len(here) > 1:
+                here.sort(reverse=True)  # first starts first
+            for size, score in here:
                 single = single or size == 1
                 got = best[end - size] + score
                 if top is None or got > top:
@@ -71,9 +77,11 @@ class Counter:
         for w in words:
             n = known.get(w)
             if n is None:
-                if len(known) >= CACHED_WORDS:
-                    known.clear()
-                n = known[w] = self.word(SPACE + w)[0]
+                n = self.word(SPACE + w)[0]
+                if len(w) <= CACHED_CHARS:
+                    if len(known) >= CACHED_WORDS:
+                        known.clear()
+                    known[w] = n
             total += n
         return total
 
