@@ -19,7 +19,7 @@ lower-cased in ASCII and Latin-1, so that case and punctuation don't count.
 
 The items are a stated query set; they are compared with the documents in
 blocks of ``BLOCK_WORDS`` words, each block in one pass over the documents
-without a shuffle.
+without a shuffle. The driver holds one block's index at a time.
 
 Edge cases: items and texts that are null or have no words take no part; items
 of under 5 words match without edits only; repeated rows give a row each; an
@@ -123,7 +123,8 @@ class Index:
             found = [(h, i, q) for i in np.flatnonzero(size == g) for q, h in enumerate(grams(words[i], g).tolist())]
             found.sort()
             self.anchors[g] = tuple(np.array(x, dtype=t) for x, t in zip(zip(*found), (np.uint64, np.int64, np.int64)))
-        self.walks = self.calibrate()
+        self.walks, self.recall = self.calibrate()
+        self.sampled = self.recall >= RECALL
         pairs = []
         for length in set(self.length.tolist()):
             own = np.flatnonzero(self.length == length)
@@ -133,10 +134,10 @@ class Index:
         self.keys = np.array([x for x, _ in pairs], dtype=np.uint64)
         self.key_item = np.array([i for _, i in pairs], dtype=np.int64)
 
-    def calibrate(self, trials: int = 4, most_items: int = 200) -> int:
+    def calibrate(self, trials: int = 4, most_items: int = 200) -> tuple[int, float]:
         """The least number of walks that finds RECALL of the items after as many
         random edits as are allowed, amid other words, by the windows that the
-        search would look at."""
+        search would look at; and the share that they find."""
         r = np.random.default_rng(SEED)
         fresh = lambda n: r.integers(1, 1 << 62, n).tolist()
         found = []
@@ -149,17 +150,18 @@ class Index:
                     at, kind = int(r.integers(0, len(words))), int(r.integers(0, 3))
                     words[at:at + (kind != 0)] = fresh(1) if kind != 1 or len(words) == 1 else []
                 text = np.array(fresh(length) + words + fresh(length), dtype=np.uint64)
-                start, size = self.windows(text, np.array([0, len(text)]))
-                start = start[size == length]
+                start, item = self.anchored(text, np.array([0, len(text)]))
+                start = np.unique(start[self.length[item] == length])
                 symbols = text[np.minimum(start[:, None] + np.arange(length), len(text) - 1)]
                 made = keys(walk(symbols, MOST_WALKS, 3 * length), length).reshape(-1, MOST_WALKS, SAMPLES)
                 found.append((made == own).any(axis=(0, 2)))
         hit = np.maximum.accumulate(np.stack(found), axis=1).mean(axis=0)
-        return int(np.argmax(hit >= RECALL)) + 1 if (hit >= RECALL).any() else MOST_WALKS
+        walks = int(np.argmax(hit >= RECALL)) + 1 if (hit >= RECALL).any() else MOST_WALKS
+        return walks, float(hit[walks - 1])
 
-    def windows(self, words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and length of the distinct item-sized windows on the diagonals of shared anchors."""
-        starts, lengths = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    def anchored(self, words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and items of the distinct item-sized windows on the diagonals of shared anchors."""
+        starts, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for g, (hashes, item, offset) in self.anchors.items():
             got = grams(words, g)
             maybe = np.zeros(1 << 20, dtype=bool)
@@ -171,13 +173,17 @@ class Index:
             inside = at + g <= rows[row + 1]
             at, posting, row = at[inside], posting[inside], row[inside]
             starts.append(np.maximum(at - offset[posting], rows[row]))
-            lengths.append(self.length[item[posting]])
-        found = np.unique(np.stack([np.concatenate(starts), np.concatenate(lengths)], axis=1), axis=0)
+            items.append(item[posting])
+        found = np.unique(np.stack([np.concatenate(starts), np.concatenate(items)], axis=1), axis=0)
         return found[:, 0], found[:, 1]
 
     def candidates(self, words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Window starts and items that agree in a sample."""
-        starts, lengths = self.windows(words, rows)
+        """Window starts and items that agree in a sample, or all of them where sampling isn't enough."""
+        starts, items = self.anchored(words, rows)
+        if not self.sampled:
+            return starts, items
+        found = np.unique(np.stack([starts, self.length[items]], axis=1), axis=0)
+        starts, lengths = found[:, 0], found[:, 1]
         out = [np.zeros((0, 2), np.int64)]
         order = np.argsort(lengths, kind="stable")
         for lo in range(0, len(order), WINDOWS):
@@ -238,8 +244,8 @@ def distances_to_end(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return int(before.min()), int(before.argmin())
 
 
-def blocks(benchmark: DataFrame) -> list[Index]:
-    """Indexes of the items of ``item_id, text``, each over about BLOCK_WORDS words."""
+def blocks(benchmark: DataFrame) -> Iterator[Index]:
+    """Indexes of the items of ``item_id, text``, each over about BLOCK_WORDS words, one after the other."""
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in slices(batch.column("text")):
@@ -254,12 +260,10 @@ def blocks(benchmark: DataFrame) -> list[Index]:
                     .mapInArrow(split, "item_id long, words array<long>").where(F.size("words") > 0), "benchmark")
     total = items.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
     n = -(-total // BLOCK_WORDS)
-    out = []
     for b in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b).orderBy("item_id", "words").collect()
+        rows = items.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(n)) == b).orderBy("item_id", "words").collect()
         if rows:
-            out.append(Index([r["item_id"] for r in rows], [np.array(r["words"], dtype=np.int64).view(np.uint64) for r in rows]))
-    return out
+            yield Index([r["item_id"] for r in rows], [np.array(r["words"], dtype=np.int64).view(np.uint64) for r in rows])
 
 
 def _hashed(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -267,6 +271,7 @@ def _hashed(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return s.hashes(starts, ends, latin=True), rows, starts, ends
 
 
+#: Rows that ``leaks`` finds.
 LEAK = "doc_id long, item_id long, edits int, start long, end long"
 
 
@@ -287,11 +292,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return run
 
-    rows = texts(docs)
-    out = docs.sparkSession.createDataFrame([], LEAK)
+    rows, out, last = texts(docs), docs.sparkSession.createDataFrame([], LEAK), None
     for index in blocks(benchmark):
-        out = out.unionAll(rows.mapInArrow(finding(index), LEAK))
-    return out
+        if last is not None:  # written, so that the index before needn't be kept
+            out = out.unionAll(written(rows.mapInArrow(finding(last), LEAK), "leaks"))
+        last = index
+    return out if last is None else out.unionAll(rows.mapInArrow(finding(last), LEAK))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -310,9 +316,12 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return run
 
+    last = None
     for index in blocks(benchmark):
-        docs = docs.mapInArrow(keeping(index), docs.schema)
-    return docs
+        if last is not None:
+            docs = written(docs.mapInArrow(keeping(last), docs.schema), "clean")
+        last = index
+    return docs if last is None else docs.mapInArrow(keeping(last), docs.schema)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

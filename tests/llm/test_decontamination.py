@@ -91,3 +91,33 @@ def test_edge_cases(spark, docs_of):
     assert dc.leaks(docs_of([]), bench).count() == 0
     none = spark.createDataFrame([], SCHEMA)
     assert dc.leaks(docs, none).count() == 0 and dc.clean(docs, none).count() == len(rows)
+
+
+def bench_of(spark, items):
+    return spark.createDataFrame([(i, " ".join(w)) for i, w in items], SCHEMA)
+
+
+def test_everything_is_found_where_sampling_falls_short(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(dc, "RECALL", 1.01)  # no number of walks reaches that
+    items, docs = planted(7)
+    want = {(d, i) for d, text in docs for i, item in items if infix_distance(item, text) <= int(dc.allowed(len(item)))}
+    index = next(dc.blocks(bench_of(spark, items)))
+    assert not index.sampled and index.walks == dc.MOST_WALKS
+    got = {(r["doc_id"], r["item_id"]) for r in dc.leaks(docs_of([(d, " ".join(t)) for d, t in docs]), bench_of(spark, items)).collect()}
+    assert got == want
+
+
+def test_measured_recall_reaches_the_target(spark):
+    index = next(dc.blocks(bench_of(spark, planted(3)[0])))
+    assert index.sampled and index.recall >= dc.RECALL
+
+
+def test_blocks_of_items(spark, docs_of, monkeypatch):
+    items, docs = planted(5)
+    bench, table = bench_of(spark, items), docs_of([(d, " ".join(t)) for d, t in docs])
+    exact = lambda: sorted(map(tuple, dc.leaks(table, bench).collect()))
+    monkeypatch.setattr(dc, "RECALL", 1.01)
+    whole, kept = exact(), sorted(r["doc_id"] for r in dc.clean(table, bench).collect())
+    monkeypatch.setattr(dc, "BLOCK_WORDS", 200)
+    assert len(list(dc.blocks(bench))) > 2
+    assert exact() == whole and sorted(r["doc_id"] for r in dc.clean(table, bench).collect()) == kept
