@@ -10,8 +10,10 @@ probability in all languages.
 
 The piece probabilities are learned by expectation-maximisation (expected uses
 by forward and backward sums) on the words of a bounded sample of labelled
-texts: about ``FIT_DOCS`` documents, chosen by a hash of doc_id, of at most
-``FIT_CHARS`` characters. Prediction covers every whole text.
+texts, language by language: of each the ids of the smallest hashes, about its
+share of ``FIT_DOCS`` and ``LEAST_DOCS`` at least, one row of an id, and of these
+as many as hold its share of ``FIT_CHARS`` characters, so that every labelled
+language is learned. Prediction covers every whole text.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; with no
 labelled text every text is ``und``; equal scores go to the first language in
@@ -26,14 +28,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from risklens.llm.tables import bound_batches, bounded_sample, in_training_part, load, texts, written
+from risklens.llm.tables import bound_batches, in_training_part, join_small, load, texts, written
 from risklens.llm.vocabulary import SPACE, Lattice, automaton, default_vocabulary, pieces
 from risklens.llm.words import kept, text_slices
 
-FIT_DOCS, FIT_CHARS = 3_000, 60_000
+FIT_DOCS, FIT_CHARS, LEAST_DOCS = 4_000, 24_000_000, 200
 ROUNDS, ADDED = 3, 0.05
 LONGEST = 40
 UNKNOWN_LETTER = 1e-7
@@ -117,16 +119,29 @@ class Scorer:
         return names, np.where(known, score, 0.0)
 
 
+def labelled_texts(docs: DataFrame, lang: str) -> DataFrame:
+    """``lang, text`` of the sample that is learned from."""
+    known = docs.where(F.col(lang).isNotNull() & in_training_part()).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    held = written(known.groupBy(F.col("lang").alias("s_lang")).agg(F.approx_count_distinct("doc_id").alias("ids")), "languages")
+    n = max(1, held.count())
+    most, chars = max(LEAST_DOCS, FIT_DOCS // n), FIT_CHARS // n
+    # a tenth more than the share, for the count is approximate
+    below = F.least(F.lit(1.0), 1.1 * most / F.col("ids")) * (1 << 32)
+    rank = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 32))
+    sample = written(join_small(known, held, F.col("lang") == F.col("s_lang"), "inner").where(rank < below)
+                     .groupBy("lang", "doc_id").agg(F.min("text").alias("text")), "language-sample")
+    order = Window.partitionBy("lang").orderBy(rank, "doc_id")  # of the sampled ids alone
+    ahead = F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    taken = sample.select("lang", "doc_id", F.coalesce(ahead, F.lit(0)).alias("ahead")).where(F.col("ahead") < chars)
+    return sample.join(taken.select("lang", "doc_id"), ["lang", "doc_id"]).select("lang", "text")
+
+
 def fit(docs: DataFrame, lang: str = "lang", vocabulary: str | None = None) -> Model:
     """Learn the piece probabilities of the languages in column ``lang`` of the training part."""
     bound_batches(docs.sparkSession)
     path = vocabulary or default_vocabulary()
-    known = docs.where(F.col(lang).isNotNull() & in_training_part())
-    chosen = written(bounded_sample(known.select("doc_id", F.col(lang).alias("lang")), "doc_id", FIT_DOCS)
-                     .select(F.col("doc_id").alias("_chosen")).distinct(), "language-sample")
-    sample = (known.select("doc_id", F.col(lang).cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-              .join(F.broadcast(chosen), F.col("doc_id") == F.col("_chosen"))
-              .where(F.length("text") <= FIT_CHARS).select("lang", "text"))
+    sample = labelled_texts(docs, lang)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter

@@ -7,8 +7,10 @@ follows, gated attention gives each passage of a document a weight
 hidden vectors is scored. Hidden layer, attention and score are learned
 together from document labels alone.
 
-The fit reads at most about ``FIT_DOCS`` labelled documents (see
-``labelled_sample``); scoring covers every whole text, slice by slice.
+The fit uses at most about ``FIT_DOCS`` labelled documents, one row of each id,
+and of these, in order of a hash of the id, as many as have ``FIT_VALUES``
+numbers in their passages' vectors (see ``labelled_sample``, ``fit_rows``);
+scoring covers every whole text, slice by slice.
 
 Edge cases: a text without words is a bag of one passage of zeros and is scored
 like any other; with labels of one class only, or none, every text scores the
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from risklens.llm.tables import bound_batches, in_training_part, labelled_sample, load, texts
+from risklens.llm.tables import bound_batches, fit_rows, in_training_part, labelled_sample, load, texts
 from risklens.llm.words import Slice, slices
 
 PASSAGE_WORDS = 64
@@ -34,6 +36,7 @@ HASHED = 16
 HIDDEN, GATE = 24, 12
 STEPS, RATE, DECAY, SEED = 150, 0.02, 1e-4, 5
 THRESHOLD = 0.3
+FIT_VALUES = 6_000_000
 
 _CLASSES = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", ".!?", ",;:'\"-", "|", "#$%&*+/<=>@\\^_`~", "()[]{}", "\n\r")
 _CLASS = np.full(256, len(_CLASSES), dtype=np.int64)  # the rest: white space and control bytes
@@ -156,7 +159,7 @@ def fit(sample: DataFrame) -> Network:
                     [batch.column("doc_id").slice(s.first, s.rows), batch.column("label").slice(s.first, s.rows),
                      pa.ListArray.from_arrays(cut, pa.array(x.astype(np.float32).ravel()))], names=["doc_id", "label", "x"])
 
-    got = sample.mapInArrow(encode, "doc_id long, label int, x array<float>").toPandas()
+    got = fit_rows(sample.mapInArrow(encode, "doc_id long, label int, x array<float>"), ["x"], FIT_VALUES).toPandas()
     got = got.sort_values(["doc_id", "label"], kind="stable")
     y = got["label"].to_numpy(float)
     if len(y) == 0 or y.min() == y.max():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from risklens.session import ensure_checkpoint_dir
@@ -79,21 +79,32 @@ def join_small(df: DataFrame, small: DataFrame, on: Column, how: str = "left") -
     return df.join(F.broadcast(small) if small.count() <= SMALL_ROWS else small, on, how)
 
 
-#: Bounds of the labelled sample that a text classifier is fitted on: documents, and characters of one of them.
-FIT_DOCS, FIT_CHARS = 8_000, 60_000
+#: Labelled documents, about, that a text classifier is fitted on.
+FIT_DOCS = 8_000
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int = FIT_DOCS,
-                    chars: int = FIT_CHARS) -> DataFrame:
-    """``label, text`` of about ``most`` labelled documents of the training part,
-    chosen by a hash of doc_id; texts of over ``chars`` characters are left out
-    of the fit (not of anything else). The sampled labels, at most about
-    ``most`` rows, are broadcast, so that the documents aren't shuffled."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int = FIT_DOCS) -> DataFrame:
+    """``doc_id, label, text`` of about ``most`` labelled documents of the
+    training part, chosen by a hash of doc_id. The sampled labels, at most about
+    ``most`` rows, are broadcast, so that the documents aren't shuffled. An id
+    that several rows have is there as often: ``fit_rows`` takes one of them."""
     bound_batches(docs.sparkSession)
     known = labels.where(F.col(label).isin(0, 1) & in_training_part()).select(
         F.col("doc_id").alias("_labelled"), F.col(label).cast("int").alias("label")).distinct()
     chosen = written(bounded_sample(known, "_labelled", most), "labels")
     return (docs.select("doc_id", F.col("text").cast("string").alias("text"))
             .join(F.broadcast(chosen), F.col("doc_id") == F.col("_labelled"))
-            .where(F.length(F.coalesce("text", F.lit(""))) <= chars)
             .select("doc_id", "label", "text"))
+
+
+def fit_rows(encoded: DataFrame, values: list[str], most: int) -> DataFrame:
+    """What a fit may bring to the driver of ``doc_id, label, *values`` (arrays):
+    one row for each id and label, whatever their number was (the least), and of
+    these, in order of a hash of the id, as many as hold ``most`` elements of the
+    first array together; the last one may go beyond."""
+    one = written(encoded.groupBy("doc_id", "label").agg(F.min(F.struct(*values)).alias("v")), "fit-rows")
+    order = Window.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "label")  # of the sampled ids alone
+    ahead = F.sum(F.size(F.col("v")[values[0]])).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    taken = (one.select("doc_id", "label", F.coalesce(ahead, F.lit(0)).alias("ahead")).where(F.col("ahead") < most)
+             .select("doc_id", "label"))
+    return one.join(F.broadcast(taken), ["doc_id", "label"]).select("doc_id", "label", "v.*")

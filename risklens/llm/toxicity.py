@@ -6,17 +6,20 @@ logistic in the hashed words it holds; the document's is their noisy-or,
 descent on the documents' log-likelihood, so that the model itself finds out
 which sentences of a toxic document offend. Words whose presence in a document
 says little about its label (log-likelihood ratio under ``LEAST_GAIN``) have
-weight 0. ``offending`` returns them.
+weight 0. ``offending`` returns the sentences whose own probability reaches the
+threshold, ``score`` the worst sentence of every text.
 
 Words are runs of ASCII letters and digits and non-ASCII bytes, lower-cased in
-ASCII and Latin-1; a sentence ends at ``.``, ``!``, ``?`` or a line's end. The fit reads at
-most about ``FIT_DOCS`` labelled documents (see ``labelled_sample``); scoring
-covers every whole text.
+ASCII and Latin-1; a sentence ends at ``.``, ``!``, ``?`` or a line's end. The fit uses
+at most about ``FIT_DOCS`` labelled documents, one row of each id, and of these,
+in order of a hash of the id, as many as hold ``FIT_WORDS`` words (see
+``labelled_sample``, ``fit_rows``); scoring covers every whole text.
 
 Edge cases: a text without words (null, empty, white space) scores 0; with
 labels of one class only, or none, every text scores the share of toxic labels
-(0 without any); repeated rows get equal scores; an empty table gives no rows;
-other columns are ignored.
+(0 without any) and no sentence is the worst; of sentences with equal scores
+the first is; repeated rows get equal scores; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,12 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from risklens.llm.tables import in_training_part, labelled_sample, load, texts
+from risklens.llm.tables import fit_rows, in_training_part, labelled_sample, load, texts
 from risklens.llm.words import ALNUM, Slice, segment_sums, slices
 
 BITS = 18
 STEPS, RATE, DECAY, LEAST_GAIN = 150, 0.1, 1e-5, 15.0
 THRESHOLD = 0.5
+FIT_WORDS = 8_000_000
 
 _END = np.zeros(256, dtype=bool)
 _END[[ord(c) for c in ".!?\n\r"]] = True
@@ -107,7 +111,8 @@ def fit(sample: DataFrame) -> Model:
                      pa.array([w for w, _ in out], pa.list_(pa.int32())), pa.array([n for _, n in out], pa.list_(pa.int32()))],
                     names=["doc_id", "label", "words", "sizes"])
 
-    got = sample.mapInArrow(hashed, "doc_id long, label int, words array<int>, sizes array<int>").toPandas()
+    got = fit_rows(sample.mapInArrow(hashed, "doc_id long, label int, words array<int>, sizes array<int>"),
+                   ["words", "sizes"], FIT_WORDS).toPandas()
     got = got.sort_values(["doc_id", "label"], kind="stable")
     y = got["label"].to_numpy(float)
     if len(y) == 0 or y.min() == y.max():
@@ -140,17 +145,39 @@ def fit(sample: DataFrame) -> Model:
     return Model(weights, bias)
 
 
+def worst_sentences(model: Model, s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of a slice: whether it has a sentence, and the start and end (in bytes) and probability of the worst."""
+    start, end, p = np.zeros(s.rows, np.int64), np.zeros(s.rows, np.int64), np.zeros(s.rows)
+    bucket, bounds, rows, starts, ends = sentences(s)
+    has = np.diff(rows) > 0
+    if model.constant is not None or not has.any():
+        return np.zeros(s.rows, dtype=bool), start, end, p
+    logit = model.logits(bucket, bounds)
+    most = np.maximum.reduceat(logit, rows[:-1][has])
+    at = np.flatnonzero(logit == np.repeat(most, np.diff(rows)[has]))
+    row, first = np.unique(np.searchsorted(rows, at, side="right") - 1, return_index=True)
+    at = at[first]
+    start[row], end[row] = starts[bounds[at]] - s.offsets[row], ends[bounds[at + 1] - 1] - s.offsets[row]
+    p[row] = 1 / (1 + np.exp(-logit[at]))
+    return has, start, end, p
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, score`` of every row."""
+    """``doc_id, score, worst_start, worst_end, worst_score`` of every row: the
+    document's probability, and place (in UTF-8 bytes) and probability of its
+    worst sentence, null where it has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [model.scores(s) for s in slices(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(made) if made else np.zeros(0))],
-                                             names=["doc_id", "score"])
+            for s in slices(batch.column("text")):
+                has, start, end, p = worst_sentences(model, s)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(s.first, s.rows), pa.array(model.scores(s)),
+                     pa.array(start, mask=~has), pa.array(end, mask=~has), pa.array(p, mask=~has)],
+                    names=["doc_id", "score", "worst_start", "worst_end", "worst_score"])
 
     return texts(docs).mapInArrow(
-        run, "doc_id long, score double")
+        run, "doc_id long, score double, worst_start long, worst_end long, worst_score double")
 
 
 def offending(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -181,4 +208,4 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit(labelled_sample(docs, load(spark, sf_dir, "labels"), "toxic"))
     return (score(docs, model).withColumn("held_out", ~in_training_part())
             .withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
-            .select("doc_id", "held_out", "score", "predicted"))
+            .select("doc_id", "held_out", "score", "predicted", "worst_start", "worst_end", "worst_score"))
