@@ -52,3 +52,21 @@ def test_targets_are_near(docs_of):
         assert r["taken"] <= 2 * r["size"]
     assert all(abs(t - w) <= 30 for t, w in by.values())
     assert abs(sum(t for t, _ in by.values()) - 1.5 * sum(r["size"] for r in rows)) < 1e-6
+
+
+def test_inclusion_is_in_proportion_to_size(spark, docs_of):
+    """One hot source gets a tenth of its words: documents four times as long are taken four times as often, the longest for certain."""
+    sizes = {i: 5 if i % 2 else 20 for i in range(4000)} | {5000: 9000}
+    docs = docs_of([(i, "w " * n, "en", "hot") for i, n in sizes.items()])
+    sized = mixing._sized(docs).select("source", "size", "u")
+    rule = mixing.plan(sized, share=0.3, most=2).first()
+    assert rule["whole"] == 0 and abs(rule["need"] - 0.3 * sum(sizes.values())) < 1e-6
+    # the certain document apart, the expected words are those wanted
+    assert abs(sum(min(1, rule["scale"] * n) * n for n in sizes.values()) - rule["need"]) < 1e-6 and rule["scale"] * 9000 > 1
+    joined = mixing._sized(docs).crossJoin(mixing.plan(sized, share=0.3, most=2).drop("source"))
+    taken = {r["doc_id"]: r["n"] for r in joined.select("doc_id", mixing._copies().alias("n")).collect()}
+    of = lambda n: [taken[i] for i, m in sizes.items() if m == n]
+    assert taken[5000] == 1
+    for n in (5, 20):
+        assert abs(sum(of(n)) / len(of(n)) - rule["scale"] * n) < 0.04
+    assert abs(sum(taken[i] * n for i, n in sizes.items()) - rule["need"]) <= 20
