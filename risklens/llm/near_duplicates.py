@@ -4,7 +4,8 @@ A document's set is its distinct 5-word shingles (words: runs of bytes other
 than space and tab to carriage return, A-Z lower-cased; a text of fewer words is
 one shingle; a text without words has none and links with nothing). Documents
 link when 100 * intersection >= 80 * union; a class is what links connect.
-Shingles and equal sets are told apart by 64-bit and 128-bit hashes.
+Shingles and equal sets are told apart by 64-bit hashes (sets also by their
+sizes where they are collapsed).
 
 1. Classes of equal sets are collapsed; all later steps see each set once.
 2. Screen. In the order of their hashes, the first a(n) = n - ceil(0.8 n) + l(n)
@@ -15,13 +16,15 @@ Shingles and equal sets are told apart by 64-bit and 128-bit hashes.
    order of their frequency, rarest first. Linked sets share one of the first
    a(n) - l + 1; those of frequency 1 need no posting. These are the prefix.
 4. Grouping. Sets of equal prefix and size form one group. Postings are kept for
-   groups only; pairs of groups that share a prefix shingle and pass the size
-   filter are expanded into their members, which are verified exactly.
+   groups only; pairs of groups that share a prefix shingle, pass the size filter
+   and aren't wholly in one class yet are expanded into their members, which are
+   verified exactly.
 5. Copies of one text would give all pairs of their prefix's posting list.
    Since classes, not pairs, are the result, members of a class need no more
    comparisons: first every member is compared with the first of its group, and
    every group's first with one of each of its posting lists, twice; only then are
-   all pairs compared that share a prefix shingle and are still in different classes.
+   all pairs of groups taken that share a prefix shingle, and of their members
+   those that are still in different classes.
    Pairs are tested inside the join by parity bitmaps: the shingles that only
    one of two sets has are at least the bits in which their bitmaps differ, and
    linked sets have at most (n + n') / 9 of them. Only what passes is
@@ -116,17 +119,18 @@ def _columns(bitmaps: list[np.ndarray]) -> list[pa.Array]:
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """``doc_id, cid, n``: the name and size of every row's set."""
+    """``doc_id, text_hash, cid, n``: the name and size of every row's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in slices(batch.column("text")):
                 sets = shingle_sets(s)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(s.first, s.rows), pa.array([_class_id(x) for x in sets], pa.int64()),
-                     pa.array([len(x) for x in sets], pa.int64())], names=["doc_id", "cid", "n"])
+                    [batch.column("doc_id").slice(s.first, s.rows), batch.column("text_hash").slice(s.first, s.rows),
+                     pa.array([_class_id(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64())],
+                    names=["doc_id", "text_hash", "cid", "n"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, cid long, n long")
+    return texts(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, cid long, n long")
 
 
 def _screen_rows(docs: DataFrame) -> DataFrame:
@@ -171,7 +175,7 @@ def _screen_rows(docs: DataFrame) -> DataFrame:
 
 
 def screened(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The classes (``cid, n, first_doc``) that may have a partner."""
+    """The classes (``cid, n, first``) that may have a partner."""
     of_shingle = Window.partitionBy("s")
     shared = (_screen_rows(docs)
               .withColumn("lo", F.min("id").over(of_shingle)).withColumn("hi", F.max("id").over(of_shingle))
@@ -179,14 +183,16 @@ def screened(docs: DataFrame, classes: DataFrame) -> DataFrame:
               .groupBy("id").agg(F.sum(F.when(F.col("c") > 0, F.col("c")).otherwise(1)).alias("shared")))
     need = F.expr(f"floor(floor((4 * n + 4) / 5) * {SCREEN_TENTHS} / 10) + 1")
     return (classes.where("n > 0").withColumn("id", F.col("cid").bitwiseAND(F.lit(_ID_BITS)))
-            .join(shared, "id").where(F.col("shared") >= need).select("cid", "n", "first_doc"))
+            .join(shared, "id").where(F.col("shared") >= need).select("cid", "n", "first"))
 
 
 def sets_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``cid, n, bits, shingles`` of the chosen classes, from the row that first_doc names."""
-    names = chosen.select(F.col("first_doc"), F.col("cid").alias("want"))
+    """``cid, n, bits, shingles`` of the chosen classes, from the rows whose id
+    and text's hash ``first`` gives: rows of one id meet no more than their own class."""
+    names = chosen.select("first", F.col("first.text_hash").alias("want_hash"), F.col("cid").alias("want"))
     small = chosen.count() <= BROADCAST_ROWS
-    found = texts(docs).join(F.broadcast(names) if small else names, F.col("doc_id").eqNullSafe(F.col("first_doc")))
+    found = texts(docs).join(F.broadcast(names) if small else names,
+                             (F.xxhash64("text") == F.col("want_hash")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,28 +303,44 @@ def links_of(sets: DataFrame) -> DataFrame:
              .select("gid", "label", "u.*"))
     again = _with_one(postings.join(units, "gid").drop("gid"), 1)
     links = written(links.unionAll(verified(_pairs(again).distinct(), sets)), "links")
-    # the rest: all pairs still in different classes
-    lists = postings.join(_labelled(members, links), "gid").drop("gid")
-    by_label = lists.groupBy("s", "label").agg(F.count("*").alias("size"))
-    largest = written(by_label.groupBy("s").agg(F.max(F.struct("size", "label")).alias("top"), F.count("*").alias("labels"))
-                      .where("labels > 1").select("s", F.col("top.label").alias("most")), "largest-labels")
-    mixed = written(lists.join(largest, "s")
-                    .withColumn("top", F.col("label") == F.col("most")).drop("most"), "mixed-lists")
-    pairs = (_as(mixed.where("not top"), "_a", "s").join(_as(mixed, "_b", "s"), "s")
-             .where((F.col("label_a") != F.col("label_b")) & (F.col("top_b") | (F.col("label_a") < F.col("label_b")))))
-    return written(links.unionAll(verified(_pairs(pairs).distinct(), sets)), "links")
+    # the rest: all pairs of groups that aren't wholly in one class
+    return written(links.unionAll(verified(_pairs(_members_of_group_pairs(postings, _labelled(members, links))).distinct(), sets)), "links")
+
+
+def _members_of_group_pairs(postings: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs of members of different labels whose groups share a posting list and
+    pass the size filter. Of a list, groups that lie wholly in its largest class
+    aren't paired with each other."""
+    groups = written(members.groupBy("gid").agg(F.first("n").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")), "group-labels")
+    lists = postings.join(groups, "gid")
+    one_class = F.col("lo") == F.col("hi")
+    by_label = lists.groupBy("s", F.when(one_class, F.col("lo")).alias("label")).agg(F.count("*").alias("size"))
+    largest = written(by_label.groupBy("s").agg(F.max(F.when(F.col("label").isNotNull(), F.struct("size", "label"))).alias("top"),
+                                                F.count("*").alias("labels"), F.max(F.col("label").isNull()).alias("mixed"))
+                      .where("labels > 1 or mixed").select("s", F.col("top.label").alias("most")), "largest-labels")
+    open_lists = written(lists.join(largest, "s").withColumn("top", one_class & F.col("lo").eqNullSafe(F.col("most"))).drop("most"), "open-lists")
+    n, m = F.col("n_a"), F.col("n_b")
+    same_class = (F.col("lo_a") == F.col("hi_a")) & (F.col("lo_b") == F.col("hi_b")) & (F.col("lo_a") == F.col("lo_b"))
+    pairs = (_as(open_lists.where("not top"), "_a", "s").join(_as(open_lists, "_b", "s"), "s")
+             .where(F.col("top_b") | (F.col("gid_a") <= F.col("gid_b")))
+             .where(~same_class & (100 * F.least(n, m) >= LEAST * F.greatest(n, m))).select("gid_a", "gid_b").distinct())
+    pairs = written(pairs, "group-pairs")
+    return (pairs.join(_as(members, "_a"), "gid_a").join(_as(members, "_b"), "gid_b")
+            .where((F.col("label_a") != F.col("label_b")) & ((F.col("gid_a") != F.col("gid_b")) | (F.col("cid_a") < F.col("cid_b")))))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, cid, label, n_shingles, component_id`` of every row; ``cid`` names
     its set, ``label`` its class."""
     own = written(sizes(docs), "set-sizes")
-    classes = written(own.groupBy("cid", "n").agg(F.min("doc_id").alias("first_doc")), "classes")
+    # the least id: a null one only where all are
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
+    classes = written(own.groupBy("cid", "n").agg(first.alias("first")), "classes")
     chosen = written(screened(docs, classes), "screened")
     sets = written(sets_of(docs, chosen), "sets")
     labels = components(links_of(sets))
     joined = classes.where("n > 0").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    least = written(joined.groupBy("label").agg(F.min("first_doc").alias("component_id")), "components")
+    least = written(joined.groupBy("label").agg(F.min("first.doc_id").alias("component_id")), "components")
     linked = joined.join(least, "label").select("cid", "label", "component_id")
     return (own.join(linked, "cid", "left")
             .select("doc_id", "cid", "label", F.col("n").alias("n_shingles"),
@@ -369,3 +391,21 @@ def representatives(docs: DataFrame) -> DataFrame:
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents")).drop("cid", "label")
+
+
+OP4_SQL = r"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w
+  FROM documents),
+g AS MATERIALIZED (
+  SELECT DISTINCT rid, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                   WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
+n AS MATERIALIZED (SELECT rid, count(*) AS n FROM g GROUP BY rid),
+p AS MATERIALIZED (SELECT x.rid AS a, y.rid AS b, count(*) AS common FROM g x JOIN g y ON x.s = y.s AND x.rid <> y.rid GROUP BY ALL),
+l AS MATERIALIZED (SELECT p.a, p.b FROM p JOIN n x ON x.rid = p.a JOIN n y ON y.rid = p.b WHERE 100 * common >= 80 * (x.n + y.n - common)),
+c(rid, other) AS (SELECT rid, rid FROM d UNION SELECT c.rid, l.b FROM c JOIN l ON l.a = c.other),
+m AS MATERIALIZED (SELECT c.rid, min(d.doc_id) AS component_id FROM c JOIN d ON d.rid = c.other GROUP BY c.rid)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id
+FROM d JOIN m USING (rid) LEFT JOIN n USING (rid)
+"""

@@ -22,6 +22,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op4_jaccard_join": near_duplicates.OP4_SQL,
     "op5_mix": mixing.OP5_SQL,
     "op7_exact_topk": vectors.OP7_SQL,
     "op11_warc": warc.OP11_SQL,

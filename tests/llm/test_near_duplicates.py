@@ -2,7 +2,9 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from risklens.llm import near_duplicates as nd
 
@@ -88,6 +90,40 @@ def test_edge_cases(docs_of):
     assert got(docs_of([])) == []
 
 
+def test_rows_of_one_id_meet_their_own_set_only(docs_of):
+    """Many near copies without an id: the sets come from one row each, not from all pairs of rows."""
+    words = [f"a{i}" for i in range(60)]
+    rows = [(None, " ".join(words + [f"z{i}"])) for i in range(300)] + [(7, " ".join(words)), (7, " ".join(words[:30]))]
+    docs = docs_of(rows)
+    own = nd.sizes(docs)
+    classes = own.groupBy("cid", "n").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first"))
+    assert nd.sets_of(docs, classes).count() == 302
+    assert got(docs) == brute(rows)
+
+
+def test_equals_sql(spark, docs_of):
+    rows = corpus(12) + [(900, None), (901, ""), (902, "a b"), (903, "A\tB"), (904, "É x y z w v"), (905, "é x y z w v")]
+    docs = docs_of(rows)
+    with duckdb.connect() as c:
+        c.register("documents", docs.toPandas())
+        want = c.sql(nd.OP4_SQL).fetchall()
+    assert got(docs) == sorted(want, key=repr) == brute(rows)
+
+
+def test_groups_of_one_prefix(docs_of):
+    """Sets that differ in what is frequent only: large groups, several classes among them."""
+    words = [f"a{i}" for i in range(300)]
+    r = random.Random(2)
+    rows = []
+    for i in range(150):
+        text = words[i % 3 * 100:i % 3 * 100 + 90]
+        for _ in range(i % 7):
+            at = r.randrange(len(text))
+            text = text[:at] + [f"b{r.randrange(4)}"] + text[at + 1:]
+        rows.append((i, " ".join(text)))
+    assert got(docs_of(rows)) == brute(rows)
+
+
 def test_representatives(docs_of):
     rows = corpus(9) + [(500, "a b c d e f"), (500, "a b c d e f"), (501, "a b c d e f"), (502, None), (503, ""), (502, None)]
     docs = docs_of(rows, extra="set_name listed")
