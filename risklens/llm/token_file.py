@@ -21,6 +21,7 @@ columns of the input are ignored, whatever their names.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -42,13 +43,31 @@ ROWS_PER_INDEX_ENTRY = 1000
 CACHED_WORDS, CACHED_IDS = 1_000_000, 8_000_000
 
 
+#: Plain words joined in one text that the library gets.
+JOINED_WORDS = 4096
+
+#: Letters that normalisation keeps single letters, with one sign behind them or not; or digits.
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?]?)|[0-9]+")
+
+
+def word_ends(word: str) -> int:
+    """Pre-tokens of a plain word, each of which ends with one word-end id: a run
+    of letters is one, and so are a sign and every digit. 0 for other words."""
+    m = _PLAIN.fullmatch(word)
+    if m is None:
+        return 0
+    return len(word) if m[1] is None else 1 + len(m[1])
+
+
 class WordEncoder:
     """Token ids of texts, for the word-end BPE tokenizer.
 
     Its pre-tokeniser drops white space and never joins what white space
     separates, so the ids of a text are those of its words one after the other.
     Words are told apart by 64-bit hashes; each new one goes through the
-    tokenizers library on its own, once per worker.
+    tokenizers library once per worker. Plain words, whose number of word-end ids
+    follows from their form (see ``word_ends``), are joined for that, many in one
+    text; all others go on their own.
     """
 
     def __init__(self, path: str, cached: int = CACHED_WORDS, cached_ids: int = CACHED_IDS):
@@ -58,6 +77,8 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the work
         self.tokenizer, self.cached, self.cached_ids = Tokenizer.from_file(path), cached, cached_ids
+        self.word_end = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.word_end[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -68,9 +89,20 @@ class WordEncoder:
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, and the number of ids of each."""
-        made = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, made), np.int64, len(made))
-        return np.fromiter(chain.from_iterable(made), np.int32, int(sizes.sum())), sizes
+        ends = np.fromiter(map(word_ends, words), np.int64, len(words))
+        plain, other = np.flatnonzero(ends), np.flatnonzero(ends == 0)
+        joined = [" ".join([words[i] for i in plain[lo:lo + JOINED_WORDS]]) for lo in range(0, len(plain), JOINED_WORDS)]
+        made = [e.ids for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+        of_plain = np.fromiter(chain.from_iterable(made), np.int32)
+        last = np.flatnonzero(self.word_end[of_plain])[np.cumsum(ends[plain]) - 1] + 1
+        made = [e.ids for e in self.tokenizer.encode_batch_fast([words[i] for i in other], add_special_tokens=False)]
+        sizes = np.zeros(len(words), np.int64)
+        sizes[plain], sizes[other] = np.diff(last, prepend=0), np.fromiter(map(len, made), np.int64, len(made))
+        starts = np.cumsum(sizes) - sizes
+        ids = np.zeros(int(sizes.sum()), np.int32)
+        ids[ragged(starts[plain], sizes[plain])] = of_plain
+        ids[ragged(starts[other], sizes[other])] = np.fromiter(chain.from_iterable(made), np.int32)
+        return ids, sizes
 
     def learn(self, hashes: np.ndarray, words: list[str]) -> None:
         """``hashes``: ascending."""
