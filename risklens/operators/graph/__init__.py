@@ -12,6 +12,8 @@ from risklens.operators.graph.cells import (  # noqa: F401
     cell_components, cell_seed_probability, cell_strength, cell_total_weight, cell_vertices,
     shared_cells, similarity_cells,
 )
+from risklens.operators.graph.cell_lpa import cell_bm_label_propagation, cell_label_propagation  # noqa: F401
+from risklens.operators.graph.sharing import cell_density, cell_sets, sharing_pairs  # noqa: F401
 from risklens.operators.graph.components import connected_components  # noqa: F401
 from risklens.operators.graph.lpa import (  # noqa: F401
     bm_label_propagation, label_propagation, seed_probability,

@@ -1,13 +1,17 @@
-"""GR12: connected components, labelled by the smallest vertex id.
+"""GR12: connected components, labelled by the smallest vertex id, by contraction.
 
-Min-label propagation with hooking and pointer jumping: each round a vertex
-takes the smallest label among itself and its neighbours, offers it to the
-vertex its old label names (its root), takes the best offer made to that
-root, and finally jumps to the label of its label. Labels are always vertex
-ids of the same component and never increase, so a round without change
-means every component carries its smallest id. One count of
-changed labels per round is the only action; the label table is
-checkpointed every round.
+Each round every vertex points at the smallest id among itself and its
+neighbours, then at what that one points at; edges are replaced by those
+between the pointed-at vertices, without loops and repeats, until none is left.
+Pointers stay inside a component and never rise, and replacing both ends of all
+edges by pointers keeps connected what was connected, so the last vertex left
+of a component is its smallest. The edge table shrinks from round to round;
+pointers of each round are kept, and at the end they are followed from the last
+round back to the first, again over tables that shrink geometrically.
+
+A vertex's smallest neighbour is a grouped minimum, combined map-side. Joins on
+a pointer or an edge's end, which for the hub of a star are most of all rows,
+are spread (``spread_join``).
 """
 
 from __future__ import annotations
@@ -15,58 +19,61 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from risklens.operators.joins import PLAIN_ROWS, spread_join
 from risklens.session import cut_lineage, release
 
 
-def undirected_pairs(edges: DataFrame) -> DataFrame:
-    """Both directions of every edge, without self loops or duplicates."""
-    e = edges.select("src", "dst").where(F.col("src") != F.col("dst"))
-    return (e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-            .distinct())
+def _edges(df: DataFrame) -> DataFrame:
+    """Each undirected edge once, ``u > v``, without loops."""
+    return (df.where(F.col("src") != F.col("dst"))
+            .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
 
 
-def connected_components(edges: DataFrame, vertices: DataFrame | None = None,
-                         max_rounds: int = 1000, materialize_input: bool = True) -> DataFrame:
-    """``(id, component)`` for every endpoint of ``edges`` (and every row of
-    ``vertices``, isolated ones forming their own component).
+def pointers(edges: DataFrame) -> DataFrame:
+    """``id, to`` of every vertex of ``edges(u, v)``: two steps along smallest neighbours."""
+    least = cut_lineage(
+        edges.select(F.col("u").alias("id"), "v").unionByName(edges.select(F.col("v").alias("id"), "v"))
+        .groupBy("id").agg(F.min("v").alias("to")))
+    # a smallest neighbour is a vertex too, so it has a row
+    on = least.select(F.col("id").alias("to"), F.col("to").alias("next"))
+    out = cut_lineage(spread_join(least, on, "to").select("id", F.col("next").alias("to")))
+    release(least)
+    return out
+
 
-    ``materialize_input=False`` skips writing the undirected pair table when
-    ``edges`` is already a cheap scan of a written table.
-    """
-    pairs = undirected_pairs(edges)
-    if materialize_input:
-        pairs = cut_lineage(pairs)
-    ids = pairs.select(F.col("src").alias("id")).distinct()
-    if vertices is not None:
-        ids = ids.unionByName(vertices.select("id")).distinct()
-    labels = ids.select("id", F.col("id").alias("label"))
-    prev = None
-    for _ in range(max_rounds):
-        # m(v): smallest label in v's closed neighbourhood, with v's own label
-        # carried through the same aggregate (no extra join)
-        own = labels.select("id", "label", F.col("label").alias("own"))
-        nbr = (pairs.join(labels.withColumnRenamed("id", "src"), on="src")
-               .select(F.col("dst").alias("id"), "label", F.lit(None).cast("long").alias("own")))
-        hop = (own.unionByName(nbr).groupBy("id")
-               .agg(F.min("label").alias("m"), F.max("own").alias("old")))
-        # hooking: each vertex offers m(v) to its current root L(v); the root
-        # (and every vertex pointing at it) takes the best offer
-        offer = hop.groupBy(F.col("old").alias("root")).agg(F.min("m").alias("best"))
-        hooked = (hop.join(offer, hop.old == offer.root, "left")
-                  .select("id", "old", F.least("m", F.coalesce("best", "m")).alias("label")))
-        # pointer jumping: follow the new label one step
-        parent = hooked.select(F.col("id").alias("label"), F.col("label").alias("plabel"))
-        nxt = (hooked.join(parent, on="label", how="left")
-               .select("id", "old", F.least("label", F.coalesce("plabel", "label")).alias("label")))
-        nxt = cut_lineage(nxt)
-        changed = nxt.where(F.col("label") != F.col("old")).count()
-        release(prev)
-        prev = nxt
-        labels = nxt.select("id", "label")
-        if changed == 0:
-            break
-    else:
-        raise RuntimeError("connected components did not converge")
-    if materialize_input:
-        release(pairs)
-    return labels.select("id", F.col("label").alias("component"))
+def contracted(edges: DataFrame, to: DataFrame, rows: int) -> DataFrame:
+    """The edges, ``rows`` before, between the vertices that the ends of ``edges(u, v)`` point at."""
+    first = spread_join(edges, to.select(F.col("id").alias("u"), F.col("to").alias("src")), "u", rows=rows).select("src", "v")
+    if rows > PLAIN_ROWS:
+        first = cut_lineage(first)
+    return _edges(spread_join(first, to.select(F.col("id").alias("v"), F.col("to").alias("dst")), "v", rows=rows))
+
+
+def connected_components(edges: DataFrame, vertices: DataFrame | None = None, max_rounds: int = 1000) -> DataFrame:
+    """``(id, component)`` for every endpoint of ``edges`` (and every row of
+    ``vertices``, isolated ones forming their own component)."""
+    rounds: list[DataFrame] = []
+    left = cut_lineage(_edges(edges))
+    while n := left.count():
+        if len(rounds) == max_rounds:
+            raise RuntimeError("connected components did not converge")
+        rounds.append(pointers(left))
+        fewer = cut_lineage(contracted(left, rounds[-1], n))
+        release(left)
+        left = fewer
+    release(left)
+    labels = edges.sparkSession.createDataFrame([], "id long, component long")
+    for i, to in enumerate(reversed(rounds)):
+        if i == 0:
+            labels = to.select("id", F.col("to").alias("component"))
+            continue
+        # a vertex that is pointed at but has no edges any more is the last of its component
+        final = labels.select(F.col("id").alias("to"), "component")
+        followed = cut_lineage(spread_join(to, final, "to", "left").select("id", F.coalesce("component", "to").alias("component")))
+        release(labels)
+        release(to)
+        labels = followed
+    if vertices is None:
+        return labels
+    alone = vertices.select("id").distinct().join(labels, on="id", how="left_anti")
+    return labels.unionByName(alone.select("id", F.col("id").alias("component")))

@@ -61,7 +61,7 @@ def fraud_groups(grey: DataFrame, edges: DataFrame) -> DataFrame:
     returns ``(id, component)`` membership and the per-group table."""
     grey = cut_lineage(grey.select("id"))  # used by both semi joins and as vertices
     sub = cut_lineage(grey_subgraph(grey, edges))
-    cc = connected_components(sub, vertices=grey, materialize_input=False)
+    cc = connected_components(sub, vertices=grey)
     return cc, community_density(sub, cc)
 
 

@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from risklens.operators.graph import build as B
+from risklens.operators.graph import cell_lpa as CP
+from risklens.operators.graph import sharing as CS
 from risklens.operators.graph import cells as K
 from risklens.operators.graph import components as C
 from risklens.operators.graph import community as L
@@ -98,7 +100,7 @@ CO_SQL = f"""co AS (
 SEED_SQL = """verts AS (SELECT src AS id FROM sim UNION SELECT dst FROM sim),
 black AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 480000),
 hits AS (SELECT p.o_custkey AS id FROM black b JOIN orders p ON b.o_orderkey = p.o_orderkey),
-lab AS (SELECT v.id, CASE WHEN h.id IS NOT NULL THEN -1 ELSE v.id END AS label,
+lab AS MATERIALIZED (SELECT v.id, CASE WHEN h.id IS NOT NULL THEN -1 ELSE v.id END AS label,
                h.id IS NOT NULL AS is_seed
         FROM verts v LEFT JOIN (SELECT DISTINCT id FROM hits WHERE id IS NOT NULL) h USING (id))"""
 
@@ -127,21 +129,46 @@ def _lpa_sql(steps: int, start: str = "SELECT id, id AS label FROM verts") -> st
     return ",\n".join(parts)
 
 
+# the same edges by an equi join on the attributes (one record per customer), for
+# the oracles that run many steps on them; ``similarity_edges`` keeps the theta join
+SIM_EQ_SQL = f"""{CUST_SQL},
+cell AS MATERIALIZED (
+  SELECT c_custkey AS k, 1 AS pos, a1 AS v FROM cust WHERE a1 <> ''
+  UNION ALL SELECT c_custkey, 2, a2 FROM cust WHERE a2 <> ''),
+sim AS MATERIALIZED (
+  SELECT a.k AS src, b.k AS dst, count(*) / 2.0::DOUBLE AS weight
+  FROM cell a JOIN cell b ON a.pos = b.pos AND a.v = b.v AND a.k <> b.k GROUP BY 1, 2)"""
+
+_BOTH_WAYS_SQL = """e2 AS MATERIALIZED (
+  SELECT target, source, sum(weight) AS weight FROM (
+    SELECT src AS target, dst AS source, weight FROM sim UNION ALL SELECT dst, src, weight FROM sim) GROUP BY 1, 2)"""
+
+
 def _bm_sql(steps: int) -> str:
-    parts = ["e2 AS (SELECT src AS target, dst AS source, weight FROM sim "
-             "UNION ALL SELECT dst, src, weight FROM sim)",
-             "d0 AS (SELECT id, label, 1.0::DOUBLE AS prob FROM lab)"]
+    parts = [_BOTH_WAYS_SQL, "d0 AS MATERIALIZED (SELECT id, label, 1.0::DOUBLE AS prob FROM lab)"]
     for k in range(1, steps + 1):
         p = f"d{k-1}"
-        parts.append(f"""c{k} AS (SELECT e2.target AS id, d.label, sum(e2.weight * d.prob) AS s
-        FROM e2 JOIN {p} d ON e2.source = d.id GROUP BY 1, 2),
-n{k} AS (SELECT c.id, c.label, c.s / z.z AS prob
-        FROM c{k} c JOIN (SELECT id, sum(s) AS z FROM c{k} GROUP BY id) z USING (id)),
-k{k} AS (SELECT DISTINCT id FROM {p}
-        WHERE id NOT IN (SELECT id FROM n{k})
-           OR id IN (SELECT id FROM {p} WHERE label = -1 AND prob = 1.0)),
-d{k} AS (SELECT * FROM {p} WHERE id IN (SELECT id FROM k{k})
-        UNION ALL SELECT * FROM n{k} WHERE id NOT IN (SELECT id FROM k{k}))""")
+        parts.append(f"""n{k} AS MATERIALIZED (
+  SELECT id, label, s / sum(s) OVER (PARTITION BY id) AS prob FROM (
+    SELECT e2.target AS id, d.label, sum(e2.weight * d.prob) AS s
+    FROM e2 JOIN {p} d ON e2.source = d.id
+    WHERE NOT EXISTS (SELECT 1 FROM {p} x WHERE x.id = e2.target AND x.label = -1 AND x.prob = 1.0)
+    GROUP BY 1, 2)),
+d{k} AS MATERIALIZED (
+  SELECT id, label, prob FROM n{k}
+  UNION ALL SELECT id, label, prob FROM {p} d WHERE NOT EXISTS (SELECT 1 FROM n{k} WHERE n{k}.id = d.id))""")
+    return ",\n".join(parts)
+
+
+def _seed_probability_sql(steps: int) -> str:
+    """One number a vertex: the share of the seed label, the rest of a distribution being the others'."""
+    parts = [_BOTH_WAYS_SQL, "p0 AS MATERIALIZED (SELECT id, is_seed::INT::DOUBLE AS prob FROM lab)"]
+    for k in range(1, steps + 1):
+        parts.append(f"""p{k} AS MATERIALIZED (
+  SELECT p.id, CASE WHEN p.prob = 1.0 OR m.z IS NULL THEN p.prob ELSE m.s / m.z END AS prob
+  FROM p{k-1} p LEFT JOIN (
+    SELECT e2.target AS id, sum(e2.weight * q.prob) AS s, sum(e2.weight) AS z
+    FROM e2 JOIN p{k-1} q ON e2.source = q.id GROUP BY 1) m USING (id))""")
     return ",\n".join(parts)
 
 
@@ -260,8 +287,8 @@ FROM (SELECT component, count(*) AS n_vertices FROM comp GROUP BY 1) c
 LEFT JOIN (SELECT component, count(*) AS n_edges FROM sim JOIN comp ON sim.src = comp.id
            GROUP BY 1) e USING (component)""")
 def q_community_density(spark, sf_dir):
-    e = sim_edges(spark, sf_dir)
-    d = R.community_density(e, C.connected_components(e))
+    own = cut_lineage(cells(spark, sf_dir))
+    d = CS.cell_density(own, cut_lineage(K.cell_components(own)))
     return d.select("component", "n_vertices", "n_edges", rnd("density", 9).alias("density"))
 
 
@@ -270,17 +297,20 @@ def q_community_density(spark, sf_dir):
 {_lpa_sql(LPA_STEPS)}
 SELECT id, label FROM l{LPA_STEPS}""")
 def q_label_propagation(spark, sf_dir):
-    return P.label_propagation(sim_edges(spark, sf_dir), max_steps=LPA_STEPS)
+    return CP.cell_label_propagation(cells(spark, sf_dir), max_steps=LPA_STEPS)
 
 
-@register("bm_label_propagation", f"""WITH {SIM_SQL}, {SEED_SQL},
+@register("bm_label_propagation", f"""WITH {SIM_EQ_SQL}, {SEED_SQL},
 {_bm_sql(BM_STEPS)}
 SELECT id, label, round(prob + 1e-12, 9) AS prob FROM d{BM_STEPS}""")
 def q_bm_label_propagation(spark, sf_dir):
-    e = sim_edges(spark, sf_dir)
-    labels, _ = seeds(spark, sf_dir, B.graph_vertices(e))
-    d = P.bm_label_propagation(e, labels, max_steps=BM_STEPS)
-    return d.select("id", "label", prob9().alias("prob"))
+    return _distributions(spark, sf_dir).select("id", "label", prob9().alias("prob"))
+
+
+def _distributions(spark, sf_dir):
+    shared = cut_lineage(cells(spark, sf_dir))
+    labels, _ = seeds(spark, sf_dir, K.cell_vertices(shared))
+    return CP.cell_bm_label_propagation(shared, labels, max_steps=BM_STEPS)
 
 
 # GR5 started from the seeded labels (blacklisted vertices share label -1)
@@ -288,14 +318,14 @@ def q_bm_label_propagation(spark, sf_dir):
 {_lpa_sql(LPA_STEPS, "SELECT id, label FROM lab")}
 SELECT id, label FROM l{LPA_STEPS}""")
 def q_label_propagation_seeded(spark, sf_dir):
-    e = sim_edges(spark, sf_dir)
-    labels, _ = seeds(spark, sf_dir, B.graph_vertices(e))
-    return P.label_propagation(e, labels.select("id", "label"), max_steps=LPA_STEPS)
+    shared = cut_lineage(cells(spark, sf_dir))
+    labels, _ = seeds(spark, sf_dir, K.cell_vertices(shared))
+    return CP.cell_label_propagation(shared, labels.select("id", "label"), max_steps=LPA_STEPS)
 
 
 # GR14 per-vertex verdict over the distributions, probabilities taken
 # at 9 decimals on both sides so near-ties compare alike in both engines
-@register("vertex_verdict", f"""WITH {SIM_SQL}, {SEED_SQL},
+@register("vertex_verdict", f"""WITH {SIM_EQ_SQL}, {SEED_SQL},
 {_bm_sql(BM_STEPS)},
 r AS (SELECT id, label, round(prob + 1e-12, 9) AS prob FROM d{BM_STEPS}),
 sp AS (SELECT id, prob AS sp FROM r WHERE label = -1),
@@ -307,16 +337,13 @@ SELECT b.id, CASE WHEN coalesce(sp.sp, 0) > 0 THEN -1 ELSE b.label END AS label,
        CASE WHEN coalesce(sp.sp, 0) > 0 THEN sp.sp ELSE b.prob END AS prob
 FROM best b LEFT JOIN sp USING (id)""")
 def q_vertex_verdict(spark, sf_dir):
-    e = sim_edges(spark, sf_dir)
-    labels, _ = seeds(spark, sf_dir, B.graph_vertices(e))
-    dist = P.bm_label_propagation(e, labels, max_steps=BM_STEPS)
-    return R.vertex_verdict(dist.withColumn("prob", prob9()))
+    return R.vertex_verdict(_distributions(spark, sf_dir).withColumn("prob", prob9()))
 
 
 # ------------------------------------------------------------------ GR14
-_GREY_SQL = f"""{SIM_SQL}, {SEED_SQL},
-{_bm_sql(BM_STEPS)},
-grey AS (SELECT id, prob FROM d{BM_STEPS} WHERE label = -1 AND prob > 0),
+_GREY_SQL = f"""{SIM_EQ_SQL}, {SEED_SQL},
+{_seed_probability_sql(BM_STEPS)},
+grey AS MATERIALIZED (SELECT id, prob FROM p{BM_STEPS} WHERE prob > 0),
 gsub AS (SELECT s.* FROM sim s WHERE s.src IN (SELECT id FROM grey) AND s.dst IN (SELECT id FROM grey)),
 {_components_sql('gsub', 'grey', 'gcomp')}"""
 
@@ -329,10 +356,15 @@ def _grey(spark, sf_dir):
     return shared, cut_lineage(p.where(F.col("prob") > 0)), counts
 
 
-def _grey_components(shared, grey):
-    """Groups of the grey list: components over the cells that two grey keys share."""
+def _grey_cells(shared, grey):
+    """The cells that two grey keys share."""
     own = shared.join(grey.select(F.col("id").alias("k")), on="k", how="left_semi").select("k", "len", "cell")
-    return K.cell_components(K.shared_cells(own), vertices=grey.select("id"))
+    return K.shared_cells(own)
+
+
+def _grey_components(shared, grey):
+    """Groups of the grey list."""
+    return K.cell_components(_grey_cells(shared, grey), vertices=grey.select("id"))
 
 
 @register("grey_list", f"""WITH RECURSIVE {_GREY_SQL}
@@ -349,10 +381,9 @@ FROM (SELECT component, count(*) AS n_vertices FROM gcomp GROUP BY 1) c
 LEFT JOIN (SELECT component, count(*) AS n_edges FROM gsub JOIN gcomp ON gsub.src = gcomp.id
            GROUP BY 1) e USING (component)""")
 def q_fraud_groups(spark, sf_dir):
-    # the stored edges are counted, so the pairs of grey customers are formed
-    _, grey, _ = _grey(spark, sf_dir)
-    mine = customers(spark, sf_dir).join(grey.select(F.col("id").alias("c_custkey")), on="c_custkey", how="left_semi")
-    _, groups = R.fraud_groups(grey, cut_lineage(B.similarity_edges(mine, "c_custkey", ["a1", "a2"])))
+    shared, grey, _ = _grey(spark, sf_dir)
+    own = cut_lineage(_grey_cells(shared, grey))
+    groups = CS.cell_density(own, cut_lineage(K.cell_components(own, vertices=grey.select("id"))))
     return groups.select("component", "n_vertices", "n_edges", rnd("density", 9).alias("density"))
 
 
@@ -380,7 +411,7 @@ def q_fraud_members(spark, sf_dir):
 # similarity edges and customer-merchant links together, as in the fraud job
 # with a customer column; one record per customer and merchant
 _UNION_SQL = f"""{SIM_SQL.replace("sim AS (", "sim0 AS (")}, {CO_SQL},
-sim AS (SELECT src, dst, weight FROM sim0 UNION ALL SELECT src, dst, weight FROM co)"""
+sim AS MATERIALIZED (SELECT src, dst, weight FROM sim0 UNION ALL SELECT src, dst, weight FROM co)"""
 
 
 def union_graph(spark, sf_dir):
@@ -399,7 +430,9 @@ def q_entity_graph(spark, sf_dir):
     return union_graph(spark, sf_dir)
 
 
-_UNION_GREY_SQL = _GREY_SQL.replace(SIM_SQL, _UNION_SQL)
+_UNION_EQ_SQL = f"""{SIM_EQ_SQL.replace("sim AS MATERIALIZED (", "sim0 AS MATERIALIZED (")}, {CO_SQL},
+sim AS MATERIALIZED (SELECT src, dst, weight FROM sim0 UNION ALL SELECT src, dst, weight FROM co)"""
+_UNION_GREY_SQL = _GREY_SQL.replace(SIM_EQ_SQL, _UNION_EQ_SQL)
 
 
 @register("grey_list_union", f"""WITH RECURSIVE {_UNION_GREY_SQL}

@@ -398,3 +398,54 @@ def test_target_groups_are_components(spark):
         for i, c in rows(C.connected_components(moves), "id", "component"):
             want[c].add(i)
         assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+# ------------------------------------------------------------------ contraction, spread joins
+def test_spread_join_equals_plain_join(spark, monkeypatch):
+    from risklens.operators import joins
+
+    rnd = random.Random(7)
+    keys = [0 if rnd.random() < 0.4 else rnd.randrange(60) for _ in range(900)] + [None] * 5
+    large = spark.createDataFrame(list(enumerate(keys)), "i long, k long")
+    keyed = spark.createDataFrame([(k, f"v{k}") for k in range(0, 60, 3)], "k long, v string")
+    for how in ("inner", "left"):
+        want = rows(large.join(keyed, on="k", how=how), "i", "k", "v") if how == "inner" else None
+        monkeypatch.setattr(joins, "PLAIN_ROWS", 10)
+        monkeypatch.setattr(joins, "HOT_SHARE", 20)
+        got = joins.spread_join(large, keyed, "k", how)
+        plain = large.join(keyed, on="k", how=how)
+        key = lambda df: sorted(map(repr, df.select("i", "k", "v").collect()))
+        assert key(got) == key(plain)
+        assert want is None or rows(got, "i", "k", "v") == want
+        # the hot key's rows are not in the shuffled part
+        assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_components_of_star_path_and_loops(spark, monkeypatch):
+    from risklens.operators import joins
+
+    edges = [(0, i) for i in range(1, 400)] + [(5000, i) for i in range(1000, 1200)] + [(i, i + 1) for i in range(2000, 2100)] + [(7, 7), (9000, 9000)]
+    ids = {x for e in edges for x in e if e[0] != e[1]}
+    want = union_find([e for e in edges if e[0] != e[1]], ids)
+    e = edges_df(spark, [(a, b, 1) for a, b in edges])
+    assert dict(rows(C.connected_components(e), "id", "component")) == want
+    monkeypatch.setattr(joins, "PLAIN_ROWS", 20)
+    monkeypatch.setattr(C, "PLAIN_ROWS", 20)
+    monkeypatch.setattr(joins, "HOT_SHARE", 10)
+    verts = spark.createDataFrame([(9000,), (1,), (9001,)], "id long")
+    assert dict(rows(C.connected_components(e, vertices=verts), "id", "component")) == want | {9000: 9000, 9001: 9001}
+
+
+def test_components_edge_table_shrinks(spark):
+    e = edges_df(spark, [(i, rnd, 1) for i, rnd in zip(range(1, 3000), (random.Random(1).randrange(i) for i in range(1, 3000)))])
+    left, sizes = C._edges(e), []
+    while n := left.count():
+        sizes.append(n)
+        left = C.cut_lineage(C.contracted(left, C.pointers(left), n))
+    assert len(sizes) < 12 and all(b <= a * 0.7 for a, b in zip(sizes, sizes[1:]))
+
+
+def test_components_of_nothing(spark):
+    none = spark.createDataFrame([], "src long, dst long, weight double")
+    assert rows(C.connected_components(none)) == []
+    assert rows(C.connected_components(none, vertices=spark.createDataFrame([(3,)], "id long"))) == [(3, 3)]
