@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from risklens import defaults as D
+from risklens.operators.trees import tree_checks
 
 SEED = 42
 
@@ -106,37 +107,24 @@ def stationarity(model: PipelineModel, train_df: DataFrame, tolerance: float = 1
     Spark penalises coefficients of features scaled to unit deviation, so with
     g the mean of (p - y) x / sd and w = coefficient * sd: g + reg (1 - a) w
     + reg a sign(w) = 0, or |g| <= reg a where w = 0 (a: elastic-net share).
-    One aggregate over the training rows.
+    One aggregate by feature over the training rows.
     """
     lr = model.stages[2]
     reg, a = lr.getRegParam(), lr.getElasticNetParam()
     scored = model.transform(train_df).select(
         vector_to_array("indexedFeatures").alias("x"), F.col("indexedLabel").alias("y"),
         vector_to_array("probability")[1].alias("p"))
-    n = len(lr.coefficients)
-    sums = scored.agg(
-        F.avg(F.col("p") - F.col("y")).alias("g"),
-        *[F.avg((F.col("p") - F.col("y")) * F.col("x")[j]).alias(f"g{j}") for j in range(n)],
-        *[F.stddev_samp(F.col("x")[j]).alias(f"s{j}") for j in range(n)])
-    rows = [F.struct(F.lit("intercept").alias("item"), (F.abs("g") <= tolerance).alias("ok"))]
-    for j in range(n):
-        w = F.lit(float(lr.coefficients[j])) * F.col(f"s{j}")
-        g = F.try_divide(F.col(f"g{j}"), F.col(f"s{j}"))
-        off = F.when(w == 0, F.greatest(F.abs(g) - reg * a, F.lit(0.0))).otherwise(
-            F.abs(g + reg * (1 - a) * w + reg * a * F.signum(w)))
-        rows.append(F.struct(F.lit(f"feature {j}").alias("item"), F.coalesce(off <= tolerance, F.lit(True)).alias("ok")))
-    return sums.select(F.explode(F.array(*rows)).alias("r")).select("r.item", "r.ok")
-
-
-def leaf_majorities(model: PipelineModel, train_df: DataFrame) -> DataFrame:
-    """ML5: one row ``(item, ok)``: whether the tree predicts, in every leaf, a class
-    that no other class outnumbers among the training rows routed to it."""
-    scored = model.transform(train_df)
-    leaves = (scored.withColumn("leaf", F.col("rawPrediction").cast("string"))
-              .groupBy("leaf", "prediction")
-              .agg(F.count_if(F.col("indexedLabel") == F.col("prediction")).alias("own"), F.count("*").alias("n")))
-    return leaves.agg(F.coalesce(F.bool_and(2 * F.col("own") >= F.col("n")), F.lit(True)).alias("ok")).select(
-        F.lit("leaves").alias("item"), "ok")
+    weights = F.map_from_arrays(F.array(*[F.lit(j) for j in range(len(lr.coefficients))]),
+                                F.array(*[F.lit(float(c)) for c in lr.coefficients]))
+    error = F.col("p") - F.col("y")
+    per_feature = (scored.select(F.posexplode("x").alias("j", "v"), error.alias("e")).groupBy("j")
+                   .agg(F.avg(F.col("e") * F.col("v")).alias("g"), F.stddev_samp("v").alias("s")))
+    w, g = weights[F.col("j")] * F.col("s"), F.try_divide(F.col("g"), F.col("s"))
+    off = F.when(w == 0, F.greatest(F.abs(g) - reg * a, F.lit(0.0))).otherwise(F.abs(g + reg * (1 - a) * w + reg * a * F.signum(w)))
+    features = per_feature.select(F.concat(F.lit("feature "), F.col("j").cast("string")).alias("item"),
+                                  F.coalesce(off <= tolerance, F.lit(True)).alias("ok"))
+    intercept = scored.agg(F.avg(error).alias("g")).select(F.lit("intercept").alias("item"), (F.abs("g") <= tolerance).alias("ok"))
+    return intercept.unionByName(features)
 
 
 def ensemble_votes(model: PipelineModel, df: DataFrame, tolerance: float = 1e-9) -> DataFrame:
@@ -163,7 +151,7 @@ def ensemble_votes(model: PipelineModel, df: DataFrame, tolerance: float = 1e-9)
 def fit_checks(model: PipelineModel, train_df: DataFrame, kind: str) -> DataFrame:
     """``(item, ok)`` rows of the checks that apply to ``kind``."""
     if kind == "decision_tree":
-        return leaf_majorities(model, train_df)
+        return tree_checks(model.stages[2], model.transform(train_df), model.stages[2].getMinInstancesPerNode())
     if kind in ("random_forest", "gbt"):
         return ensemble_votes(model, train_df)
     return stationarity(model, train_df)

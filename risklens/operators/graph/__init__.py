@@ -10,7 +10,7 @@ from risklens.operators.graph.build import (  # noqa: F401
 )
 from risklens.operators.graph.cells import (  # noqa: F401
     cell_components, cell_seed_probability, cell_strength, cell_total_weight, cell_vertices,
-    shared_cells, similarity_cells,
+    record_strength, shared_cells, similarity_cells,
 )
 from risklens.operators.graph.cell_lpa import cell_bm_label_propagation, cell_label_propagation  # noqa: F401
 from risklens.operators.graph.sharing import cell_density, cell_sets, sharing_pairs  # noqa: F401

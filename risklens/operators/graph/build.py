@@ -52,8 +52,9 @@ def similarity_records(df: DataFrame, key: str, attrs: list[str], compat: bool =
 
 
 def similarity_edges(df: DataFrame, key: str, attrs: list[str],
-                     compat: bool = False) -> DataFrame:
-    """GR1: weighted edges between records with different keys.
+                     compat: bool = False, sources: DataFrame | None = None) -> DataFrame:
+    """GR1: weighted edges between records with different keys; with
+    ``sources(k)``, those that start at one of these keys.
 
     weight(a, b) = (number of positions where both records hold the same
     non-empty value) / (number of attributes of a), maximised over the record
@@ -76,7 +77,8 @@ def similarity_edges(df: DataFrame, key: str, attrs: list[str],
     cells = (rec.select("k", "rec", "len", F.posexplode("rec").alias("pos", "value"))
              .where(F.col("value") != ""))
     on = ["len", "pos", "value"]
-    a = cells.select(F.col("k").alias("src"), F.col("rec").alias("a_rec"), *on)
+    held = cells if sources is None else cells.join(sources, on="k", how="left_semi")
+    a = held.select(F.col("k").alias("src"), F.col("rec").alias("a_rec"), *on)
     b = cells.select(F.col("k").alias("dst"), F.col("rec").alias("b_rec"), *on)
     pairs = (a.join(b, on=on, how="inner")
              .where(F.col("src") != F.col("dst")))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from risklens import defaults as D
 from risklens.operators.graph.build import SEED_LABEL
+from risklens.operators.graph.cells import one_record
 from risklens.operators.graph.sharing import cell_sets
 from risklens.session import cut_lineage, release
 
@@ -55,7 +56,7 @@ def cell_label_propagation(shared: DataFrame, labels: DataFrame | None = None,
     """
     if max_steps <= 0:
         raise ValueError("max_steps must be > 0")
-    shared = cut_lineage(shared.select("k", "cell"))
+    shared = cut_lineage(shared.select(one_record(), "cell"))
     sets = cell_sets(shared)
     several = sets.groupBy("cells_id").agg(F.count("*").alias("n")).where("n > 1").select("cells_id")
     sets = cut_lineage(sets.join(several, on="cells_id"))
@@ -94,7 +95,7 @@ def cell_bm_label_propagation(shared: DataFrame, vertices: DataFrame, max_steps:
     """
     if max_steps <= 0:
         raise ValueError("max_steps must be > 0")
-    shared = cut_lineage(shared.select("k", "cell", "n"))
+    shared = cut_lineage(shared.select(one_record(), "cell", "n"))
     keys = cut_lineage(shared.groupBy("k").agg(F.count("*").alias("m"), F.sum(F.col("n") - 1).alias("others")))
     start = vertices.select(F.col("id").alias("k"), "label", F.lit(1.0).alias("prob"))
     isolated = cut_lineage(start.join(keys, on="k", how="left_anti"))

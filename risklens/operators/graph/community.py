@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from risklens import defaults as D
 from risklens.operators.graph.build import vertex_strength
+from risklens.operators.joins import PLAIN_ROWS, spread_join
 from risklens.session import append_table, cut_lineage, new_table_path, read_table, release
 
 
@@ -41,26 +42,36 @@ def _triplets(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             .join(n.select(F.col("id").alias("dst"), F.col("comm").alias("cd")), on="dst"))
 
 
-def neighbour_communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """GR8: ``(id, comm, k_in, tot)`` for every node and neighbouring community."""
-    t = _triplets(nodes, edges)
-    kin = (t.select(F.col("src").alias("id"), F.col("cd").alias("c"), "weight")
-           .unionByName(t.select(F.col("dst").alias("id"), F.col("cs").alias("c"), "weight"))
-           .groupBy("id", "c").agg(F.sum("weight").alias("k_in")))
+def edge_ends(edges: DataFrame) -> DataFrame:
+    """``(id, nbr, weight)``: every edge from both of its ends."""
+    return (edges.select(F.col("src").alias("id"), F.col("dst").alias("nbr"), "weight")
+            .unionByName(edges.select(F.col("dst").alias("id"), F.col("src").alias("nbr"), "weight")))
+
+
+def neighbour_communities(nodes: DataFrame, ends: DataFrame, n_nodes: int | None = None,
+                          n_ends: int | None = None) -> DataFrame:
+    """GR8: ``(id, comm, k_in, tot)`` for every node of ``ends`` and neighbouring
+    community. A giant community's ``tot`` and a hub's community reach the rows
+    that need them by spread joins."""
     tot = (nodes.groupBy(F.col("comm").alias("c"))
            .agg(F.sum(F.col("degree") + F.col("inner_degree")).alias("tot")))
-    return kin.join(tot, on="c").select("id", F.col("c").alias("comm"), "k_in", "tot")
+    info = spread_join(nodes.select(F.col("id").alias("nbr"), F.col("comm").alias("c")), tot, "c", rows=n_nodes)
+    return (spread_join(ends, info.select("nbr", "c", "tot"), "nbr", rows=n_ends)
+            .groupBy("id", F.col("c").alias("comm"), "tot").agg(F.sum("weight").alias("k_in"))
+            .select("id", "comm", "k_in", "tot"))
 
 
-def best_moves(nodes: DataFrame, edges: DataFrame, m: float,
-               resolution: float = D.LOUVAIN_RESOLUTION) -> DataFrame:
-    """GR9: ``(id, comm, target, gain)`` for every node with a neighbour."""
+def best_moves(nodes: DataFrame, ends: DataFrame, m: float, resolution: float = D.LOUVAIN_RESOLUTION,
+               n_nodes: int | None = None, n_ends: int | None = None, info: DataFrame | None = None) -> DataFrame:
+    """GR9: ``(id, comm, target, gain)`` for every node of ``ends``; ``info``: its
+    neighbouring communities, where they are written already."""
     if m <= 0:
         raise ValueError("total weight must be positive")
-    info = neighbour_communities(nodes, edges)
+    if info is None:
+        info = neighbour_communities(nodes, ends, n_nodes, n_ends)
     me = nodes.select("id", F.col("comm").alias("own"),
                       (F.col("degree") + F.col("inner_degree")).alias("k_v"))
-    cand = info.join(me, on="id")
+    cand = spread_join(info, me, "id", rows=n_ends)
     tot = F.col("tot") - F.when(F.col("comm") == F.col("own"), F.col("k_v")).otherwise(0.0)
     q = F.col("k_in") - F.lit(resolution / 2.0) * tot * F.col("k_v") / F.lit(float(m))
     best = (cand.groupBy("id", "own")
@@ -102,7 +113,7 @@ def target_groups(moves: DataFrame) -> DataFrame:
     return state.select("id", "ahead").join(root, on="ahead").select("id", "component")
 
 
-def relabel(nodes: DataFrame, moves: DataFrame, reps_move: bool | None = None):
+def relabel(nodes: DataFrame, moves: DataFrame, reps_move: bool | None = None, n_nodes: int | None = None):
     """GR10 step: every node with a move row takes the smallest id of its
     connected component in the graph of (node, target) pairs; the others
     keep their community. Returns ``(nodes, component_table)``.
@@ -130,22 +141,47 @@ def relabel(nodes: DataFrame, moves: DataFrame, reps_move: bool | None = None):
     placed = (anchor.join(rc.withColumnRenamed("id", "anchor"), on="anchor", how="left")
               .select("id", F.coalesce("component", "anchor").alias("k")))
     smallest = placed.groupBy("k").agg(F.min("id").alias("label"))
-    cc = placed.join(smallest, on="k").select("id", F.col("label").alias("component"))
+    cc = spread_join(placed, smallest, "k", rows=n_nodes).select("id", F.col("label").alias("component"))
     out = (nodes.join(cc, on="id", how="left")
            .select("id", F.coalesce("component", "comm").alias("comm"), "degree", "inner_degree"))
     return out, rc
 
 
+#: A round looks at all nodes again if more than one in so many moved in the round before.
+FEW_MOVES = 4
+
+
+def touched_nodes(nodes: DataFrame, moves: DataFrame, n_nodes: int | None = None) -> DataFrame:
+    """``(id, comm)`` of all members of the communities that a move leaves or enters."""
+    away = moves.where(F.col("target") != F.col("comm"))
+    comms = away.select("comm").unionByName(away.select(F.col("target").alias("comm"))).distinct()
+    return (spread_join(nodes.select("id", "comm"), comms.withColumn("touched", F.lit(True)), "comm", rows=n_nodes)
+            .select("id", "comm"))
+
+
 def louvain_local(nodes: DataFrame, edges: DataFrame, m: float,
                   max_iter: int = D.LOUVAIN_MAX_ITER,
                   resolution: float = D.LOUVAIN_RESOLUTION) -> tuple[DataFrame, int]:
     """GR10: up to ``max_iter`` rounds of synchronous moves; stops after a
     round without changes. Returns the nodes and the number of rounds that
-    changed something."""
+    changed something.
+
+    After a round of few moves, only a part of the graph is looked at: a node's
+    best move depends on its own and its neighbours' communities alone, so it
+    can't have changed unless one of these lost or got a member. The active
+    nodes of the next round are therefore the members of the touched communities
+    and their neighbours, and only members of touched communities are relabelled.
+    """
     rounds = 0
     own = None  # node tables written here are released once superseded
+    ends = cut_lineage(edge_ends(edges))
+    n_nodes, n_ends = nodes.count(), ends.count()
+    active, looked_at = None, ends
     while rounds < max_iter:
-        moves = cut_lineage(best_moves(nodes, edges, m, resolution))
+        info = neighbour_communities(nodes, looked_at, n_nodes, n_ends)
+        held = cut_lineage(info) if n_ends > PLAIN_ROWS else None  # the join with the nodes reads it twice
+        moves = cut_lineage(best_moves(nodes, looked_at, m, resolution, n_nodes, n_ends, info if held is None else held))
+        release(held)
         reps = nodes.where(F.col("id") == F.col("comm")).select("id", F.lit(True).alias("rep"))
         counts = (moves.join(reps, on="id", how="left")
                   .agg(F.count_if(F.col("target") != F.col("comm")).alias("changed"),
@@ -157,13 +193,27 @@ def louvain_local(nodes: DataFrame, edges: DataFrame, m: float,
             # smallest member: relabelling would change nothing
             release(moves)
             break
-        relabelled, cc = relabel(nodes, moves, reps_move=counts["reps"] > 0)
+        few = changed * FEW_MOVES <= n_nodes
+        if few or active is not None:
+            touched = cut_lineage(touched_nodes(nodes, moves, n_nodes))
+            # a touched node that was not looked at stays where it is
+            told = (touched.join(moves.select("id", "target"), on="id", how="left")
+                    .select("id", "comm", F.coalesce("target", "comm").alias("target")))
+        else:
+            touched, told = None, moves
+        relabelled, cc = relabel(nodes, told, reps_move=counts["reps"] > 0, n_nodes=n_nodes)
         nodes = cut_lineage(relabelled)
-        release(cc)
-        release(moves)
-        release(own)
-        own = nodes
         rounds += 1
+        for old in (cc, moves, own, active):
+            release(old)
+        own, active, looked_at = nodes, None, ends
+        if few and rounds < max_iter:
+            near = ends.join(touched.select(F.col("id").alias("nbr")), on="nbr", how="left_semi").select("id")
+            active = cut_lineage(near.unionByName(touched.select("id")).distinct())
+            looked_at = ends.join(active, on="id", how="left_semi")
+        release(touched)
+    release(active)
+    release(ends)
     return nodes, rounds
 
 

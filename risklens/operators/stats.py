@@ -9,6 +9,8 @@ grouped aggregate joined back on the slice key.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,18 +23,62 @@ def quantile_value(df: DataFrame, col: str, q: float,
 
     Same contract as ``approxQuantile(col, [q], relative_error)``: a value of
     the column whose rank is within ``relative_error * n`` of ``q * n``. The
-    sketch is merged map-side, so skew does not matter.
+    sketch is merged map-side, so skew does not matter. With an error of 0 the
+    value is found at once by ``exact_quantile``.
     """
     if not 0.0 <= q <= 1.0:
         raise ValueError("q must be in [0, 1]")
-    if relative_error <= 0:
-        raise ValueError("relative_error must be positive")
+    if relative_error == 0:
+        return F.lit(exact_quantile(df, col, q)).cast("double")
     accuracy = _accuracy(relative_error)
     valid = F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double"))
     return df.where(valid).select(
         F.percentile_approx(col, q, accuracy).alias("q")).scalar()
 
 
+#: Ranges that one counting pass of ``exact_quantile`` tells apart.
+RANGES = 1024
+
+
+def exact_quantile(df: DataFrame, col: str, q: float) -> float | None:
+    """The exact ``q``-quantile of ``col`` as a double: the least value that has at
+    least ``q * n`` values at or below it (the least of all for q = 0); NULL and
+    NaN don't count, and without any value it is None.
+
+    Selection by counting: each pass counts the values of ``RANGES`` equal ranges
+    (one aggregate of at most as many rows, combined map-side) and goes on in the
+    one that holds the wanted rank, between its least and largest value, until
+    these are equal. Nothing is sorted or shuffled but the counts.
+    """
+    if not 0.0 <= q <= 1.0:
+        raise ValueError("q must be in [0, 1]")
+    x = F.col("x")
+    vals = df.select(F.col(col).cast("double").alias("x")).where(_valid(x))
+    finite = F.abs(x) < float("inf")
+    all_ = vals.agg(F.count("*").alias("n"), F.count_if(x == float("-inf")).alias("below"), F.count_if(finite).alias("finite"),
+                    F.min(F.when(finite, x)).alias("lo"), F.max(F.when(finite, x)).alias("hi")).first()
+    if not all_["n"]:
+        return None
+    rank = max(1, math.ceil(q * all_["n"])) - all_["below"]
+    if rank <= 0:
+        return float("-inf")
+    if rank > all_["finite"]:
+        return float("inf")
+    lo, hi = all_["lo"], all_["hi"]
+    while lo < hi:
+        # halves, since the span of two doubles may be no double
+        share = (x / 2 - lo / 2) / (hi / 2 - lo / 2)
+        at = F.least(F.floor(share * RANGES), F.lit(RANGES - 1))
+        bins = (vals.where(x.between(lo, hi)).groupBy(at.alias("at"))
+                .agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect())
+        for b in sorted(bins, key=lambda r: r["at"]):  # at most RANGES rows
+            if rank <= b["n"]:
+                lo, hi = b["lo"], b["hi"]
+                break
+            rank -= b["n"]
+    return lo
+
+
 def _accuracy(relative_error: float) -> int:
     if relative_error <= 0:
         raise ValueError("relative_error must be positive")
@@ -85,10 +131,9 @@ def histogram(df: DataFrame, col: str, n: int = D.HISTOGRAM_BINS,
     if anchor == "quantile":
         if by:
             raise ValueError("quantile anchor is global only")
-        b = vals.select(F.struct(
-            F.min("x").alias("lo"),
-            F.percentile_approx("x", q, _accuracy(relative_error)).cast("double").alias("hi")
-        ).alias("b")).scalar()
+        hi = (F.lit(exact_quantile(vals, "x", q)) if relative_error == 0
+              else F.percentile_approx("x", q, _accuracy(relative_error)))
+        b = vals.select(F.struct(F.min("x").alias("lo"), hi.cast("double").alias("hi")).alias("b")).scalar()
         data = vals.select("x", b["lo"].alias("lo"), b["hi"].alias("hi")) \
             .where(F.col("x") < F.col("hi"))
         origin = F.col("hi")

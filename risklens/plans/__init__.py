@@ -7,5 +7,5 @@ and pairs it with an independent DuckDB SQL formulation of the same result.
 
 from __future__ import annotations
 
-from risklens.plans import access_queries, graph_queries, learn_queries  # noqa: F401
+from risklens.plans import access_queries, graph_queries, io_queries, learn_queries  # noqa: F401
 from risklens.plans.registry import REGISTRY  # noqa: F401

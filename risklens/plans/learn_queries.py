@@ -10,12 +10,15 @@ the rest trains, the union fits the indexers); precision/recall of the
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.classification import DecisionTreeClassifier
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from risklens.operators import classify as M
 from risklens.operators import rules as RU
+from risklens.operators import trees as T
 from risklens.plans.registry import register, rnd, table
+from risklens.session import cut_lineage
 
 MIN_SUPPORT = 0.005
 MIN_CONFIDENCE = 0.15
@@ -124,46 +127,82 @@ def labelled_points(spark, sf_dir):
     return train_df, test, pts
 
 
-_SETS_SQL = """
-WITH tr AS (SELECT count(*) AS n, count(*) FILTER (WHERE label < 5) AS n_true FROM embeddings WHERE vec_id % 5 <> 0)
-SELECT 'train' AS item, n, n_true, true AS ok FROM tr
+_TRAIN_SQL = "WITH tr AS (SELECT count(*) AS n, count(*) FILTER (WHERE label < 5) AS n_true FROM embeddings WHERE vec_id % 5 <> 0)"
+_SETS_SQL = f"""{_TRAIN_SQL}
+SELECT 'train' AS dataset, n, n_true, true AS consistent FROM tr
 UNION ALL
-SELECT 'test', count(*), count(*) FILTER (WHERE label < 5), true FROM embeddings WHERE vec_id % 5 = 0
-UNION ALL """
+SELECT 'test', count(*), count(*) FILTER (WHERE label < 5), true FROM embeddings WHERE vec_id % 5 = 0"""
 
 # checks of the fit, each on the training rows
 _CHECKED_ITEMS_SQL = {
-    "linear": """SELECT 'intercept', n, n_true, true FROM tr
+    "linear": """SELECT 'intercept' AS item, n, n_true, true AS ok FROM tr
 UNION ALL SELECT concat('feature ', range), n, n_true, true
 FROM range((SELECT max(len(embedding)) FROM embeddings)::BIGINT), tr""",
-    "decision_tree": "SELECT 'leaves', n, n_true, true FROM tr",
-    "ensemble": "SELECT 'votes', n, n_true, true FROM tr",
+    "decision_tree": "SELECT unnest(['predictions', 'counts', 'least rows', 'majority']) AS item, n, n_true, true AS ok FROM tr",
+    "ensemble": "SELECT 'votes' AS item, n, n_true, true AS ok FROM tr",
 }
 
 
 def _clf(kind):
     def run(spark, sf_dir):
-        """Rows per data set (size, positives, and whether the metrics of the model's
-        predictions are consistent) and per property that the fit must have."""
+        """CJ9: metrics of the fitted model per data set: size, positives, and whether the rest agrees with them."""
         train_df, test, all_data = labelled_points(spark, sf_dir)
-        model = M.train(train_df, all_data, kind)
-        sets = [M.precision_recall(model.transform(d)).select(
-            F.lit(name).alias("item"), "n", "n_true",
-            ((F.col("n_right") <= F.least("n_true", "n_pred")) & F.col("accuracy").between(0.0, 1.0)).alias("ok"))
-            for name, d in (("train", train_df), ("test", test))]
-        n = train_df.agg(F.count("*")).scalar()
-        n_true = train_df.agg(F.count_if(F.col("label") == 1.0)).scalar()
-        checks = M.fit_checks(model, train_df, kind).select("item", n.alias("n"), n_true.alias("n_true"), "ok")
-        return sets[0].unionByName(sets[1]).unionByName(checks)
+        train_df = cut_lineage(train_df)
+        scores = M.train_and_score(train_df, test, all_data, kind)
+        agrees = ((F.col("n_right") <= F.least("n_true", "n_pred")) & F.col("accuracy").between(0.0, 1.0)
+                  & F.col("recall").eqNullSafe(F.try_divide(F.col("n_right").cast("double"), F.col("n_true"))))
+        return scores.select("dataset", "n", "n_true", agrees.alias("consistent"))
     run.__name__ = f"q_clf_{kind}"
     return run
 
 
-for _name, _kind, _check in (("clf_decision_tree", "decision_tree", "decision_tree"),
-                             ("clf_random_forest", "random_forest", "ensemble"),
-                             ("clf_gbt", "gbt", "ensemble"), ("clf_lr", "logistic", "linear"),
-                             ("clf_lasso", "lasso", "linear"), ("clf_ridge", "ridge", "linear")):
-    register(_name, _SETS_SQL + _CHECKED_ITEMS_SQL[_check])(_clf(_kind))
+def _fit(kind):
+    def run(spark, sf_dir):
+        """A row per property that the fit must have on its training rows."""
+        train_df, _, all_data = labelled_points(spark, sf_dir)
+        train_df = cut_lineage(train_df)
+        sizes = train_df.agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1.0).alias("n_true"))
+        return M.fit_checks(M.train(train_df, all_data, kind), train_df, kind).join(F.broadcast(sizes)).select("item", "n", "n_true", "ok")
+    run.__name__ = f"q_fit_{kind}"
+    return run
+
+
+for _name, _kind, _check in (("decision_tree", "decision_tree", "decision_tree"),
+                             ("random_forest", "random_forest", "ensemble"),
+                             ("gbt", "gbt", "ensemble"), ("lr", "logistic", "linear"),
+                             ("lasso", "lasso", "linear"), ("ridge", "ridge", "linear")):
+    register(f"clf_{_name}", _SETS_SQL)(_clf(_kind))
+    register(f"fit_{_name}", f"{_TRAIN_SQL}\n{_CHECKED_ITEMS_SQL[_check]}")(_fit(_kind))
+
+
+# ML5: the first split of a tree that may cut between any two values, against the
+# split that SQL works out: least Gini impurity after the cut, over all features and cuts
+@register("first_split", """
+WITH v AS (SELECT unnest(range(len(embedding)::BIGINT)) AS feature, unnest(embedding)::DOUBLE AS x, (label < 5)::INT AS y
+           FROM embeddings WHERE vec_id % 5 <> 0),
+d AS (SELECT feature, x, count(*) AS n, sum(y) AS ones FROM v GROUP BY ALL),
+c AS (SELECT feature, (x + lead(x) OVER w) / 2 AS threshold, sum(n) OVER w AS l, sum(ones) OVER w AS l1,
+             sum(n) OVER (PARTITION BY feature) AS n, sum(ones) OVER (PARTITION BY feature) AS n1
+      FROM d WINDOW w AS (PARTITION BY feature ORDER BY x)),
+g AS (SELECT feature, threshold, l, n,
+             2 * (n1 / n) * (1 - n1 / n) - (l / n) * 2 * (l1 / l) * (1 - l1 / l)
+               - ((n - l) / n) * 2 * ((n1 - l1) / (n - l)) * (1 - (n1 - l1) / (n - l)) AS gain
+      FROM c WHERE threshold IS NOT NULL),
+b AS (SELECT * FROM g ORDER BY gain DESC, feature, threshold LIMIT 1)
+SELECT source, feature, round(threshold, 9) AS threshold, round(gain, 9) AS gain, l::BIGINT AS n_left, (n - l)::BIGINT AS n_right
+FROM b, (SELECT unnest(['fitted', 'searched']) AS source)""")
+def q_first_split(spark, sf_dir):
+    train_df, _, _ = labelled_points(spark, sf_dir)
+    train_df = cut_lineage(train_df)
+    points = train_df.select(F.col("label"), vector_to_array("features").alias("x"))
+    searched = T.best_split(points).withColumn("source", F.lit("searched"))
+    bins = points.agg(*[F.count_distinct(F.col("x")[0]).alias("n")]).first()["n"] + 1
+    model = DecisionTreeClassifier(maxDepth=1, maxBins=max(2, bins), minInstancesPerNode=1).fit(train_df)
+    fitted = T.tree_nodes(spark, model).where("node = 1").select(
+        F.lit("fitted").alias("source"), "feature", "threshold", "gain", "n_left", "n_right")
+    out = fitted.unionByName(searched.select("source", "feature", "threshold", "gain", "n_left", "n_right"))
+    return out.select("source", F.col("feature").cast("long").alias("feature"), rnd("threshold", 9).alias("threshold"),
+                      rnd("gain", 9).alias("gain"), "n_left", "n_right")
 
 
 # PF19 on probability vectors made from a column: each component is the share of

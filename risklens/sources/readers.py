@@ -30,16 +30,46 @@ def read_access_log(spark: SparkSession, path: str) -> DataFrame:
     """IO1: JSON-lines access log -> (ip, uri, dfp, ts timestamp).
 
     A fraction of any length is read (to microseconds); a text that is no
-    timestamp gives NULL, which the operators' NOT NULL filters drop."""
+    timestamp gives NULL, which the operators' NOT NULL filters drop. See
+    ``scan_access_log`` for what could not be read."""
     raw = spark.read.schema(ACCESS_LOG_SCHEMA).json(path)
     return raw.select("ip", "uri", "dfp", F.try_to_timestamp("timestamp").alias("ts"))
 
 
+def scan_access_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """IO1 that loses no line: ``(good, rejected)``.
+
+    ``good``: as ``read_access_log``; ``rejected(line, reason)``: every other line
+    as it stands, ``reason`` being ``malformed`` (no JSON object of the declared
+    types), ``no timestamp`` (missing or null) or ``bad timestamp``. Blank lines
+    are neither. Both are filters over one parsed scan; write what is used twice.
+    """
+    declared = T.StructType([*ACCESS_LOG_SCHEMA.fields, T.StructField("_corrupt_record", T.StringType())])
+    parsed = (spark.read.text(path).where(F.trim("value") != "")
+              .select("value", F.from_json("value", declared, {"mode": "PERMISSIVE"}).alias("r"))
+              .select("value", "r.*").withColumn("ts", F.try_to_timestamp("timestamp")))
+    reason = (F.when(F.col("_corrupt_record").isNotNull(), "malformed")
+              .when(F.col("timestamp").isNull(), "no timestamp")
+              .when(F.col("ts").isNull(), "bad timestamp"))
+    marked = parsed.withColumn("reason", reason)
+    return (marked.where(F.col("reason").isNull()).select("ip", "uri", "dfp", "ts"),
+            marked.where(F.col("reason").isNotNull()).select(F.col("value").alias("line"), "reason"))
+
+
 def read_table(spark: SparkSession, name: str) -> DataFrame:
     """IO4: catalog (Hive) table by name."""
     return spark.table(name)
 
 
+def save_bucketed(df: DataFrame, name: str, path: str, key: str, buckets: int) -> None:
+    """Save ``df`` as catalog table ``name`` (files at ``path``), dealt into
+    ``buckets`` by a hash of ``key`` and sorted by it: tables of one number of
+    buckets join on their keys without a shuffle of either. One task writes each
+    bucket, so choose buckets of some hundred MB."""
+    (df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
+     .option("path", path).mode("overwrite").saveAsTable(name))
+
+
 def read_libsvm(spark: SparkSession, path: str,
                 num_features: int | None = None) -> DataFrame:
     """IO5: libsvm file -> (label double, features vector).
@@ -84,3 +114,11 @@ def write_result(df: DataFrame, path: str, fmt: str = "parquet",
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.save(path)
+
+
+def write_slices(df: DataFrame, path: str, by: list[str], fmt: str = "parquet") -> None:
+    """IO3: write the slices (values of ``by``) that ``df`` has rows of, in place of
+    what the table at ``path`` holds of them; its other slices stay. Running a
+    slice again therefore never doubles it. A slice is written by few tasks."""
+    (df.repartition(*by, F.pmod(F.xxhash64(*[c for c in df.columns if c not in by]), F.lit(8)))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).format(fmt).save(path))

@@ -48,7 +48,9 @@ FAST = ["access_frequency", "frequency_cv", "cv_hist", "gap_stats", "gap_hist_by
         "gap_stats_uri", "gap_stats_min_stdev", "frequency_minute", "gap_hist_report",
         "windowed_gap_spread_12h", "label_propagation_seeded", "vertex_verdict", "entity_graph", "grey_list_union",
         "clf_lr", "clf_decision_tree", "probability_threshold", "rules_from_table", "gap_hist_report_by_bucket",
-        "gap_hist_report_global", "slice_label", "slice_select", "grey_list", "graph_vertices", "total_weight"]
+        "gap_hist_report_global", "slice_label", "slice_select", "grey_list", "graph_vertices", "total_weight",
+        "record_strength", "community_density", "fraud_groups", "first_split", "fit_decision_tree", "json_log_scan",
+        "slices_rewritten", "blacklist_bucketed", "libsvm_roundtrip", "baskets_text", "edge_list_text", "exact_quantiles"]
 
 
 @pytest.mark.parametrize("name", FAST)

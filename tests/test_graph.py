@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from risklens.operators.graph import build as B
+from risklens.operators.graph import cells as K
 from risklens.operators.graph import community as L
 from risklens.operators.graph import components as C
 from risklens.operators.graph import lpa as P
@@ -268,7 +269,7 @@ def test_best_moves_model(spark):
     e = triangles(spark, bridge=True)
     nodes = L.louvain_init(e)
     m = e.agg(F.sum("weight")).first()[0]
-    mv = {r.id: (r.target, r.gain) for r in L.best_moves(nodes, e, m).collect()}
+    mv = {r.id: (r.target, r.gain) for r in L.best_moves(nodes, L.edge_ends(e), m).collect()}
     deg = defaultdict(float)
     kin = defaultdict(float)
     for r in e.collect():
@@ -449,3 +450,81 @@ def test_components_of_nothing(spark):
     none = spark.createDataFrame([], "src long, dst long, weight double")
     assert rows(C.connected_components(none)) == []
     assert rows(C.connected_components(none, vertices=spark.createDataFrame([(3,)], "id long"))) == [(3, 3)]
+
+
+# ------------------------------------------------------------------ cells against pairs
+def several_attributes(spark, seed, n=40, several=False):
+    rnd = random.Random(seed)
+    pool = ["a", "b", "c", "", None]
+    data = {(str(k), *(rnd.choice(pool) for _ in range(3))) for k in range(n)}
+    if several:
+        data |= {(str(rnd.randrange(n)), *(rnd.choice(pool) for _ in range(3))) for _ in range(12)}
+    df = recs(spark, sorted(data, key=str), 3)
+    return df, B.similarity_edges(df, "k", ["a0", "a1", "a2"])
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_cell_propagation_equals_pairs(spark, seed):
+    from risklens.operators.graph import cell_lpa as CP
+
+    df, e = several_attributes(spark, seed)
+    shared = K.shared_cells(K.similarity_cells(df, "k", ["a0", "a1", "a2"]))
+    # weights in thirds can tie up to rounding: whole numbers of shared positions are exact
+    whole = e.withColumn("weight", F.round(F.col("weight") * 3))
+    for steps in (1, 2, 4):
+        assert rows(CP.cell_label_propagation(shared, max_steps=steps), "id", "label") == rows(P.label_propagation(whole, max_steps=steps), "id", "label")
+    start = B.graph_vertices(e).withColumn("label", F.when(F.col("id") % 7 == 0, -1).otherwise(F.col("id")))
+    assert (rows(CP.cell_label_propagation(shared, start, max_steps=3), "id", "label")
+            == rows(P.label_propagation(whole, start, max_steps=3), "id", "label"))
+    start = start.unionByName(spark.createDataFrame([(999, -1)], "id long, label long"))
+    got = {(r.id, r.label): r.prob for r in CP.cell_bm_label_propagation(shared, start, max_steps=3).collect()}
+    want = {(r.id, r.label): r.prob for r in P.bm_label_propagation(e, start, max_steps=3).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert {k for k, v in got.items() if v == 1.0} == {k for k, v in want.items() if v == 1.0}
+
+
+def test_cell_propagation_forms_no_pairs(spark):
+    """A cell of many keys: messages grow with keys x labels of the cell, not with pairs of keys."""
+    from risklens.operators.graph import cell_lpa as CP
+
+    df = recs(spark, [(str(i), "x", str(i % 50)) for i in range(3000)], 2)
+    shared = K.shared_cells(K.similarity_cells(df, "k", ["a0", "a1"]))
+    out = CP.cell_label_propagation(shared, max_steps=1)
+    # smallest id among those that share both attributes: its twins are i % 50
+    assert {(r.id, r.label) for r in out.collect()} == {(i, i % 50 if i >= 50 else i + 50) for i in range(3000)}
+
+
+def test_density_by_inclusion_and_exclusion(spark):
+    from risklens.operators.graph import sharing as G
+
+    df, e = several_attributes(spark, 5, n=60)
+    shared = K.shared_cells(K.similarity_cells(df, "k", ["a0", "a1", "a2"]))
+    cc = K.cell_components(shared)
+    assert rows(G.cell_density(shared, cc)) == rows(R.community_density(e, C.connected_components(e)))
+    with pytest.raises(Exception, match="more than"):
+        G.cell_sets(spark.createDataFrame([(1, i) for i in range(20)], "k long, cell long")).collect()
+
+
+def test_strength_of_keys_with_several_records(spark):
+    df, e = several_attributes(spark, 6, several=True)
+    got, want = (dict(rows(x, "id", "degree")) for x in (K.record_strength(df, "k", ["a0", "a1", "a2"]), B.vertex_strength(e)))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    shared = K.shared_cells(K.similarity_cells(df, "k", ["a0", "a1", "a2"]))
+    for total in (K.cell_strength(shared), K.cell_total_weight(shared)):
+        with pytest.raises(Exception, match="several records"):
+            total.collect()
+
+
+def test_louvain_rounds_of_few_moves_look_at_few_edges(spark, monkeypatch):
+    rnd = random.Random(9)
+    edges = [(a, b, 1) for c in range(12) for a in range(c * 10, c * 10 + 10) for b in range(a + 1, c * 10 + 10) if rnd.random() < 0.6]
+    edges += [(rnd.randrange(120), rnd.randrange(120), 1) for _ in range(40)]
+    e = edges_df(spark, [x for x in edges if x[0] != x[1]])
+    want = rows(L.louvain(e), "vertex", "level", "community")
+    from risklens.operators import joins
+
+    for few, plain in ((10 ** 9, 10 ** 9), (1, 10 ** 9), (1, 5)):  # never; always; always, with spread joins
+        monkeypatch.setattr(L, "FEW_MOVES", few)
+        monkeypatch.setattr(L, "PLAIN_ROWS", plain)
+        monkeypatch.setattr(joins, "PLAIN_ROWS", plain)
+        assert rows(L.louvain(e), "vertex", "level", "community") == want

@@ -107,7 +107,37 @@ def test_fit_checks_fail_for_a_wrong_fit(spark):
     assert not all(r.ok for r in M.stationarity(early, pts).collect())
     tree = M.train(pts, pts, "decision_tree")
     other = pts.withColumn("label", 1.0 - F.col("label"))
-    assert not M.leaf_majorities(tree, other).first().ok
+    wrong = {r.item: r.ok for r in M.fit_checks(tree, other, "decision_tree").collect()}
+    assert wrong["predictions"] and not wrong["counts"]
+
+
+def test_least_rows_of_a_leaf_are_checked(spark):
+    from risklens.operators import trees as T
+
+    pts = points(spark)
+    tree = M.train(pts, pts, "decision_tree", minInstancesPerNode=1)
+    got = {r.item: r.ok for r in T.tree_checks(tree.stages[2], tree.transform(pts), 50).collect()}
+    assert got["predictions"] and got["counts"] and got["majority"] and not got["least rows"]
+
+
+def test_best_split_equals_brute_force(spark):
+    from risklens.operators import trees as T
+
+    rnd = __import__("random").Random(3)
+    data = [(float(rnd.random() < 0.4), [float(rnd.randrange(6)), rnd.random() ** 8 * 1e6, 1.0]) for _ in range(300)]
+    gini = lambda ys: 2 * (sum(ys) / len(ys)) * (1 - sum(ys) / len(ys))
+    best = None
+    for f in range(3):
+        values = sorted({x[f] for _, x in data})
+        for a, b in zip(values, values[1:]):
+            left, right = [y for y, x in data if x[f] <= a], [y for y, x in data if x[f] > a]
+            gain = gini([y for y, _ in data]) - len(left) / 300 * gini(left) - len(right) / 300 * gini(right)
+            if best is None or gain > best[0] + 1e-12:
+                best = (gain, f, (a + b) / 2, len(left), len(right))
+    got = T.best_split(spark.createDataFrame(data, "label double, x array<double>")).first()
+    assert (got.feature, got.n_left, got.n_right) == (best[1], *best[3:])
+    assert got.threshold == pytest.approx(best[2]) and got.gain == pytest.approx(best[0])
+    assert T.best_split(spark.createDataFrame([(1.0, [2.0])], "label double, x array<double>")).count() == 0
 
 
 def test_unknown_classifier(spark):
