@@ -16,9 +16,9 @@ sizes where they are collapsed).
    order of their frequency, rarest first. Linked sets share one of the first
    a(n) - l + 1; those of frequency 1 need no posting. These are the prefix.
 4. Grouping. Sets of equal prefix and size form one group. Postings are kept for
-   groups only; pairs of groups that share a prefix shingle, pass the size filter
-   and aren't wholly in one class yet are expanded into their members, which are
-   verified exactly.
+   groups only; pairs of groups that share a prefix shingle, pass the size and
+   bitmap filters and aren't wholly in one class yet are expanded into their
+   members, which are verified exactly.
 5. Copies of one text would give all pairs of their prefix's posting list.
    Since classes, not pairs, are the result, members of a class need no more
    comparisons: first every member is compared with the first of its group, and
@@ -307,23 +307,41 @@ def links_of(sets: DataFrame) -> DataFrame:
     return written(links.unionAll(verified(_pairs(_members_of_group_pairs(postings, _labelled(members, links))).distinct(), sets)), "links")
 
 
+def _groups(members: DataFrame) -> DataFrame:
+    """``gid, n, lo, hi, all, any`` of ``members``: a group's size, least and
+    largest label, and its members' bitmaps combined by AND and by OR."""
+    combined = [F.struct(*[f(F.col(f"bits.{k}")).alias(k) for k in _BITS]).alias(name) for name, f in (("all", F.bit_and), ("any", F.bit_or))]
+    return members.groupBy("gid").agg(F.first("n").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), *combined)
+
+
+def _groups_may_link() -> Column:
+    """Size and bitmap filters on two groups: a bit that all members of one have
+    and none of the other differs in every pair of members. For groups of one
+    member each this is ``_may_link``."""
+    n, m = F.col("n_a"), F.col("n_b")
+
+    def beyond(a: str, b: str, k: str) -> Column:
+        return F.col(f"all_{a}.{k}").bitwiseAND(F.bitwise_not(F.col(f"any_{b}.{k}")))
+
+    differ = sum((F.bit_count(beyond("a", "b", k).bitwiseOR(beyond("b", "a", k))) for k in _BITS), F.lit(0))
+    return (100 * F.least(n, m) >= LEAST * F.greatest(n, m)) & (9 * differ <= n + m)
+
+
 def _members_of_group_pairs(postings: DataFrame, members: DataFrame) -> DataFrame:
     """Pairs of members of different labels whose groups share a posting list and
-    pass the size filter. Of a list, groups that lie wholly in its largest class
+    pass the filters. Of a list, groups that lie wholly in its largest class
     aren't paired with each other."""
-    groups = written(members.groupBy("gid").agg(F.first("n").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")), "group-labels")
-    lists = postings.join(groups, "gid")
+    lists = postings.join(written(_groups(members), "group-labels"), "gid")
     one_class = F.col("lo") == F.col("hi")
     by_label = lists.groupBy("s", F.when(one_class, F.col("lo")).alias("label")).agg(F.count("*").alias("size"))
     largest = written(by_label.groupBy("s").agg(F.max(F.when(F.col("label").isNotNull(), F.struct("size", "label"))).alias("top"),
                                                 F.count("*").alias("labels"), F.max(F.col("label").isNull()).alias("mixed"))
                       .where("labels > 1 or mixed").select("s", F.col("top.label").alias("most")), "largest-labels")
     open_lists = written(lists.join(largest, "s").withColumn("top", one_class & F.col("lo").eqNullSafe(F.col("most"))).drop("most"), "open-lists")
-    n, m = F.col("n_a"), F.col("n_b")
     same_class = (F.col("lo_a") == F.col("hi_a")) & (F.col("lo_b") == F.col("hi_b")) & (F.col("lo_a") == F.col("lo_b"))
     pairs = (_as(open_lists.where("not top"), "_a", "s").join(_as(open_lists, "_b", "s"), "s")
-             .where(F.col("top_b") | (F.col("gid_a") <= F.col("gid_b")))
-             .where(~same_class & (100 * F.least(n, m) >= LEAST * F.greatest(n, m))).select("gid_a", "gid_b").distinct())
+             .where((F.col("top_b") | (F.col("gid_a") <= F.col("gid_b"))) & ~same_class & _groups_may_link())
+             .select("gid_a", "gid_b").distinct())
     pairs = written(pairs, "group-pairs")
     return (pairs.join(_as(members, "_a"), "gid_a").join(_as(members, "_b"), "gid_b")
             .where((F.col("label_a") != F.col("label_b")) & ((F.col("gid_a") != F.col("gid_b")) | (F.col("cid_a") < F.col("cid_b")))))
