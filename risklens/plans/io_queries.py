@@ -22,7 +22,7 @@ from risklens.sources import readers as IO
 _LOG_SQL = """lines AS (
   SELECT event_id, CAST(user_id AS VARCHAR) AS ip, event_type AS uri, CAST(event_id AS VARCHAR) AS dfp,
          CASE WHEN event_id % 89 = 7 THEN 'soon' WHEN event_id % 83 = 11 THEN NULL ELSE strftime(ts, '%Y-%m-%d %H:%M:%S.%f') END AS t,
-         epoch_us(ts) AS ts_us FROM events),
+         CAST(epoch_us(ts) AS VARCHAR) AS ts_us FROM events),
 log AS (SELECT *, event_id % 97 = 5 AS cut,
                '{' || array_to_string(list_filter(['"ip":"' || ip || '"', '"uri":"' || uri || '"', '"dfp":"' || dfp || '"',
                                                    '"timestamp":"' || t || '"'], lambda x: x IS NOT NULL), ',') || '}' AS line FROM lines)"""
@@ -47,7 +47,7 @@ def q_json_log_scan(spark, sf_dir):
     path = new_table_path(spark)
     log_lines(spark, sf_dir).write.text(path)
     good, rejected = IO.scan_access_log(spark, path)
-    return (good.select(F.lit("good").alias("kind"), "ip", "uri", "dfp", F.unix_micros(F.col("ts")).alias("ts_us"))
+    return (good.select(F.lit("good").alias("kind"), "ip", "uri", "dfp", F.unix_micros(F.col("ts")).cast("string").alias("ts_us"))
             .unionByName(rejected.withColumn("kind", F.lit("rejected")), allowMissingColumns=True)
             .select("kind", "ip", "uri", "dfp", "ts_us", "line", "reason"))
 
