@@ -1,6 +1,7 @@
 import corpus_pipeline
 
 import pytest
+from pyspark.sql import functions as F
 
 from risklens.llm import decontamination, near_duplicates, quality
 
@@ -40,3 +41,32 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_every_stage_takes_odd_rows(spark):
+    """Nulls in all columns, repeated rows, a text of 1 MB and columns named like the stages' own, through the whole chain."""
+    plain = corpus_pipeline.load(spark, SF, "documents")
+    names = plain.columns
+    good = plain.where("doc_id < 120")
+    long = " ".join(f"meadow river {i} lamp." for i in range(52_000))
+    assert len(long) > 1_000_000
+    odd = spark.createDataFrame(
+        [(None, None, None, None, None), (None, "a text without an id", "en", "src0", 20), (-1, None, "en", None, None), (-2, "", None, "src1", 0),
+         (-3, long, "en", None, len(long)), (-4, "One repeated row of the table. " * 9, "en", "src2", 5), (-4, "One repeated row of the table. " * 9, "en", "src2", 5)],
+        plain.schema)
+    docs = good.unionByName(odd).withColumns({c: F.lit(7) for c in (
+        "score", "label", "cid", "n", "listed", "size", "u", "cut", "mix_row", "mix_copy", "part", "ids", "item_id", "x")})
+    columns, tables = docs.columns, []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.written(stage(spark, docs, SF), name)
+        tables.append(docs)
+        if name != "token-ids":
+            assert docs.columns == columns and set(names) <= set(docs.columns)
+    kept, single, clean, mix, tokens = tables
+    assert kept.count() >= single.count() >= clean.count()
+    long_in = [x.where("doc_id = -3").count() for x in tables]
+    assert len(set(min(n, 1) for n in long_in)) == 1  # whole or not at all: no later stage drops a clean text
+    assert single.where("doc_id = -4").count() <= 1
+    rows = sorted(tokens.collect(), key=lambda r: r["start"])
+    assert len(rows) == mix.count()
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(rows, rows[1:]))
