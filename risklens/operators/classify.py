@@ -77,9 +77,11 @@ def precision_recall(pred: DataFrame, label: str = "label",
 
 
 def train_and_score(train_df: DataFrame, test_df: DataFrame, all_data: DataFrame,
-                    kind: str, **params) -> DataFrame:
-    """CJ9: fit on train, score train and test -> metrics per set."""
-    model = train(train_df, all_data, kind, **params)
+                    kind: str, model: PipelineModel | None = None, **params) -> DataFrame:
+    """CJ9: fit on train, score train and test -> metrics per set; ``model``:
+    the fit, where it is made already."""
+    if model is None:
+        model = train(train_df, all_data, kind, **params)
     parts = [precision_recall(model.transform(d)).select(F.lit(name).alias("dataset"), "*")
              for name, d in (("train", train_df), ("test", test_df))]
     return parts[0].unionByName(parts[1]).withColumn("model", F.lit(kind))
@@ -127,6 +129,17 @@ def stationarity(model: PipelineModel, train_df: DataFrame, tolerance: float = 1
     return intercept.unionByName(features)
 
 
+def leaf_majorities(model: PipelineModel, train_df: DataFrame) -> DataFrame:
+    """ML5: one row ``(item, ok)``: whether the tree predicts, in every leaf, a class
+    that no other class outnumbers among the training rows routed to it."""
+    scored = model.transform(train_df)
+    leaves = (scored.withColumn("leaf", F.col("rawPrediction").cast("string"))
+              .groupBy("leaf", "prediction")
+              .agg(F.count_if(F.col("indexedLabel") == F.col("prediction")).alias("own"), F.count("*").alias("n")))
+    return leaves.agg(F.coalesce(F.bool_and(2 * F.col("own") >= F.col("n")), F.lit(True)).alias("ok")).select(
+        F.lit("leaves").alias("item"), "ok")
+
+
 def ensemble_votes(model: PipelineModel, df: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     """ML6, ML7: one row ``(item, ok)``: whether the ensemble's raw scores are the
     (weighted) sums of its trees' own predictions, and its class follows from them."""

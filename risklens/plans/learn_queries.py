@@ -129,7 +129,7 @@ def labelled_points(spark, sf_dir):
 
 _TRAIN_SQL = "WITH tr AS (SELECT count(*) AS n, count(*) FILTER (WHERE label < 5) AS n_true FROM embeddings WHERE vec_id % 5 <> 0)"
 _SETS_SQL = f"""{_TRAIN_SQL}
-SELECT 'train' AS dataset, n, n_true, true AS consistent FROM tr
+SELECT 'train' AS item, n, n_true, true AS ok FROM tr
 UNION ALL
 SELECT 'test', count(*), count(*) FILTER (WHERE label < 5), true FROM embeddings WHERE vec_id % 5 = 0"""
 
@@ -143,26 +143,44 @@ FROM range((SELECT max(len(embedding)) FROM embeddings)::BIGINT), tr""",
 }
 
 
+# a data set's rows, then what the fit must satisfy; the tree's leaves are also checked by themselves
+_LEAVES_SQL = {"decision_tree": "\nUNION ALL SELECT 'leaves', n, n_true, true FROM tr"}
+
+
+def _clf_sql(check):
+    return f"{_SETS_SQL}\nUNION ALL SELECT item, n, n_true, ok FROM (\n{_CHECKED_ITEMS_SQL[check]}){_LEAVES_SQL.get(check, '')}"
+
+
 def _clf(kind):
     def run(spark, sf_dir):
-        """CJ9: metrics of the fitted model per data set: size, positives, and whether the rest agrees with them."""
+        """CJ9: a row per data set (size, positives, and whether the metrics of the model's
+        predictions agree with them) and per property that the fit must have on its training rows."""
         train_df, test, all_data = labelled_points(spark, sf_dir)
         train_df = cut_lineage(train_df)
-        scores = M.train_and_score(train_df, test, all_data, kind)
+        model = M.train(train_df, all_data, kind)
+        scores = M.train_and_score(train_df, test, all_data, kind, model=model)
         agrees = ((F.col("n_right") <= F.least("n_true", "n_pred")) & F.col("accuracy").between(0.0, 1.0)
                   & F.col("recall").eqNullSafe(F.try_divide(F.col("n_right").cast("double"), F.col("n_true"))))
-        return scores.select("dataset", "n", "n_true", agrees.alias("consistent"))
+        sets = scores.select(F.col("dataset").alias("item"), "n", "n_true", agrees.alias("ok"))
+        checks = M.fit_checks(model, train_df, kind)
+        if kind == "decision_tree":
+            checks = checks.unionByName(M.leaf_majorities(model, train_df))
+        return sets.unionByName(checks.join(F.broadcast(_sizes(train_df))).select("item", "n", "n_true", "ok"))
     run.__name__ = f"q_clf_{kind}"
     return run
 
 
+def _sizes(train_df):
+    return train_df.agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1.0).alias("n_true"))
+
+
 def _fit(kind):
     def run(spark, sf_dir):
         """A row per property that the fit must have on its training rows."""
         train_df, _, all_data = labelled_points(spark, sf_dir)
         train_df = cut_lineage(train_df)
-        sizes = train_df.agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1.0).alias("n_true"))
-        return M.fit_checks(M.train(train_df, all_data, kind), train_df, kind).join(F.broadcast(sizes)).select("item", "n", "n_true", "ok")
+        checks = M.fit_checks(M.train(train_df, all_data, kind), train_df, kind)
+        return checks.join(F.broadcast(_sizes(train_df))).select("item", "n", "n_true", "ok")
     run.__name__ = f"q_fit_{kind}"
     return run
 
@@ -171,7 +189,7 @@ for _name, _kind, _check in (("decision_tree", "decision_tree", "decision_tree")
                              ("random_forest", "random_forest", "ensemble"),
                              ("gbt", "gbt", "ensemble"), ("lr", "logistic", "linear"),
                              ("lasso", "lasso", "linear"), ("ridge", "ridge", "linear")):
-    register(f"clf_{_name}", _SETS_SQL)(_clf(_kind))
+    register(f"clf_{_name}", _clf_sql(_check))(_clf(_kind))
     register(f"fit_{_name}", f"{_TRAIN_SQL}\n{_CHECKED_ITEMS_SQL[_check]}")(_fit(_kind))
 
 

@@ -179,3 +179,23 @@ def test_libsvm_train_and_score(spark, tmp_path):
     assert tr.columns == ["label", "features"] and tr.count() == 60
     m = {r.dataset: r for r in M.train_and_score(tr, te, tr.unionByName(te), "decision_tree").collect()}
     assert m["test"].n == 10 and m["test"].recall == 1.0 and m["test"].precision == 1.0
+
+
+@pytest.mark.parametrize("name, items", [
+    ("decision_tree", {"predictions", "counts", "least rows", "majority", "leaves"}), ("random_forest", {"votes"}), ("gbt", {"votes"}),
+    ("lr", {"intercept", "feature 0", "feature 1"}), ("lasso", {"intercept", "feature 0", "feature 1"}),
+    ("ridge", {"intercept", "feature 0", "feature 1"})])
+def test_classifier_queries_check_their_fit(spark, tmp_path, name, items):
+    import duckdb
+
+    import __spark_entry__ as E
+
+    gen = __import__("random").Random(1)
+    rows = [(i, [gen.gauss(i % 2, 1.0), gen.gauss(0.0, 1.0)], 3 if i % 2 else 7) for i in range(200)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(
+        f"{tmp_path}/embeddings.parquet")
+    got = {r.item: (r.n, r.n_true, r.ok) for r in E.queries()[f"clf_{name}"](spark, str(tmp_path)).collect()}
+    assert set(got) == {"train", "test"} | items and all(ok for _, _, ok in got.values())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == {r[0]: r[1:] for r in con.execute(E.oracle_sql()[f"clf_{name}"]).fetchall()}
