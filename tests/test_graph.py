@@ -528,3 +528,20 @@ def test_louvain_rounds_of_few_moves_look_at_few_edges(spark, monkeypatch):
         monkeypatch.setattr(L, "PLAIN_ROWS", plain)
         monkeypatch.setattr(joins, "PLAIN_ROWS", plain)
         assert rows(L.louvain(e), "vertex", "level", "community") == want
+
+
+def test_growing_join_sides_are_not_broadcast(spark, monkeypatch):
+    """Small files may hold many rows: no table of vertices or edges goes through the driver."""
+    from risklens.operators import joins
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    df = recs(spark, [(str(i), str(i // 3), str(i % 4)) for i in range(40)], 2)
+    e = B.similarity_edges(df, "k", ["a0", "a1"])
+    assert "Broadcast" not in plan(e) and "SortMergeJoin" in plan(e)
+    nodes, ends = L.louvain_init(e), L.edge_ends(e)
+    assert "Broadcast" not in plan(L.best_moves(nodes, ends, 10.0))
+    assert all("Broadcast" not in plan(x) for x in L.louvain_coarsen(nodes, e)[:2])
+    monkeypatch.setattr(joins, "PLAIN_ROWS", 5)
+    large = spark.range(100).select((F.col("id") % 10).alias("g"), "id")
+    keyed = spark.range(10).select(F.col("id").alias("g"), (F.col("id") * 2).alias("v"))
+    assert rows(joins.spread_join(large, keyed, "g")) == sorted((i % 10, i, i % 10 * 2) for i in range(100))
