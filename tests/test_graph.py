@@ -545,3 +545,26 @@ def test_growing_join_sides_are_not_broadcast(spark, monkeypatch):
     large = spark.range(100).select((F.col("id") % 10).alias("g"), "id")
     keyed = spark.range(10).select(F.col("id").alias("g"), (F.col("id") * 2).alias("v"))
     assert rows(joins.spread_join(large, keyed, "g")) == sorted((i % 10, i, i % 10 * 2) for i in range(100))
+
+
+@pytest.mark.parametrize("most", [0, 12, 1000])
+def test_seeded_propagation_of_groups_small_and_large(spark, monkeypatch, most):
+    """By sums, mixed, and group by group: the same distributions; a large group alone is written round by round."""
+    from risklens.operators.graph import cell_lpa as CP
+
+    rnd = random.Random(4)
+    data = [(str(i), f"{i // 30}|{rnd.randrange(9)}", f"{i // 60}|{rnd.randrange(14)}") for i in range(240)]
+    data += [(str(1000 + i), f"s{i // 2}", f"t{i // 4}") for i in range(40)]
+    df = recs(spark, data, 2)
+    e = B.similarity_edges(df, "k", ["a0", "a1"])
+    shared = K.shared_cells(K.similarity_cells(df, "k", ["a0", "a1"]))
+    start = B.graph_vertices(e).withColumn("label", F.when(F.col("id") % 5 < 2, -1).otherwise(F.col("id")))
+    start = start.unionByName(spark.createDataFrame([(9999, 9999)], "id long, label long"))
+    by_sums = []
+    monkeypatch.setattr(CP, "_by_sums", lambda *a, f=CP._by_sums: by_sums.append(1) or f(*a))
+    monkeypatch.setattr(CP, "GROUP_KEYS", most)
+    got = {(r.id, r.label): r.prob for r in CP.cell_bm_label_propagation(shared, start, max_steps=4).collect()}
+    want = {(r.id, r.label): r.prob for r in P.bm_label_propagation(e, start, max_steps=4).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert {k for k, v in got.items() if v == 1.0} == {k for k, v in want.items() if v == 1.0}
+    assert len(by_sums) == (most < 1000)
