@@ -568,3 +568,62 @@ def test_seeded_propagation_of_groups_small_and_large(spark, monkeypatch, most):
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     assert {k for k, v in got.items() if v == 1.0} == {k for k, v in want.items() if v == 1.0}
     assert len(by_sums) == (most < 1000)
+
+
+def packed_small(monkeypatch):
+    """Blocks of few ends and vertices of few, so that small graphs have several blocks and hubs."""
+    from risklens.operators import joins
+    from risklens.operators.graph import blocks
+
+    monkeypatch.setattr(blocks, "BLOCK_ENDS", 100)
+    monkeypatch.setattr(blocks, "MOST_ENDS", 15)
+    monkeypatch.setattr(joins, "PLAIN_ROWS", 5)
+    return blocks
+
+
+def hubs_and_loops(seed, n=80):
+    rnd = random.Random(seed)
+    edges = [(rnd.randrange(n), rnd.randrange(n), rnd.choice((0.5, 1, 2))) for _ in range(220)]
+    return edges + [(0, i, 1) for i in range(1, n, 2)] + [(5, 5, 1), (2 ** 62, 2 ** 62 + 1, 1), (3, 4, 0.5), (3, 4, 1)]
+
+
+@pytest.mark.parametrize("most", [15, 10 ** 6])
+def test_packed_moves_equal_moves_by_rows(spark, monkeypatch, most):
+    monkeypatch.setattr(packed_small(monkeypatch), "MOST_ENDS", most)
+    from risklens.operators.graph import blocks
+
+    e = edges_df(spark, hubs_and_loops(4)).unionByName(spark.createDataFrame([(None, 1, 1.0), (2, None, 1.0), (1, 6, None)], "src long, dst long, weight double"))
+    ends = L.edge_ends(e)
+    nodes = L.louvain_init(e.where("src is not null and dst is not null"))
+    nodes = nodes.withColumn("comm", F.when(F.col("id") < 80, F.col("id") % 9).otherwise(F.col("id")))
+    packed = blocks.packed_ends(ends, ends.count())
+    assert packed.n > 3 and (packed.hubs is None) == (most > 15)
+    got = L.packed_moves(nodes, packed, 300.0, n_nodes=nodes.count())
+    assert rows(got) == rows(L.best_moves(nodes, ends, 300.0)) and len(rows(got)) > 70
+
+
+def test_louvain_of_a_large_edge_table_goes_by_blocks(spark, monkeypatch):
+    """Rounds that look at all nodes join and sort no row per edge."""
+    e = edges_df(spark, [x for x in hubs_and_loops(8) if x[0]])
+    nodes, m = L.louvain_init(e), float(e.agg(F.sum("weight")).first()[0])
+    want, rounds = L.louvain_local(nodes, e, m, 2)
+    want = rows(want, "id", "comm")
+    monkeypatch.setattr(packed_small(monkeypatch), "MOST_ENDS", 10 ** 6)
+    monkeypatch.setattr(L, "PLAIN_ROWS", 5)
+    monkeypatch.setattr(L, "FEW_MOVES", 10 ** 9)  # all nodes, always
+
+    def none(*_):
+        raise AssertionError("by rows")
+
+    monkeypatch.setattr(L, "neighbour_communities", none)
+    got, n = L.louvain_local(nodes, e, m, 2)
+    assert rows(got, "id", "comm") == want and n == rounds > 0
+
+
+def test_coarsening_reads_the_edges_once(spark):
+    """Super-edges and inner weights come from one written table."""
+    e = edges_df(spark, [(1, 2, 1), (2, 3, 0.5), (3, 4, 1), (1, 4, 2)])
+    nodes = L.louvain_init(e).withColumn("comm", F.when(F.col("id") < 3, 1).otherwise(3).cast("long"))
+    new, cross, _ = L.louvain_coarsen(nodes, e)
+    assert all("Scan parquet" in x._jdf.queryExecution().toString() for x in (new, cross))
+    assert rows(cross) == [(1, 3, 2.5)] and rows(new, "id", "degree", "inner_degree") == [(1, 2.5, 2.0), (3, 2.5, 2.0)]
