@@ -627,3 +627,31 @@ def test_coarsening_reads_the_edges_once(spark):
     new, cross, _ = L.louvain_coarsen(nodes, e)
     assert all("Scan parquet" in x._jdf.queryExecution().toString() for x in (new, cross))
     assert rows(cross) == [(1, 3, 2.5)] and rows(new, "id", "degree", "inner_degree") == [(1, 2.5, 2.0), (3, 2.5, 2.0)]
+
+
+@pytest.mark.parametrize("most", [15, 10 ** 6])
+def test_fraud_report_of_a_large_edge_table_goes_by_blocks(spark, monkeypatch, most):
+    """The same grey list, groups, edges and density as by rows; the rounds group no row per edge."""
+    e = edges_df(spark, [(a, b, w) for a, b, w in hubs_and_loops(6, 200) if a] + [(0, i, 1) for i in range(1, 60)])
+    vertices = B.graph_vertices(e)
+    labels = vertices.withColumn("is_seed", F.col("id").isin(1, 5, 40, 111))
+
+    def report():
+        packed = P.packed_graph(e)
+        grey = R.grey_list_from_seeds(e, labels, 2, packed)
+        cc, groups = R.fraud_groups(grey, e, packed)
+        return [(i, round(p, 9)) for i, p in rows(grey)], rows(cc), rows(groups)
+
+    twice = labels.unionByName(labels.where("id < 9"))  # sums take every row of a vertex
+    want, plain = report(), rows(P.seed_probability(e, twice, 1))
+    monkeypatch.setattr(packed_small(monkeypatch), "MOST_ENDS", most)
+    monkeypatch.setattr("risklens.operators.graph.blocks.PLAIN_ROWS", 5)
+    assert (P.packed_graph(e).hubs is None) == (most > 15)
+    assert rows(P.seed_probability(e, twice, 1)) == plain
+
+    def none(*_):
+        raise AssertionError("by rows")
+
+    monkeypatch.setattr(P, "_both_ways", none)
+    monkeypatch.setattr(R, "grey_subgraph", none)
+    assert report() == want
